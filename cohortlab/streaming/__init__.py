@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The reference is batch request/response only: it has no stream, watermark
+or stateful operator, so there is nothing to express with Structured
+Streaming.  Change tracking (fingerprints, stale-profile detection) is batch
+and lives in ``cohortlab.sources.datasets``.
+"""
