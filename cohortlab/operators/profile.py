@@ -250,15 +250,15 @@ def histogram(df: DataFrame, cols: Iterable[str] | None = None, bins: int = 10,
                     F.coalesce("cnt", F.lit(0).cast("bigint")).alias("cnt")))
 
 
-def box_summary(df: DataFrame, cols: Iterable[str] | None = None,
-                accuracy: int = 100_000, whisker: float = 1.5) -> DataFrame:
+def box_summary(df: DataFrame, cols: Iterable[str] | None = None, whisker: float = 1.5,
+                exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Quartiles (linear interpolation, as a box plot draws them),
     whiskers at ``whisker * IQR`` and the outlier count, per numeric column.
 
-    Quantiles come from ``percentile_approx`` at the two ranks around each
-    interpolation point, so memory is a bounded sketch per column; they are
-    exact while a column has fewer than ``accuracy`` values and within
-    ``n / accuracy`` ranks beyond that.
+    ``exact`` (default) ranks distinct values with distributed running
+    totals (no group is ever held in one task); ``exact=False`` uses
+    ``percentile_approx`` at the two ranks around each interpolation point,
+    a bounded sketch per column that is within ``n / accuracy`` ranks.
     """
     cols = [c for c in data_columns(df, cols) if kinds(df, [c])[c] == "numeric"]
     n_by_col = {r["col_name"]: r["n_non_null"]
@@ -268,26 +268,35 @@ def box_summary(df: DataFrame, cols: Iterable[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "col_name string, n bigint, q1 double, median double, q3 double, "
                 "whisker_lo double, whisker_hi double, n_outliers bigint")
-    aggs, plan = [], {}
-    for i, c in enumerate(cols):
-        n = n_by_col[c]
-        pcts, spec = [], []
-        for q in (0.25, 0.5, 0.75):
-            h = (n - 1) * q
-            lo = int(h)
-            hi = min(lo + 1, n - 1)
-            spec.append((len(pcts), len(pcts) + 1, h - lo))
-            pcts += [(lo + 0.5) / n, (hi + 0.5) / n]
-        plan[c] = spec
-        aggs.append(F.percentile_approx(qcol(c).cast("double"), pcts, accuracy).alias(f"p__{i}"))
-    row = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(cols):
-        arr = F.col(f"p__{i}")
-        qs = [arr[a] + F.lit(fr) * (arr[b] - arr[a]) for a, b, fr in plan[c]]
-        structs.append(F.struct(F.lit(c).alias("col_name"), F.lit(n_by_col[c]).cast("bigint").alias("n"),
-                                qs[0].alias("q1"), qs[1].alias("median"), qs[2].alias("q3")))
-    quart = row.select(F.inline(F.array(*structs)))
+    probs = [0.25, 0.5, 0.75]
+    if exact:
+        from cohortlab.functions.running import exact_quantiles
+        qs = exact_quantiles(df, cols, probs, n_by_col, "linear")
+        quart = (qs.groupBy("col_name")
+                 .agg(*[F.max(F.when(F.col("q_idx") == j, F.col("value"))).alias(k)
+                        for j, k in enumerate(["q1", "median", "q3"])]))
+        n_map = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(n_by_col[c]))])
+        quart = quart.select("col_name", n_map[F.col("col_name")].cast("bigint").alias("n"), "q1", "median", "q3")
+    else:
+        from cohortlab.functions.running import rank_index
+        aggs, plan = [], {}
+        for i, c in enumerate(cols):
+            n = n_by_col[c]
+            pcts, spec = [], []
+            for q in probs:
+                lo, hi, fr = rank_index(n, q, "linear")
+                spec.append((len(pcts), len(pcts) + 1, fr))
+                pcts += [(lo + 0.5) / n, (hi + 0.5) / n]
+            plan[c] = spec
+            aggs.append(F.percentile_approx(qcol(c).cast("double"), pcts, accuracy).alias(f"p__{i}"))
+        row = df.agg(*aggs)
+        structs = []
+        for i, c in enumerate(cols):
+            arr = F.col(f"p__{i}")
+            q = [arr[a] + F.lit(fr) * (arr[b] - arr[a]) for a, b, fr in plan[c]]
+            structs.append(F.struct(F.lit(c).alias("col_name"), F.lit(n_by_col[c]).cast("bigint").alias("n"),
+                                    q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")))
+        quart = row.select(F.inline(F.array(*structs)))
     fences = quart.select("col_name",
                           (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("f_lo"),
                           (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("f_hi"))

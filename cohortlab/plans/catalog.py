@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,640 @@ def _profile_table(table: str):
 # ------------------------------------------------------------------ profiling
 for _t in ("orders", "customer", "events", "lineitem"):
     register(f"profile_{_t}", profile_sql(_t, TABLE_COLUMNS[_t]))(_profile_table(_t))
+
+
+# ------------------------------------------------------------------ helpers
+from cohortlab.functions.columns import dec  # noqa: E402
+from cohortlab.operators import cleanse as C  # noqa: E402
+from cohortlab.operators import combine as J  # noqa: E402
+from cohortlab.operators import features as FE  # noqa: E402
+from cohortlab.sources import datasets as S  # noqa: E402
+
+
+def _oracle_profile(table: str, overrides=None) -> str:
+    return profile_sql(table, TABLE_COLUMNS[table], overrides)
+
+
+def _ids_sql(table: str, key: str) -> str:
+    """Dense row id in file order; the driver's tables are stored in key order."""
+    return f"(SELECT *, CAST(row_number() OVER (ORDER BY {key}) - 1 AS BIGINT) AS _row_id FROM {table})"
+
+
+def _fp_sql(cols: list[str]) -> str:
+    txt = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
+    return (f"CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31), {txt})), 1, 15)) AS HUGEINT)) "
+            f"AS DECIMAL(38,0))")
+
+
+def _events_with_nulls(spark, sf_dir):
+    """events with nulls injected: value missing on errors, props missing on
+    errors and clicks (the driver's tables hold no nulls)."""
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", "ts", "user_id", "event_type",
+                    F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
+                    F.when(~F.col("event_type").isin("error", "click"), F.col("props")).alias("props"))
+
+
+EVENTS_NULLS_SQL = """(SELECT event_id, ts, user_id, event_type,
+       CASE WHEN event_type <> 'error' THEN value END AS value,
+       CASE WHEN event_type NOT IN ('error', 'click') THEN props END AS props FROM events)"""
+
+
+# ------------------------------------------------------------------ S1-S10
+@register("shape_orders", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS INTEGER) AS n_cols FROM orders")
+def q_shape(spark, sf_dir):
+    return S.shape(read(spark, sf_dir, "orders"))
+
+
+@register("preview_orders", f"SELECT * FROM {_ids_sql('orders', 'o_orderkey')} ORDER BY _row_id LIMIT 20")
+def q_preview(spark, sf_dir):
+    return S.preview(S.stamp_row_ids(read(spark, sf_dir, "orders")), 20)
+
+
+@register("row_ids_customer", f"SELECT * FROM {_ids_sql('customer', 'c_custkey')}")
+def q_row_ids(spark, sf_dir):
+    return S.stamp_row_ids(read(spark, sf_dir, "customer"))
+
+
+FP_CUST = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+FP_ORD = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _fp_rows_sql(source: str, by: str, cols: list[str]) -> str:
+    return (f"SELECT CAST({by} AS VARCHAR) AS dataset, count(*) AS n_rows, CAST({len(cols)} AS INTEGER) AS n_cols, "
+            f"'{','.join(cols)}' AS col_list, {_fp_sql(cols)} AS fingerprint FROM {source} GROUP BY {by}")
+
+
+FP_OLD_SQL = _fp_rows_sql("customer", "c_mktsegment", FP_CUST)
+FP_NEW_SQL = (_fp_rows_sql("(SELECT * FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal < 0))",
+                           "c_mktsegment", FP_CUST)
+              + " UNION ALL " + _fp_rows_sql("orders", "o_orderpriority", FP_ORD))
+
+
+def _fp_old(spark, sf_dir):
+    return S.fingerprint(read(spark, sf_dir, "customer"), cols=FP_CUST, by="c_mktsegment")
+
+
+def _fp_new(spark, sf_dir):
+    cust = C.filter_expr(read(spark, sf_dir, "customer"),
+                         "NOT ($c_mktsegment$ = 'BUILDING' AND $c_acctbal$ < 0)")
+    return (S.fingerprint(cust, cols=FP_CUST, by="c_mktsegment")
+            .unionByName(S.fingerprint(read(spark, sf_dir, "orders"), cols=FP_ORD, by="o_orderpriority")))
+
+
+register("fingerprint_customer_segments", FP_OLD_SQL)(_fp_old)
+
+
+@register("fingerprint_upsert", f"""
+WITH old AS ({FP_OLD_SQL}), new AS ({FP_NEW_SQL})
+SELECT * FROM old WHERE dataset NOT IN (SELECT dataset FROM new) UNION ALL SELECT * FROM new""")
+def q_fp_upsert(spark, sf_dir):
+    return S.upsert_fingerprints(_fp_old(spark, sf_dir), _fp_new(spark, sf_dir))
+
+
+@register("change_detection", f"""
+WITH old AS ({FP_OLD_SQL}), new AS ({FP_NEW_SQL})
+SELECT n.dataset, n.n_rows, n.fingerprint,
+       CASE WHEN o.fingerprint IS NULL THEN 'new'
+            WHEN o.fingerprint <> n.fingerprint OR o.n_rows <> n.n_rows OR o.col_list <> n.col_list THEN 'changed'
+            ELSE 'same' END AS status
+FROM new n LEFT JOIN old o ON n.dataset = o.dataset""")
+def q_changes(spark, sf_dir):
+    return S.detect_changes(_fp_old(spark, sf_dir), _fp_new(spark, sf_dir))
+
+
+def _table_fp(df, name):
+    return S.fingerprint(df, name=name)
+
+
+def _all_cols_fp_sql(name: str, source: str, cols: list[str]) -> str:
+    return (f"SELECT '{name}' AS dataset, CAST({len(cols)} AS INTEGER) AS n_cols, {_fp_sql(cols)} AS fingerprint "
+            f"FROM {source}")
+
+
+@register("stale_profiles", f"""
+WITH cur AS ({_all_cols_fp_sql('orders', 'orders', [c for c, _ in TABLE_COLUMNS['orders']])}
+             UNION ALL {_all_cols_fp_sql('customer', 'customer', [c for c, _ in TABLE_COLUMNS['customer']])}
+             UNION ALL {_all_cols_fp_sql('events', 'events', [c for c, _ in TABLE_COLUMNS['events']])}
+             UNION ALL {_all_cols_fp_sql('lineitem', 'lineitem', [c for c, _ in TABLE_COLUMNS['lineitem']])}),
+     reg AS ({_all_cols_fp_sql('orders', 'orders', [c for c, _ in TABLE_COLUMNS['orders']])}
+             UNION ALL {_all_cols_fp_sql('customer', 'customer', [c for c, _ in TABLE_COLUMNS['customer']])}
+             UNION ALL {_all_cols_fp_sql('events', "(SELECT * FROM events WHERE event_type <> 'error')",
+                                         [c for c, _ in TABLE_COLUMNS['events']])}),
+     prof AS (SELECT 'orders' AS dataset, count(*) AS n FROM ({_oracle_profile('orders')})
+              UNION ALL SELECT 'customer', count(*) FROM ({_oracle_profile('customer')}) WHERE col_name <> 'c_acctbal'),
+     j AS (SELECT c.dataset, c.n_cols, c.fingerprint, r.fingerprint AS reg_fp, p.n AS prof_rows
+           FROM cur c LEFT JOIN reg r ON c.dataset = r.dataset LEFT JOIN prof p ON c.dataset = p.dataset)
+SELECT dataset, reason, reason <> 'fresh' AS stale FROM (
+  SELECT dataset, CASE WHEN reg_fp IS NULL OR reg_fp <> fingerprint THEN 'changed'
+                       WHEN prof_rows IS NULL THEN 'no_profile'
+                       WHEN prof_rows <> n_cols THEN 'column_count'
+                       ELSE 'fresh' END AS reason FROM j)""")
+def q_stale(spark, sf_dir):
+    o, c, e, li = (read(spark, sf_dir, t) for t in ("orders", "customer", "events", "lineitem"))
+    current = (_table_fp(o, "orders").unionByName(_table_fp(c, "customer"))
+               .unionByName(_table_fp(e, "events")).unionByName(_table_fp(li, "lineitem")))
+    registry = (_table_fp(o, "orders").unionByName(_table_fp(c, "customer"))
+                .unionByName(_table_fp(e.filter(F.col("event_type") != "error"), "events")))
+    profiles = P.query_profiles({"orders": P.profile(o),
+                                 "customer": P.profile(c).filter(F.col("col_name") != "c_acctbal")})
+    return S.stale_profiles(current, registry, profiles)
+
+
+# ------------------------------------------------------------------ P7-P12
+HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _hist_sql(c: str) -> str:
+    return f"""
+SELECT '{c}' AS col_name, g.bin, g.lo + g.bin * ((g.hi - g.lo) / CAST(10 AS DOUBLE)) AS bin_lo,
+       CASE WHEN g.bin = 9 THEN g.hi ELSE g.lo + (g.bin + 1) * ((g.hi - g.lo) / CAST(10 AS DOUBLE)) END AS bin_hi,
+       CAST(coalesce(k.cnt, 0) AS BIGINT) AS cnt
+FROM (SELECT CAST(b AS INTEGER) AS bin, lo, hi FROM
+        (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+                CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi
+         FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem) WHERE v IS NOT NULL),
+        range(0, 10) t(b)) g
+LEFT JOIN (SELECT bin, count(*) AS cnt FROM (
+             SELECT CAST(least(floor((v - lo) * CAST(10 AS DOUBLE) / (hi - lo)), 9) AS INTEGER) AS bin
+             FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem) x,
+                  (SELECT CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END AS lo,
+                          CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE max({c}) END AS hi FROM lineitem) r
+             WHERE v IS NOT NULL) GROUP BY bin) k ON g.bin = k.bin"""
+
+
+@register("histogram_lineitem", "SELECT col_name, bin, CAST(round(bin_lo, 6) AS DECIMAL(38,6)) AS bin_lo, "
+          "CAST(round(bin_hi, 6) AS DECIMAL(38,6)) AS bin_hi, cnt FROM ("
+          + " UNION ALL ".join(_hist_sql(c) for c in HIST_COLS) + ")")
+def q_hist(spark, sf_dir):
+    h = P.histogram(read(spark, sf_dir, "lineitem"), HIST_COLS)
+    return h.select("col_name", "bin", dec(F.col("bin_lo")).alias("bin_lo"), dec(F.col("bin_hi")).alias("bin_hi"), "cnt")
+
+
+def _box_sql(c: str) -> str:
+    return f"""
+SELECT '{c}' AS col_name, CAST(q.n AS BIGINT) AS n, q.q1, q.median, q.q3,
+       min(CASE WHEN v >= q.q1 - 1.5 * (q.q3 - q.q1) THEN v END) AS whisker_lo,
+       max(CASE WHEN v <= q.q3 + 1.5 * (q.q3 - q.q1) THEN v END) AS whisker_hi,
+       CAST(count(CASE WHEN v < q.q1 - 1.5 * (q.q3 - q.q1) OR v > q.q3 + 1.5 * (q.q3 - q.q1) THEN 1 END) AS BIGINT) AS n_outliers
+FROM (SELECT CAST({c} AS DOUBLE) AS v FROM lineitem WHERE {c} IS NOT NULL) x,
+     (SELECT count({c}) AS n, quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1,
+             quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3
+      FROM lineitem) q
+GROUP BY q.n, q.q1, q.median, q.q3"""
+
+
+@register("box_lineitem", "SELECT col_name, n, " + ", ".join(
+    f"CAST(round({k}, 6) AS DECIMAL(38,6)) AS {k}" for k in ("q1", "median", "q3", "whisker_lo", "whisker_hi"))
+    + ", n_outliers FROM (" + " UNION ALL ".join(_box_sql(c) for c in HIST_COLS) + ")")
+def q_box(spark, sf_dir):
+    b = P.box_summary(read(spark, sf_dir, "lineitem"), HIST_COLS)
+    return b.select("col_name", "n", *[dec(F.col(k)).alias(k) for k in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+                    "n_outliers")
+
+
+@register("value_counts_orders", " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt, "
+    f"CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM orders GROUP BY {c}"
+    for c in ("o_orderstatus", "o_orderpriority")))
+def q_value_counts(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return P.factor_value_counts(P.value_counts(o), P.profile(o))
+
+
+RETAG = {"c_nationkey": "factor_s", "c_acctbal": "character"}
+
+
+@register("retag_customer", _oracle_profile("customer", RETAG))
+def q_retag(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return P.retag(c, P.profile(c), RETAG).select(*PROFILE_OUT)
+
+
+@register("tag_events", f"""SELECT col_name, col_pos,
+  CASE WHEN col_name IN ('user_id') THEN 'factor_s' ELSE col_datatype END AS col_datatype,
+  n_rows, n_non_null, col_factornum, distinct_ratio, missing_pct, min_value, max_value, value_range
+FROM ({_oracle_profile('events')})""")
+def q_tag(spark, sf_dir):
+    return P.tag(P.profile(read(spark, sf_dir, "events")), ["user_id"], "factor_s").select(*PROFILE_OUT)
+
+
+Q_FIELDS = ["col_name", "col_datatype", "distinct_ratio", "min_value", "max_value"]
+
+
+@register("query_profiles_numeric", " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, {', '.join(Q_FIELDS)} FROM ({_oracle_profile(t)}) WHERE col_datatype = 'numeric'"
+    for t in ("orders", "customer", "events")))
+def q_query_profiles(spark, sf_dir):
+    profs = {t: P.profile(read(spark, sf_dir, t)) for t in ("orders", "customer", "events")}
+    return P.query_profiles(profs, dtype="numeric", fields=Q_FIELDS)
+
+
+# ------------------------------------------------------------------ C1-C9
+@register("drop_columns_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")
+def q_drop(spark, sf_dir):
+    return C.drop_columns(read(spark, sf_dir, "orders"), ["o_totalprice", "o_orderpriority"])
+
+
+@register("keep_columns_customer", "SELECT c_custkey, c_mktsegment FROM customer")
+def q_keep(spark, sf_dir):
+    return C.keep_columns(read(spark, sf_dir, "customer"), ["c_custkey", "c_mktsegment"])
+
+
+def _prof_filter_sql(table_sql_profile: str, where: str) -> str:
+    return f"SELECT {', '.join(PROFILE_OUT)} FROM ({table_sql_profile}) WHERE {where}"
+
+
+@register("columns_by_type_events", _prof_filter_sql(_oracle_profile("events"), "col_datatype IN ('factor_s')"))
+def q_c4a(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return C.matching_columns(P.profile(e), data_type="factor_s").select(*PROFILE_OUT)
+
+
+@register("columns_by_suffix_lineitem", _prof_filter_sql(_oracle_profile("lineitem"), "regexp_matches(col_name, 'key$')"))
+def q_c4b(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return C.matching_columns(P.profile(li), name_suffix="key").select(*PROFILE_OUT)
+
+
+@register("columns_by_distinct_ratio_orders", _prof_filter_sql(
+    _oracle_profile("orders"), "CAST(col_factornum AS DOUBLE) / (CAST(n_rows AS DOUBLE) + 1.0) >= 0.5"))
+def q_c4c(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return C.matching_columns(P.profile(o), min_distinct_ratio="0.5").select(*PROFILE_OUT)
+
+
+EVENTS_NULL_COLS = [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"),
+                    ("event_type", "string"), ("value", "numeric"), ("props", "string")]
+
+
+@register("columns_by_non_missing_events", _prof_filter_sql(
+    profile_sql(EVENTS_NULLS_SQL, EVENTS_NULL_COLS), "CAST(n_non_null AS DOUBLE) / CAST(n_rows AS DOUBLE) >= 0.7"))
+def q_c4d(spark, sf_dir):
+    e = _events_with_nulls(spark, sf_dir)
+    return C.matching_columns(P.profile(e), min_non_missing=0.7).select(*PROFILE_OUT)
+
+
+def _balance_sql(table: str, cols: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt FROM {table} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
+    return f"""SELECT col_name, CASE WHEN count(*) > 1 THEN
+        (ln(sum(CAST(cnt AS DOUBLE))) - sum(CAST(cnt AS DOUBLE) * ln(CAST(cnt AS DOUBLE))) / sum(CAST(cnt AS DOUBLE)))
+        / ln(CAST(count(*) AS DOUBLE)) ELSE 0.0 END AS balance FROM ({parts}) GROUP BY col_name"""
+
+
+@register("columns_by_balance_orders", f"""SELECT {', '.join('p.' + c for c in PROFILE_OUT)}
+FROM ({_oracle_profile('orders')}) p JOIN ({_balance_sql('orders', [c for c, _ in TABLE_COLUMNS['orders']])}) b
+  ON p.col_name = b.col_name WHERE b.balance >= 0.95""")
+def q_c4e(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return C.matching_columns(P.profile(o), min_balance=0.95, df=o).select(*PROFILE_OUT)
+
+
+REGEX = "^[A-Za-z#0-9]+$"
+
+
+@register("columns_by_regex_customer", f"""SELECT {', '.join('p.' + c for c in PROFILE_OUT)}
+FROM ({_oracle_profile('customer')}) p WHERE p.col_name IN (
+  SELECT col_name FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, bool_and(regexp_matches(CAST({c} AS VARCHAR), '{REGEX}')) AS ok FROM customer "
+    f"WHERE {c} IS NOT NULL" for c, _ in TABLE_COLUMNS["customer"]) + ") WHERE ok)")
+def q_c4f(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    return C.matching_columns(P.profile(c), value_regex=REGEX, df=c).select(*PROFILE_OUT)
+
+
+@register("filter_expr_orders", "SELECT * FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def q_c5(spark, sf_dir):
+    return C.filter_expr(read(spark, sf_dir, "orders"), "$o_totalprice$ > 100000 AND $o_orderstatus$ = 'F'")
+
+
+@register("filter_non_null_events", f"""SELECT * FROM {EVENTS_NULLS_SQL} WHERE
+  (CAST(event_id IS NOT NULL AS INTEGER) + CAST(ts IS NOT NULL AS INTEGER) + CAST(user_id IS NOT NULL AS INTEGER)
+   + CAST(event_type IS NOT NULL AS INTEGER) + CAST(value IS NOT NULL AS INTEGER)
+   + CAST(props IS NOT NULL AS INTEGER)) / 6.0 >= 0.8""")
+def q_c6(spark, sf_dir):
+    return C.filter_non_null(_events_with_nulls(spark, sf_dir), 0.8)
+
+
+ORD_NULL_CUST_SQL = """(SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS o_custkey,
+  o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders)"""
+
+
+def _orders_null_cust(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.withColumn("o_custkey", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")))
+
+
+@register("filter_by_ids_orders", f"""SELECT * FROM {ORD_NULL_CUST_SQL} o
+WHERE o.o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def q_c7(spark, sf_dir):
+    ids = read(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    return C.filter_by_ids(_orders_null_cust(spark, sf_dir), ids, key="o_custkey", ids_key="c_custkey")
+
+
+@register("affected_orders", "SELECT CAST(count_if(o_totalprice > 100000) AS BIGINT) AS n_kept, "
+          "CAST(count(*) AS BIGINT) AS n_rows FROM orders")
+def q_c8(spark, sf_dir):
+    return C.affected(read(spark, sf_dir, "orders"), "$o_totalprice$ > 100000")
+
+
+@register("filter_by_function_customer", "SELECT * FROM customer WHERE c_acctbal > 0 AND c_name LIKE '%7'")
+def q_c9(spark, sf_dir):
+    return C.filter_by_function(read(spark, sf_dir, "customer"),
+                                lambda d: (d["c_acctbal"] > 0) & d["c_name"].endswith("7"))
+
+
+@register("filter_by_pandas_udf_customer", "SELECT * FROM customer WHERE c_acctbal > 5000 AND c_mktsegment <> 'MACHINERY'")
+def q_c9_udf(spark, sf_dir):
+    @F.pandas_udf("boolean")
+    def rich_not_machinery(bal: pd.Series, seg: pd.Series) -> pd.Series:
+        return (bal > 5000) & (seg != "MACHINERY")
+    return C.filter_by_function(read(spark, sf_dir, "customer"), rich_not_machinery, ["c_acctbal", "c_mktsegment"])
+
+
+# ------------------------------------------------------------------ J1-J3
+@register("join_customer_nation", """SELECT c.c_nationkey, c.c_custkey, c.c_name, c.c_acctbal, c.c_mktsegment,
+  n.n_name, n.n_regionkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def q_j1(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    return J.join_key(read(spark, sf_dir, "customer"), n, "c_nationkey", "inner")
+
+
+@register("join_outer_customer_nation", """SELECT coalesce(c.c_nationkey, n.n_nationkey) AS c_nationkey,
+  c.c_custkey, c.c_name AS name_l, c.c_acctbal, c.c_mktsegment, n.n_name AS name_r, n.n_regionkey
+FROM (SELECT c_custkey, c_name, CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN c_nationkey END AS c_nationkey,
+             c_acctbal, c_mktsegment FROM customer) c
+FULL OUTER JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) n ON c.c_nationkey = n.n_nationkey""")
+def q_j1_outer(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    c = c.select("c_custkey", F.col("c_name").alias("name"),
+                 F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.col("c_nationkey")).alias("c_nationkey"),
+                 "c_acctbal", "c_mktsegment")
+    n = read(spark, sf_dir, "nation").filter(F.col("n_regionkey") != 0) \
+        .select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"), "n_regionkey")
+    return J.join_key(c, n, "c_nationkey", "outer")
+
+
+ORD_IDS = _ids_sql("orders", "o_orderkey")
+
+
+def _orders_ids(spark, sf_dir):
+    return S.stamp_row_ids(read(spark, sf_dir, "orders"))
+
+
+@register("join_rows_orders", f"""SELECT l._row_id, l.o_orderkey AS o_orderkey_l, l.o_totalprice,
+  r.o_orderkey AS o_orderkey_r, r.o_orderstatus
+FROM {ORD_IDS} l JOIN (SELECT * FROM {ORD_IDS} WHERE o_orderstatus = 'F') r ON l._row_id = r._row_id""")
+def q_j2(spark, sf_dir):
+    o = _orders_ids(spark, sf_dir)
+    left = C.keep_columns(o, ["o_orderkey", "o_totalprice"])
+    right = C.keep_columns(C.filter_expr(o, "$o_orderstatus$ = 'F'"), ["o_orderkey", "o_orderstatus"])
+    return J.join_rows(left, right)
+
+
+@register("concat_columns_orders", f"""SELECT l._row_id, l.o_orderkey AS o_orderkey_l, l.o_totalprice,
+  r.o_orderkey AS o_orderkey_r, r.o_orderstatus
+FROM {ORD_IDS} l LEFT JOIN (SELECT * FROM {ORD_IDS} WHERE o_orderstatus = 'F') r ON l._row_id = r._row_id""")
+def q_j3(spark, sf_dir):
+    o = _orders_ids(spark, sf_dir)
+    left = C.keep_columns(o, ["o_orderkey", "o_totalprice"])
+    right = C.keep_columns(C.filter_expr(o, "$o_orderstatus$ = 'F'"), ["o_orderkey", "o_orderstatus"])
+    return J.concat_columns(left, right)
+
+
+# ------------------------------------------------------------------ F1-F5, L1-L2
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@register("one_hot_events", "SELECT _row_id, " + ", ".join(
+    f"CASE WHEN event_type = '{v}' THEN 1 ELSE 0 END AS drv_f_event_type_{v}" for v in EVENT_TYPES)
+    + f" FROM {_ids_sql('events', 'event_id')}")
+def q_f1(spark, sf_dir):
+    return FE.explode_factors(S.stamp_row_ids(read(spark, sf_dir, "events")), ["event_type"])
+
+
+@register("one_hot_lineitem", """SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS drv_f_l_returnflag_A,
+  CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS drv_f_l_returnflag_N,
+  CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS drv_f_l_returnflag_R,
+  CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS drv_f_l_linestatus_F,
+  CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS drv_f_l_linestatus_O FROM lineitem""")
+def q_f1b(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    # carry the (non-unique) line keys so rows stay recognisable
+    return FE.explode_factors(li, ["l_returnflag", "l_linestatus"], keep=["l_orderkey", "l_linenumber"])
+
+
+def _orders_date_text(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    txt = F.date_format("o_orderdate", "yyyyMMdd")
+    return o.select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", F.concat(txt, F.lit("x")))
+                    .otherwise(txt).alias("o_orderdate"))
+
+
+DATE_TEXT_SQL = """(SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN strftime(o_orderdate, '%Y%m%d') || 'x'
+  ELSE strftime(o_orderdate, '%Y%m%d') END AS o_orderdate FROM orders)"""
+
+
+@register("parse_dates_orders", f"SELECT o_orderkey, CAST(try_strptime(o_orderdate, '%Y%m%d') AS DATE) AS o_orderdate "
+          f"FROM {DATE_TEXT_SQL}")
+def q_f2(spark, sf_dir):
+    return FE.parse_dates(_orders_date_text(spark, sf_dir), ["o_orderdate"], "%Y%m%d")
+
+
+@register("days_from_base_orders", f"""SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _row_id,
+  CAST(date_diff('day', CAST(try_strptime(o_orderdate, '%Y%m%d') AS DATE), DATE '1999-01-01') AS INTEGER) AS drv_d_o_orderdate
+FROM {DATE_TEXT_SQL}""")
+def q_f3(spark, sf_dir):
+    parsed = FE.parse_dates(S.stamp_row_ids(_orders_date_text(spark, sf_dir)), ["o_orderdate"])
+    return FE.days_from_base(parsed, ["o_orderdate"], "1999-01-01", inverse=True, prefix="drv_d_")
+
+
+@register("derive_isnull_events", f"SELECT event_id, value IS NOT NULL AS value_present FROM {EVENTS_NULLS_SQL}")
+def q_f4(spark, sf_dir):
+    return FE.derive_one(_events_with_nulls(spark, sf_dir), "value", "isnull", "value_present") \
+        .select("event_id", "value_present")
+
+
+MM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_const"]
+
+
+@register("min_max_lineitem", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"CAST(round((CAST({c} AS DOUBLE) - min({c}) OVER ()) / CASE WHEN max({c}) OVER () - min({c}) OVER () = 0 "
+    f"THEN 1.0 ELSE max({c}) OVER () - min({c}) OVER () END, 9) AS DECIMAL(38,9)) AS {c}" for c in MM_COLS)
+    + " FROM (SELECT *, CAST(5.0 AS DOUBLE) AS l_const FROM lineitem)")
+def q_f5(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *MM_COLS[:-1],
+                                                  F.lit(5.0).alias("l_const"))
+    out = FE.min_max(li, MM_COLS)
+    return out.select("l_orderkey", "l_linenumber", *[dec(F.col(c), 9).alias(c) for c in MM_COLS])
+
+
+@register("split_label_lineitem", "SELECT l_discount, l_extendedprice, l_linenumber, l_orderkey, l_partkey, "
+          "l_quantity, l_suppkey, l_tax FROM lineitem")
+def q_l1(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").drop("l_returnflag", "l_linestatus", "l_shipdate")
+    x, _, _ = FE.split_label(li.withColumn("label", F.lit(1)), "label")
+    return x
+
+
+@register("recode_label_lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber > 1 AS INTEGER) AS y_sel, "
+          "CAST(l_linenumber AS DOUBLE) - 1.0 AS y_risk FROM lineitem")
+def q_l2(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    li = FE.recode_label(li, "l_linenumber", 1, out="y_sel")
+    return FE.shift_label(li, "l_linenumber", 1.0, out="y_risk")
+
+
+# ------------------------------------------------------------------ L3-L5
+from cohortlab.operators import risk as R  # noqa: E402
+from cohortlab.operators import select as SEL  # noqa: E402
+
+IG_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linenumber"]
+IG_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+DEC_LIST = "[" + ", ".join(str(i / 10) for i in range(1, 10)) + "]"
+
+
+def _ig_input(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(*IG_FEATS, (F.col("l_linestatus") == "F").cast("int").alias("y"))
+
+
+def _ig_sql() -> str:
+    qs = ", ".join(f"quantile_disc({c}, {DEC_LIST}) AS q_{c}, count(DISTINCT {c}) AS k_{c}" for c in IG_NUMERIC)
+    disc = []
+    for c in IG_FEATS:
+        raw = f"coalesce(CAST({c} AS VARCHAR), '\\N')"
+        if c in IG_NUMERIC:
+            binned = " + ".join(f"CAST({c} > q_{c}[{j}] AS INTEGER)" for j in range(1, 10))
+            disc.append(f"CASE WHEN k_{c} > 10 THEN (CASE WHEN {c} IS NULL THEN '\\N' ELSE 'b' || CAST({binned} AS VARCHAR) END) "
+                        f"ELSE {raw} END AS {c}")
+        else:
+            disc.append(f"{raw} AS {c}")
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature_name, {c} AS val, y FROM disc" for c in IG_FEATS)
+    return f"""WITH base AS (SELECT {', '.join(IG_FEATS)}, CAST(CAST(l_linestatus = 'F' AS INTEGER) AS VARCHAR) AS y FROM lineitem),
+q AS (SELECT {qs} FROM lineitem),
+disc AS (SELECT y, {', '.join(disc)} FROM base, q),
+joint AS (SELECT feature_name, val, y, CAST(count(*) AS DOUBLE) AS n_vy FROM ({long}) GROUP BY feature_name, val, y),
+by_y AS (SELECT feature_name, y, sum(n_vy) AS n_y FROM joint GROUP BY feature_name, y),
+tot AS (SELECT feature_name, sum(n_y) AS n FROM by_y GROUP BY feature_name),
+terms AS (SELECT j.feature_name, j.n_vy / t.n * ln(j.n_vy * t.n / (sum(j.n_vy) OVER (PARTITION BY j.feature_name, j.val) * b.n_y)) AS t
+          FROM joint j JOIN by_y b ON j.feature_name = b.feature_name AND j.y = b.y JOIN tot t ON j.feature_name = t.feature_name)
+SELECT feature_name, sum(t) AS feature_scores FROM terms GROUP BY feature_name"""
+
+
+IG_SQL = _ig_sql()
+
+
+def _ig(spark, sf_dir):
+    return SEL.information_gain(_ig_input(spark, sf_dir), "y")
+
+
+@register("information_gain_lineitem",
+          f"SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores FROM ({IG_SQL})")
+def q_l3(spark, sf_dir):
+    return _ig(spark, sf_dir).select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
+
+
+@register("select_top_features_lineitem",
+          f"SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores FROM ({IG_SQL}) "
+          f"ORDER BY feature_scores DESC, feature_name LIMIT 3")
+def q_l4(spark, sf_dir):
+    top = SEL.select_top(_ig(spark, sf_dir), k=3)
+    return top.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
+
+
+@register("rank_importance_lineitem", f"""SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores,
+  CAST(round(abs(feature_scores), 9) AS DECIMAL(38,9)) AS abs_score,
+  CASE WHEN feature_scores > 0 THEN 'pos' ELSE 'neg' END AS sign,
+  CAST(row_number() OVER (ORDER BY abs(feature_scores) DESC, feature_name) AS INTEGER) AS rank FROM ({IG_SQL})""")
+def q_l5(spark, sf_dir):
+    r = SEL.rank_importance(_ig(spark, sf_dir))
+    return r.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"),
+                    dec(F.col("abs_score"), 9).alias("abs_score"), "sign", "rank")
+
+
+# ------------------------------------------------------------------ R1, R6-R8
+def _split_sql(source: str, label: str, id_col: str, ratio: float, seed: int) -> str:
+    return f"""(SELECT *, CASE WHEN _rn <= _k THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || CAST({id_col} AS VARCHAR)), {id_col}) AS _rn,
+         CAST(round(count(*) OVER (PARTITION BY {label}) * {ratio}) AS BIGINT) AS _k FROM {source}))"""
+
+
+@register("stratified_split_orders",
+          f"SELECT o_orderkey, o_orderstatus, split FROM {_split_sql('orders', 'o_orderstatus', 'o_orderkey', 0.2, 42)}")
+def q_r1(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return R.stratified_split(o, "o_orderstatus", "o_orderkey", 0.2, seed=42)
+
+
+DOCS_SQL = """(SELECT l.doc_id, l.toxic,
+  (CAST(d.n_chars AS DOUBLE) - min(CAST(d.n_chars AS DOUBLE)) OVER ()) /
+  CASE WHEN max(CAST(d.n_chars AS DOUBLE)) OVER () - min(CAST(d.n_chars AS DOUBLE)) OVER () = 0 THEN 1.0
+       ELSE max(CAST(d.n_chars AS DOUBLE)) OVER () - min(CAST(d.n_chars AS DOUBLE)) OVER () END AS p
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+SCORED_DOCS_SQL = _split_sql(DOCS_SQL, "toxic", "doc_id", 0.2, 7)
+
+
+def _scored_docs(spark, sf_dir):
+    """Labelled documents scored by their (min-max scaled) length, split R1-style."""
+    lab = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("p"))
+    scored = FE.min_max(J.join_key(lab, docs, "doc_id", "inner"), ["p"])
+    return R.stratified_split(scored, "toxic", "doc_id", 0.2, seed=7)
+
+
+def _dec_sql(c: str, s: int = 9) -> str:
+    return f"CAST(round({c}, {s}) AS DECIMAL(38,{s})) AS {c}"
+
+
+@register("threshold_metrics_docs", f"""SELECT split, tp, fp, tn, fn, {_dec_sql('accuracy')}, {_dec_sql('precision')},
+  {_dec_sql('recall')}, {_dec_sql('specificity')}, {_dec_sql('f1')} FROM (
+  SELECT split, tp, fp, tn, fn,
+    CASE WHEN tp + fp + tn + fn <> 0 THEN CAST(tp + tn AS DOUBLE) / CAST(tp + fp + tn + fn AS DOUBLE) END AS accuracy,
+    CASE WHEN tp + fp <> 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+    CASE WHEN tp + fn <> 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+    CASE WHEN tn + fp <> 0 THEN CAST(tn AS DOUBLE) / CAST(tn + fp AS DOUBLE) END AS specificity,
+    CASE WHEN tp + fp <> 0 AND tp + fn <> 0 AND tp > 0
+         THEN 2 * (CAST(tp AS DOUBLE) / (tp + fp)) * (CAST(tp AS DOUBLE) / (tp + fn))
+              / ((CAST(tp AS DOUBLE) / (tp + fp)) + (CAST(tp AS DOUBLE) / (tp + fn))) END AS f1
+  FROM (SELECT split, count_if(toxic > 0 AND p >= 0.5) AS tp, count_if(NOT toxic > 0 AND p >= 0.5) AS fp,
+               count_if(NOT toxic > 0 AND NOT p >= 0.5) AS tn, count_if(toxic > 0 AND NOT p >= 0.5) AS fn
+        FROM {SCORED_DOCS_SQL} GROUP BY split))""")
+def q_r6(spark, sf_dir):
+    m = R.threshold_metrics(_scored_docs(spark, sf_dir), "toxic", "p", "split", 0.5)
+    return m.select("split", "tp", "fp", "tn", "fn",
+                    *[dec(F.col(c), 9).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1")])
+
+
+ROC_SQL = f"""WITH c AS (SELECT split, p AS threshold, count_if(toxic > 0) AS pos, count_if(NOT toxic > 0) AS neg
+                FROM {SCORED_DOCS_SQL} GROUP BY split, p),
+r AS (SELECT split, threshold, pos, neg,
+             sum(pos) OVER (PARTITION BY split ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_pos,
+             sum(neg) OVER (PARTITION BY split ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cum_neg,
+             sum(pos) OVER (PARTITION BY split) AS P, sum(neg) OVER (PARTITION BY split) AS N FROM c)
+SELECT split, threshold, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, CAST(cum_pos AS BIGINT) AS cum_pos,
+       CAST(cum_neg AS BIGINT) AS cum_neg,
+       CASE WHEN N <> 0 THEN CAST(cum_neg AS DOUBLE) / CAST(N AS DOUBLE) END AS fpr,
+       CASE WHEN P <> 0 THEN CAST(cum_pos AS DOUBLE) / CAST(P AS DOUBLE) END AS tpr FROM r
+UNION ALL
+SELECT split, NULL, 0, 0, 0, 0, CASE WHEN sum(neg) > 0 THEN 0.0 END, CASE WHEN sum(pos) > 0 THEN 0.0 END FROM c GROUP BY split"""
+
+
+@register("roc_docs", f"SELECT split, {_dec_sql('threshold')}, pos, neg, cum_pos, cum_neg, {_dec_sql('fpr')}, "
+          f"{_dec_sql('tpr')} FROM ({ROC_SQL})")
+def q_r7(spark, sf_dir):
+    roc = R.roc_points(_scored_docs(spark, sf_dir), "toxic", "p", "split")
+    return roc.select("split", dec(F.col("threshold"), 9).alias("threshold"), "pos", "neg", "cum_pos", "cum_neg",
+                      dec(F.col("fpr"), 9).alias("fpr"), dec(F.col("tpr"), 9).alias("tpr"))
+
+
+@register("auc_docs", f"""SELECT split, {_dec_sql('auc')} FROM (
+  SELECT split, CASE WHEN sum(pos) * sum(neg) <> 0 THEN
+      sum(CAST(neg AS DOUBLE) * CAST(2 * cum_pos - pos AS DOUBLE) / 2.0) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE))
+    END AS auc FROM ({ROC_SQL}) GROUP BY split)""")
+def q_r8(spark, sf_dir):
+    a = R.auc(R.roc_points(_scored_docs(spark, sf_dir), "toxic", "p", "split"))
+    return a.select("split", dec(F.col("auc"), 9).alias("auc"))
