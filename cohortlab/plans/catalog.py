@@ -684,3 +684,201 @@ def q_r7(spark, sf_dir):
 def q_r8(spark, sf_dir):
     a = R.auc(R.roc_points(_scored_docs(spark, sf_dir), "toxic", "p", "split"))
     return a.select("split", dec(F.col("auc"), 9).alias("auc"))
+
+
+# ------------------------------------------------------------------ K1-K8
+from cohortlab.operators import cluster as K  # noqa: E402
+
+K_FEATS = ["l_quantity", "l_linenumber", "big_qty", "high_disc", "l_extendedprice"]
+
+
+def _li_clusters(spark, sf_dir):
+    """lineitem rows grouped by return flag (A/N/R -> 0/1/2) with derived
+    0/1 features and the line status as outcome."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("cluster_id"),
+        (F.col("l_linestatus") == "F").cast("int").alias("drv_lbl"),
+        "l_quantity", (F.col("l_quantity") > 25).cast("int").alias("big_qty"),
+        (F.col("l_discount") > 0.05).cast("int").alias("high_disc"), "l_extendedprice")
+
+
+LI_CLUSTERS_SQL = """(SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS cluster_id,
+  CAST(l_linestatus = 'F' AS INTEGER) AS drv_lbl, l_quantity, CAST(l_quantity > 25 AS INTEGER) AS big_qty,
+  CAST(l_discount > 0.05 AS INTEGER) AS high_disc, l_extendedprice FROM lineitem)"""
+
+
+def _k_long_sql(cast: str) -> str:
+    return " UNION ALL ".join(f"SELECT cluster_id, '{c}' AS feature_name, {cast.format(c=c)} AS v FROM base"
+                              for c in K_FEATS)
+
+
+K_TYPES_SQL = f"""base AS {LI_CLUSTERS_SQL},
+long_i AS ({_k_long_sql('CAST(trunc({c}) AS BIGINT)')}),
+types AS (SELECT feature_name, count(DISTINCT v) AS n_distinct,
+                 CASE WHEN count(DISTINCT v) = 2 THEN 'binary' WHEN count(DISTINCT v) <= 10 THEN 'categorical'
+                      ELSE 'numeric' END AS feature_type
+          FROM long_i WHERE v IS NOT NULL GROUP BY feature_name)"""
+
+
+def _k_types(spark, sf_dir):
+    d = _li_clusters(spark, sf_dir)
+    return d, K.type_features(d, K_FEATS)
+
+
+@register("feature_types_lineitem", f"WITH {K_TYPES_SQL} SELECT feature_name, n_distinct, feature_type FROM types")
+def q_k4(spark, sf_dir):
+    return _k_types(spark, sf_dir)[1]
+
+
+@register("cluster_summary_lineitem", f"""WITH {K_TYPES_SQL},
+means AS (SELECT l.cluster_id, l.feature_name, t.feature_type, avg(CAST(l.v AS DOUBLE)) AS value
+          FROM long_i l JOIN types t ON l.feature_name = t.feature_name
+          WHERE t.feature_type <> 'categorical' AND l.v IS NOT NULL GROUP BY ALL),
+cnt AS (SELECT l.cluster_id, l.feature_name, t.feature_type, l.v, count(*) AS n
+        FROM long_i l JOIN types t ON l.feature_name = t.feature_name
+        WHERE t.feature_type = 'categorical' AND l.v IS NOT NULL GROUP BY ALL),
+modes AS (SELECT cluster_id, feature_name, feature_type, CAST(v AS DOUBLE) AS value FROM (
+          SELECT *, row_number() OVER (PARTITION BY cluster_id, feature_name ORDER BY n DESC, v) AS r FROM cnt) WHERE r = 1)
+SELECT cluster_id, feature_name, feature_type, CAST(round(value, 6) AS DECIMAL(38,6)) AS value
+FROM (SELECT * FROM means UNION ALL SELECT * FROM modes)""")
+def q_k4b(spark, sf_dir):
+    d, types = _k_types(spark, sf_dir)
+    s = K.cluster_summary(d, K_FEATS, types)
+    return s.select("cluster_id", "feature_name", "feature_type", dec(F.col("value")).alias("value"))
+
+
+@register("cluster_table_lineitem", f"""SELECT cluster_id, count(*) AS TOTAL,
+  count_if(coalesce(drv_lbl <> 0, false)) AS POS_OUTCOME, count_if(coalesce(big_qty <> 0, false)) AS big_qty,
+  count_if(coalesce(high_disc <> 0, false)) AS high_disc FROM {LI_CLUSTERS_SQL} GROUP BY cluster_id""")
+def q_k5(spark, sf_dir):
+    return K.cluster_table(_li_clusters(spark, sf_dir), "drv_lbl", ["big_qty", "high_disc"])
+
+
+@register("cluster_significance_lineitem", f"""WITH {K_TYPES_SQL},
+cat AS (SELECT l.feature_name, l.cluster_id, l.v, CAST(count(*) AS DOUBLE) AS o
+        FROM long_i l JOIN types t ON l.feature_name = t.feature_name
+        WHERE t.feature_type <> 'numeric' AND l.v IS NOT NULL GROUP BY ALL),
+rows_t AS (SELECT feature_name, cluster_id, sum(o) AS r FROM cat GROUP BY ALL),
+cols_t AS (SELECT feature_name, v, sum(o) AS c FROM cat GROUP BY ALL),
+tot AS (SELECT feature_name, sum(r) AS n, count(*) AS n_r FROM rows_t GROUP BY ALL),
+nc AS (SELECT feature_name, count(*) AS n_c FROM cols_t GROUP BY ALL),
+chi AS (SELECT x.feature_name, 'chi2' AS test, sum(x.o * x.o * t.n / (r.r * cc.c)) - t.n AS statistic,
+               CAST((t.n_r - 1) * (nc.n_c - 1) AS BIGINT) AS dof1, CAST(NULL AS BIGINT) AS dof2
+        FROM cat x JOIN rows_t r ON x.feature_name = r.feature_name AND x.cluster_id = r.cluster_id
+        JOIN cols_t cc ON x.feature_name = cc.feature_name AND x.v = cc.v
+        JOIN tot t ON x.feature_name = t.feature_name JOIN nc ON x.feature_name = nc.feature_name
+        GROUP BY x.feature_name, t.n, t.n_r, nc.n_c),
+long_d AS ({_k_long_sql('CAST({c} AS DOUBLE)')}),
+g AS (SELECT l.feature_name, l.cluster_id, CAST(count(*) AS DOUBLE) AS ng, avg(l.v) AS mg, var_pop(l.v) AS vg
+      FROM long_d l JOIN types t ON l.feature_name = t.feature_name
+      WHERE t.feature_type = 'numeric' AND l.v IS NOT NULL GROUP BY ALL),
+grand AS (SELECT feature_name, sum(ng * mg) / sum(ng) AS gm, sum(ng) AS n, count(*) AS k FROM g GROUP BY ALL),
+an AS (SELECT g.feature_name, 'anova' AS test,
+              CASE WHEN k > 1 AND n > k AND sum(ng * vg) > 0
+                   THEN (sum(ng * (mg - gm) * (mg - gm)) / (k - 1)) / (sum(ng * vg) / (n - k)) END AS statistic,
+              CAST(k - 1 AS BIGINT) AS dof1, CAST(n - k AS BIGINT) AS dof2
+       FROM g JOIN grand ON g.feature_name = grand.feature_name GROUP BY g.feature_name, n, k, gm)
+SELECT x.feature_name, t.feature_type, x.test, CAST(round(x.statistic, 6) AS DECIMAL(38,6)) AS statistic, x.dof1, x.dof2
+FROM (SELECT * FROM chi UNION ALL SELECT * FROM an) x JOIN types t ON x.feature_name = t.feature_name""")
+def q_k6(spark, sf_dir):
+    d, types = _k_types(spark, sf_dir)
+    s = K.cluster_significance(d, K_FEATS, types)
+    return s.select("feature_name", "feature_type", "test", dec(F.col("statistic")).alias("statistic"), "dof1", "dof2")
+
+
+FIXED_RULES = [(0, 0, "`l_quantity` <= 25 AND `l_discount` <= 0.05"),
+               (1, 1, "`l_quantity` > 25"),
+               (2, 2, "`l_quantity` <= 25 AND `l_discount` > 0.05")]
+
+
+@register("rules_apply_lineitem", """WITH m AS (
+  SELECT CASE WHEN l_quantity <= 25 AND l_discount <= 0.05 THEN 0 WHEN l_quantity > 25 THEN 1
+              WHEN l_quantity <= 25 AND l_discount > 0.05 THEN 2 END AS rule_no,
+         CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS actual FROM lineitem),
+r AS (SELECT * FROM (VALUES (0, 0, '`l_quantity` <= 25 AND `l_discount` <= 0.05'), (1, 1, '`l_quantity` > 25'),
+                            (2, 2, '`l_quantity` <= 25 AND `l_discount` > 0.05')) v(rule_no, cluster_id, rule))
+SELECT CAST(r.rule_no AS INTEGER) AS rule_no, CAST(r.cluster_id AS INTEGER) AS cluster_id, r.rule,
+       CAST(coalesce(a.support, 0) AS BIGINT) AS support,
+       CAST(round(CASE WHEN a.support > 0 THEN CAST(a.hit AS DOUBLE) / CAST(a.support AS DOUBLE) END, 6) AS DECIMAL(38,6)) AS confidence
+FROM r LEFT JOIN (SELECT m.rule_no, count(*) AS support, count_if(m.actual = r2.cluster_id) AS hit
+                  FROM m JOIN r r2 ON m.rule_no = r2.rule_no GROUP BY m.rule_no) a ON r.rule_no = a.rule_no""")
+def q_k8(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem").withColumn(
+        "cluster_id", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
+    r = K.apply_rules(li, FIXED_RULES)
+    return r.select("rule_no", "cluster_id", "rule", "support", dec(F.col("confidence")).alias("confidence"))
+
+
+# rows-only: model fitting (results depend on the optimiser, not expressible in SQL)
+EMB_DIMS = 64
+
+
+@register("pca_embeddings")
+def q_k1(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return K.reduce_pca(e, "embedding", k=5, keep=["vec_id", "label"])
+
+
+def _emb_clusters(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    pcs = K.reduce_pca(e, "embedding", k=5, keep=["vec_id", "embedding"])
+    return K.kmeans(pcs, [f"pc_{i}" for i in range(1, 6)], k=2, n_init=10, keep=["vec_id", "embedding"])[0]
+
+
+@register("kmeans_embeddings")
+def q_k2(spark, sf_dir):
+    return _emb_clusters(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("silhouette_embeddings")
+def q_k3(spark, sf_dir):
+    return K.silhouette(_emb_clusters(spark, sf_dir), "embedding")
+
+
+@register("rules_mined_lineitem")
+def q_k7(spark, sf_dir):
+    d = _li_clusters(spark, sf_dir)
+    feats = ["l_quantity", "l_linenumber", "big_qty", "high_disc", "l_extendedprice"]
+    model, acc = K.mine_rules(d, feats, "cluster_id", min_samples_leaf=10, max_depth=10)
+    return K.apply_tree_rules(d, model, feats).withColumn("train_accuracy", F.lit(float(acc)))
+
+
+def _risk_input(spark, sf_dir):
+    """orders: scaled total price and one-hot priority as features, status F
+    as outcome, R1 split on the order key."""
+    o = S.stamp_row_ids(read(spark, sf_dir, "orders"))
+    hot = FE.explode_factors(o, ["o_orderpriority"], prefix="prio_", keep=["o_orderkey", "o_orderstatus", "o_totalprice"])
+    data = FE.min_max(hot, ["o_totalprice"]).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
+    feats = ["o_totalprice"] + [c for c in hot.columns if c.startswith("prio_")]
+    return R.stratified_split(data, "y", "o_orderkey", 0.2, seed=1), feats
+
+
+@register("logistic_coefficients_orders")
+def q_r2(spark, sf_dir):
+    data, feats = _risk_input(spark, sf_dir)
+    return R.coefficients(R.fit_logistic(data.filter(F.col("split") == "train"), feats, "y"), feats)
+
+
+@register("forest_importance_orders")
+def q_r3(spark, sf_dir):
+    data, feats = _risk_input(spark, sf_dir)
+    return R.coefficients(R.fit_forest(data.filter(F.col("split") == "train"), feats, "y", n_trees=20), feats)
+
+
+@register("risk_scores_orders")
+def q_r5(spark, sf_dir):
+    data, feats = _risk_input(spark, sf_dir)
+    model = R.fit_logistic(data.filter(F.col("split") == "train"), feats, "y")
+    return R.score(model, data, feats).select("o_orderkey", "split", "y", "p")
+
+
+@register("risk_metrics_orders")
+def q_r6b(spark, sf_dir):
+    data, feats = _risk_input(spark, sf_dir)
+    model = R.fit_logistic(data.filter(F.col("split") == "train"), feats, "y")
+    scored = R.score(model, data, feats)
+    return R.threshold_metrics(scored, "y", "p", "split", 0.5).join(
+        R.auc(R.roc_points(scored, "y", "p", "split")), "split")

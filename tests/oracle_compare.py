@@ -56,7 +56,7 @@ def duck(sf_dir):
 def run(sf_dir, names=None, spark=None):
     import __spark_entry__ as E
     from cohortlab.session import build_session
-    spark = spark or build_session("local[8]", shuffle_partitions=8)
+    spark = spark or build_session("local[8]", shuffle_partitions=8, conf={"spark.driver.memory": "8g"})
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     results = {}
