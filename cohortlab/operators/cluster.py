@@ -21,11 +21,19 @@ CLUSTER = "cluster_id"
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, out: str = "_x") -> DataFrame:
     """Feature columns (or one array column) as an ML vector column."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
     if isinstance(features, str):
         return df.withColumn(out, array_to_vector(qcol(features).cast("array<double>")))
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+    return assemble(df, features, out)
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
+    """VectorAssembler over any column names: names with dots or spaces are
+    aliased to plain ones first (the assembler reads dots as struct fields)."""
+    from pyspark.ml.feature import VectorAssembler
+    tmp = [f"_feat{i}" for i in range(len(features))]
+    staged = df.select("*", *[qcol(c).alias(t) for c, t in zip(features, tmp)])
+    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="keep").transform(staged).drop(*tmp)
 
 
 # ---------------------------------------------------------------- K1-K3

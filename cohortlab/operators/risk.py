@@ -55,8 +55,8 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float = 0.2,
 # ---------------------------------------------------------------- R2-R5
 
 def _assemble(df: DataFrame, features: list[str], out: str = "features"):
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    from cohortlab.operators.cluster import assemble
+    return assemble(df, features, out)
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str, reg: float | None = None):

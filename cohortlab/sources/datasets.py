@@ -249,12 +249,24 @@ class Workspace:
                       if s.isDirectory() and not s.getPath().getName().startswith("_")
                       and fs.exists(self._fs(self.data_path(s.getPath().getName()))[1]))
 
-    def _write(self, df: DataFrame, path: str) -> None:
-        target = self._qualified(path)
+    def _reads(self, df: DataFrame, path: str) -> bool:
+        """Does the plan read files under ``path``?  (URIs are compared in
+        their qualified, normalised form: file:/x and file:///x are one.)"""
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(self._qualified(path)).toUri().normalize()
+        t = str(target.getScheme()) + ":" + str(target.getPath()).rstrip("/") + "/"
         try:
-            reads_target = any(f.startswith(target) for f in df.inputFiles())
+            files = df.inputFiles()
         except Exception:
-            reads_target = False
+            return False
+        for f in files:
+            u = jvm.org.apache.hadoop.fs.Path(self._qualified(f)).toUri().normalize()
+            if (str(u.getScheme()) + ":" + str(u.getPath())).startswith(t):
+                return True
+        return False
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        reads_target = self._reads(df, path)
         if reads_target:
             # Overwriting a table the plan still reads: cut the lineage with a
             # reliable checkpoint in the cluster's shared checkpoint folder.
