@@ -37,7 +37,7 @@ PROFILE_FIELDS = [
 # ---------------------------------------------------------------- base tables
 
 def column_stats(df: DataFrame, cols: Iterable[str] | None = None,
-                 approx_distinct: bool = False, rsd: float = 0.02) -> DataFrame:
+                 approx_distinct: bool = False, rsd: float = 0.05) -> DataFrame:
     """One row per column: ``col_name, col_pos, storage, n_rows, n_non_null,
     min_value, max_value (double, numeric only), min_text, max_text`` and,
     with ``approx_distinct``, an HLL estimate ``approx_distinct``.
@@ -145,7 +145,7 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
             overrides: Mapping[str, str] | None = None,
             stored: DataFrame | None = None,
             cap: int = FACTOR_CAP, num2factor: int = NUM2FACTOR_THRESHOLD,
-            approx: bool = False, rsd: float = 0.02) -> DataFrame:
+            approx: bool = False, rsd: float = 0.05) -> DataFrame:
     """One profile row per column (schema ``PROFILE_FIELDS``).
 
     Type precedence: ``overrides`` (column -> type) > ``stored`` profile's

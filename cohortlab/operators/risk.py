@@ -10,6 +10,14 @@ from cohortlab.functions.running import running_sum
 
 # ---------------------------------------------------------------- R1
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Small intermediate used by several branches: compute it once and cut
+    its lineage with a reliable checkpoint (shared checkpoint folder)."""
+    from cohortlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 
 def split_hash(id_col: str, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), qcol(id_col).cast("string")))
@@ -38,7 +46,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float = 0.2,
     bounds = (per.filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
               .select("_y", F.col("_b").alias("_bb"), F.col("_before").alias("_bbefore"), "_k"))
     ks = per.select("_y", "_k").distinct()
-    b = ks.join(bounds.drop("_k"), "_y", "left")                 # one row per label
+    # one row per label; materialised once (reliable checkpoint in the
+    # cluster's checkpoint folder) so both branches below reuse it
+    b = _materialise(ks.join(bounds.drop("_k"), "_y", "left"))
     tagged = base.join(F.broadcast(b), qcol(label).eqNullSafe(F.col("_y")), "left")
     out_cols = [qcol(c) for c in df.columns]
     plain = tagged.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).select(
@@ -135,7 +145,9 @@ def roc_points(scored: DataFrame, label: str, prob: str, split_col: str = "split
 
     Scores are grouped first (ties share a point); the running totals are
     distributed (range partitions + offsets), never one task per split."""
-    counts = _score_counts(scored, label, prob, split_col)
+    # distinct scores per split: materialised once, read by the running
+    # totals (twice) and the class totals
+    counts = _materialise(_score_counts(scored, label, prob, split_col))
     cum = running_sum(counts, ["split"], "threshold", ["pos", "neg"], descending=True)
     totals = counts.groupBy("split").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = cum.join(F.broadcast(totals), "split").select(

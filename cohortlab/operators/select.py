@@ -17,36 +17,36 @@ MISSING = "\\N"          # null is a value of its own
 DECILES = [i / 10 for i in range(1, 10)]
 
 
-def _numeric_to_bin(df: DataFrame, feats: list[str], max_levels: int) -> list[str]:
-    """Numeric features with more than ``max_levels`` distinct values.
+def _numeric_to_bin(df: DataFrame, feats: list[str], max_levels: int) -> tuple[list[str], dict[str, int]]:
+    """Numeric features with more than ``max_levels`` distinct values, and
+    the non-null count of each numeric feature.
 
-    A HyperLogLog pass settles clear cases; only columns near the limit get
-    an exact count, and those are small by definition.
+    One pass gives a HyperLogLog estimate and the count per column; clear
+    cases are settled by the estimate, only columns near the limit get an
+    exact count (they have few values, so that shuffle is small).
     """
     num = [c for c in feats if kinds(df, [c])[c] == "numeric"]
     if not num:
-        return []
-    est = df.agg(*[F.approx_count_distinct(qcol(c), 0.01).alias(f"e{i}") for i, c in enumerate(num)]).first()
-    clear = {c for i, c in enumerate(num) if est[f"e{i}"] >= 3 * max_levels}
-    unsure = [c for i, c in enumerate(num) if max_levels // 3 <= est[f"e{i}"] < 3 * max_levels]
+        return [], {}
+    row = df.agg(*[F.approx_count_distinct(qcol(c), 0.05).alias(f"e{i}") for i, c in enumerate(num)],
+                 *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(num)]).first()
+    counts = {c: row[f"n{i}"] for i, c in enumerate(num)}
+    clear = {c for i, c in enumerate(num) if row[f"e{i}"] >= 3 * max_levels}
+    unsure = [c for i, c in enumerate(num) if max_levels // 3 <= row[f"e{i}"] < 3 * max_levels]
     if unsure:
         exact = {r["col_name"]: r["k"] for r in
                  value_counts(df, unsure).groupBy("col_name").agg(F.count(F.lit(1)).alias("k")).collect()}
         clear |= {c for c in unsure if exact.get(c, 0) > max_levels}
-    return [c for c in num if c in clear]
+    return [c for c in num if c in clear], counts
 
 
-def discretize(df: DataFrame, feats: list[str], max_levels: int = 10) -> tuple[DataFrame, dict]:
+def discretize(df: DataFrame, feats: list[str], max_levels: int = 10) -> tuple[list, dict]:
     """Numeric features with many values become decile bins ``b0..b9``
     (exact discrete deciles); others keep their value as text; null is
-    ``\\N``.  Returns the text-valued frame and the cut points used."""
-    to_bin = _numeric_to_bin(df, feats, max_levels)
+    ``\\N``.  Returns the projection and the cut points used."""
+    to_bin, counts = _numeric_to_bin(df, feats, max_levels)
     cuts: dict[str, list[float]] = {}
     if to_bin:
-        counts = {r["col_name"]: r["n"] for r in
-                  df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(to_bin)])
-                  .select(F.inline(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(f"n{i}").alias("n"))
-                                              for i, c in enumerate(to_bin)]))).collect()}
         q = exact_quantiles(df, to_bin, DECILES, counts, "lower").collect()
         for r in q:
             cuts.setdefault(r["col_name"], [None] * len(DECILES))[r["q_idx"]] = r["value"]

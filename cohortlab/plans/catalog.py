@@ -882,3 +882,17 @@ def q_r6b(spark, sf_dir):
     scored = R.score(model, data, feats)
     return R.threshold_metrics(scored, "y", "p", "split", 0.5).join(
         R.auc(R.roc_points(scored, "y", "p", "split")), "split")
+
+
+# ------------------------------------------------------------------ flows (rows-only)
+from cohortlab.plans import flows as FL  # noqa: E402
+
+
+@register("risk_flow_orders")
+def q_risk_flow(spark, sf_dir):
+    """Flow C with the random-forest option on orders: AUC and metrics per split."""
+    o = read(spark, sf_dir, "orders")
+    o = o.select("o_orderkey", "o_totalprice", F.dayofweek("o_orderdate").cast("double").alias("o_dow"),
+                 (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    out = FL.risk_flow(o, ["o_totalprice", "o_dow"], "y", "o_orderkey", 0.2, 0.5, "RF", seed=3, label_shift=None)
+    return out["metrics"].join(out["auc"], "split")
