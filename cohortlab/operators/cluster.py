@@ -54,24 +54,37 @@ def reduce_pca(df: DataFrame, features: Sequence[str] | str, k: int = 5, keep: I
 
 
 def kmeans(df: DataFrame, features: Sequence[str] | str, k: int = 2, n_init: int = 10, seed: int = 0,
-           keep: Iterable[str] = (), max_iter: int = 300):
+           keep: Iterable[str] = (), max_iter: int = 300, parallel: int = 10, tol: float = 1e-4):
     """K2: k-means (k-means|| seeding), ``n_init`` seeds, the fit with the
     least within-cluster cost wins.  Returns ``(rows with cluster_id, model)``.
 
     The input is persisted (memory and disk) for the repeated fits; a lost
-    executor's blocks are recomputed from lineage.
+    executor's blocks are recomputed from lineage.  Up to ``parallel`` fits
+    are submitted at once, so their small per-iteration jobs share the
+    cluster instead of queueing one after another.  ``tol`` is relative to
+    the mean feature variance (the usual k-means convention); MLlib's own
+    tolerance is an absolute centre shift, so it is scaled here.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    x = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_cost = None, None
-    for i in range(n_init):
+    from pyspark.ml.stat import Summarizer
+    x = _vectors(df, features).select(*[qcol(c) for c in keep], "_x").persist(StorageLevel.MEMORY_AND_DISK)
+    var = x.select(Summarizer.variance(F.col("_x")).alias("v")).first()["v"]
+    mean_var = float(sum(var.toArray()) / max(len(var), 1)) if var is not None else 0.0
+    epsilon = (tol * mean_var) ** 0.5 if mean_var > 0 else tol
+
+    def fit(i):
         m = KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol=CLUSTER,
-                   initMode="k-means||", maxIter=max_iter).fit(x)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
-    out = best.transform(x).select(*[qcol(c) for c in keep], F.col(CLUSTER).cast("int").alias(CLUSTER))
+                   initMode="k-means||", maxIter=max_iter, tol=epsilon).fit(x)
+        return m.summary.trainingCost, i, m
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = min(fits, key=lambda t: (t[0], t[1]))[2]          # ties: lowest seed
     x.unpersist()
+    out = best.transform(_vectors(df, features)).select(*[qcol(c) for c in keep],
+                                                        F.col(CLUSTER).cast("int").alias(CLUSTER))
     return out, best
 
 
