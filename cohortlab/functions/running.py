@@ -34,9 +34,14 @@ def running_sum(df: DataFrame, group_cols: Iterable[str], order_col: str, value_
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order: Column = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    # An explicit partition count keeps AQE from coalescing these partitions,
-    # so partition ids are the same wherever this subtree is evaluated.
+    # Range bounds come from sampling, so two evaluations of the exchange
+    # need not agree; the range-partitioned rows are written once (reliable
+    # checkpoint in the shared checkpoint folder) and both the partition sums
+    # and the local running totals read that same copy.
+    from cohortlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     ranged = (df.repartitionByRange(n_parts, *[F.col(g) for g in group_cols], order)
+              .checkpoint(eager=True)
               .withColumn("_pid", F.spark_partition_id()))
     part = ranged.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_ps_{v}") for v in value_cols])
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

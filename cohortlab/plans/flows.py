@@ -55,6 +55,41 @@ def profile_datasets(ws: Workspace, names: Sequence[str] | None = None,
     return P.query_profiles({n: ws.load_profile(n) for n in names})
 
 
+COLUMN_ACTIONS = ("DEL", "REMAIN", "CREATE")
+
+
+def column_action(ws: Workspace, name: str, cols: Sequence[str], action: str,
+                  new_name: str | None = None) -> DataFrame | None:
+    """Column actions of the cleansing page (C1-C3), data and profile kept
+    in step and the fingerprint renewed (S8):
+
+    * ``DEL``    drop the columns in place;
+    * ``REMAIN`` keep only the columns in place;
+    * ``CREATE`` write the columns as a new dataset ``new_name`` (data only)
+      and return the profile rows that belong to it.
+    """
+    if action not in COLUMN_ACTIONS:
+        raise ValueError(f"unknown column action {action!r}; use one of {COLUMN_ACTIONS}")
+    df = ws.load(name)
+    prof = ws.load_profile(name)
+    if action == "CREATE":
+        if not new_name:
+            raise ValueError("CREATE needs a new dataset name")
+        out = ws.save(C.keep_columns(df, cols), new_name)
+        ws.update_registry(fingerprint(out, name=new_name))
+        return C.profile_rows(prof, cols, keep=True) if prof is not None else None
+    new_prof = None
+    if prof is not None:
+        new_prof = C.profile_rows(prof, cols, keep=(action == "REMAIN"))
+        ensure_checkpoint_dir(ws.spark)
+        new_prof = new_prof.checkpoint(eager=True)     # the profile path is rewritten below
+    out = ws.save(C.drop_columns(df, cols) if action == "DEL" else C.keep_columns(df, cols), name)
+    if new_prof is not None:
+        ws.save_profile(new_prof, name)
+    ws.update_registry(fingerprint(out, name=name))
+    return ws.load_profile(name)
+
+
 def filter_to_dataset(ws: Workspace, source: str, expr: str, target: str,
                       min_non_null: float | None = None) -> DataFrame:
     """Flow B (rows): filter by expression (C5) and optional non-null share

@@ -34,8 +34,13 @@ def stamp_row_ids(df: DataFrame) -> DataFrame:
     are turned into offsets and broadcast, and each row gets
     ``offset + row-in-partition``.  Partition contents of a file scan are
     deterministic, so a recomputed task after an executor loss gets the
-    same ids.
+    same ids; an input that went through a shuffle is checkpointed first.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        # rows after a shuffle arrive in no fixed order: fix them first, so
+        # that the count pass and the numbering pass see the same partitions
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     base = df.select("*", F.spark_partition_id().alias("_pid"),
                      F.monotonically_increasing_id().alias("_mid"))
     counts = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

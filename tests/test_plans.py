@@ -53,3 +53,22 @@ def test_risk_and_cluster_flows(spark):
     assert c["clusters"].count() == 300
     assert c["rules"].agg(F.sum("support")).first()[0] == 300
     assert c["table"].agg(F.sum("TOTAL")).first()[0] == 300
+
+
+def test_column_actions(spark, tmpdir_path):
+    ws = _ws(spark, tmpdir_path)
+    FL.profile_datasets(ws)
+    prof = FL.column_action(ws, "cohort", ["grp"], "DEL")
+    assert set(ws.load("cohort").columns) == {"_row_id", "pid", "x", "label"}
+    assert {r["col_name"] for r in prof.collect()} == {"pid", "x", "label"}
+    # profile still fresh after the action: the registry was renewed
+    reasons = S.stale_profiles(S.fingerprint(ws.load("cohort"), name="cohort"), ws.registry(),
+                               ws.load_profile("cohort").withColumn("dataset", F.lit("cohort"))).first()
+    assert reasons["reason"] == "fresh"
+    rows = FL.column_action(ws, "cohort", ["x"], "CREATE", "only_x")
+    assert ws.load("only_x").columns == ["_row_id", "x"] and rows.count() == 1
+    FL.column_action(ws, "cohort", ["pid"], "REMAIN")
+    assert ws.load("cohort").columns == ["_row_id", "pid"]
+    import pytest
+    with pytest.raises(ValueError):
+        FL.column_action(ws, "cohort", ["pid"], "SHRED")
