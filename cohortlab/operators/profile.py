@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from cohortlab.functions.columns import (
     FACTOR_CAP, NUM2FACTOR_THRESHOLD, SEMANTIC_TYPES, UNCERTAIN,
-    data_columns, kinds, qcol, unpivot_double, unpivot_text,
+    as_text, data_columns, kinds, qcol, unpivot_double,
 )
 
 PROFILE_FIELDS = [
@@ -78,13 +78,33 @@ def column_stats(df: DataFrame, cols: Iterable[str] | None = None,
 
 def value_counts(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """P2/P9 base table ``(col_name, val, cnt)``: non-null value counts of
-    every column, values as text.  One shuffle, combined map-side."""
+    every column.  One shuffle, combined map-side.
+
+    Integer and double columns are grouped in their native form and turned
+    into text only after aggregation (the distinct table is what gets the
+    cast, and only where ``val`` is read), so the per-row hot path does no
+    number-to-text conversion.
+    """
     cols = data_columns(df, cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "col_name string, val string, cnt bigint")
-    return (unpivot_text(df, cols)
-            .groupBy("col_name", "val")
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    kind = kinds(df, cols)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    structs = []
+    for c in cols:
+        dt = types[c]
+        lv = qcol(c).cast("long") if isinstance(dt, integral) else F.lit(None).cast("long")
+        dv = qcol(c) if isinstance(dt, T.DoubleType) else F.lit(None).cast("double")
+        sv = (F.lit(None).cast("string") if isinstance(dt, integral + (T.DoubleType,))
+              else as_text(qcol(c), kind[c]))
+        structs.append(F.struct(F.lit(c).alias("col_name"), lv.alias("_l"), dv.alias("_d"), sv.alias("_s")))
+    long = (df.select(F.inline(F.array(*structs)))
+            .filter(F.col("_l").isNotNull() | F.col("_d").isNotNull() | F.col("_s").isNotNull()))
+    counted = long.groupBy("col_name", "_l", "_d", "_s").agg(F.count(F.lit(1)).alias("cnt"))
+    return counted.select("col_name",
+                          F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string")).alias("val"),
+                          "cnt")
 
 
 def distinct_counts(vc: DataFrame) -> DataFrame:
