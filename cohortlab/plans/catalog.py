@@ -896,3 +896,28 @@ def q_risk_flow(spark, sf_dir):
                  (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     out = FL.risk_flow(o, ["o_totalprice", "o_dow"], "y", "o_orderkey", 0.2, 0.5, "RF", seed=3, label_shift=None)
     return out["metrics"].join(out["auc"], "split")
+
+
+# ------------------------------------------------------------------ more operator variants
+@register("select_columns_customer", """SELECT * EXCLUDE (c_acctbal) FROM customer""")
+def q_c4_apply(spark, sf_dir):
+    """C4 applied to the data: keep the columns whose every value matches the regex."""
+    c = read(spark, sf_dir, "customer")
+    return C.select_columns(c, P.profile(c), value_regex=REGEX)
+
+
+@register("columns_by_type_and_ratio_lineitem", _prof_filter_sql(
+    _oracle_profile("lineitem"),
+    "col_datatype IN ('numeric', 'factor_s') AND CAST(col_factornum AS DOUBLE) / (CAST(n_rows AS DOUBLE) + 1.0) >= 0.0001"))
+def q_c4_and(spark, sf_dir):
+    """C4 with two conditions combined (AND): a type list and a distinct ratio."""
+    li = read(spark, sf_dir, "lineitem")
+    return C.matching_columns(P.profile(li), data_type="numeric, factor_s",
+                              min_distinct_ratio=0.0001).select(*PROFILE_OUT)
+
+
+@register("cluster_pvalues_lineitem")
+def q_k6_p(spark, sf_dir):
+    """K6 with p-values (chi-square / F upper tails from commons-math)."""
+    d, types = _k_types(spark, sf_dir)
+    return K.p_values(K.cluster_significance(d, K_FEATS, types))
