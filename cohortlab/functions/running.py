@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import unpivot_double
+from cohortlab.functions.sizing import small_side
 
 
 def running_sum(df: DataFrame, group_cols: Iterable[str], order_col: str, value_cols: Iterable[str],
@@ -49,8 +50,8 @@ def running_sum(df: DataFrame, group_cols: Iterable[str], order_col: str, value_
         F.coalesce(F.sum(f"_ps_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
     local = Window.partitionBy("_pid", *group_cols).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inside = ranged.select("*", *[F.sum(v).over(local).alias(f"_in_{v}") for v in value_cols])
-    # offsets hold one row per (partition, group): bounded by partitions x groups
-    joined = inside.join(F.broadcast(offsets), ["_pid", *group_cols])
+    # offsets hold one row per (partition, group)
+    joined = inside.join(small_side(offsets), ["_pid", *group_cols])
     return joined.select(*[F.col(c) for c in df.columns],
                          *[(F.col(f"_off_{v}") + F.col(f"_in_{v}")).alias(f"{prefix}{v}") for v in value_cols])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import qcol, safe_div
 from cohortlab.functions.running import running_sum
+from cohortlab.functions.sizing import small_side
 
 # ---------------------------------------------------------------- R1
 
@@ -46,10 +47,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float = 0.2,
     bounds = (per.filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_c")))
               .select("_y", F.col("_b").alias("_bb"), F.col("_before").alias("_bbefore"), "_k"))
     ks = per.select("_y", "_k").distinct()
-    # one row per label; materialised once (reliable checkpoint in the
-    # cluster's checkpoint folder) so both branches below reuse it
-    b = _materialise(ks.join(bounds.drop("_k"), "_y", "left"))
-    tagged = base.join(F.broadcast(b), qcol(label).eqNullSafe(F.col("_y")), "left")
+    # one row per label: materialised once and broadcast after a size
+    # check, so both branches below reuse it and no class meets in one task
+    b = small_side(ks.join(bounds.drop("_k"), "_y", "left"))
+    tagged = base.join(b, qcol(label).eqNullSafe(F.col("_y")), "left")
     out_cols = [qcol(c) for c in df.columns]
     plain = tagged.filter(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).select(
         *out_cols, F.when(F.col("_bb").isNotNull() & (F.col("_b") < F.col("_bb")), F.lit("test"))
@@ -149,8 +150,8 @@ def roc_points(scored: DataFrame, label: str, prob: str, split_col: str = "split
     # totals (twice) and the class totals
     counts = _materialise(_score_counts(scored, label, prob, split_col))
     cum = running_sum(counts, ["split"], "threshold", ["pos", "neg"], descending=True)
-    totals = counts.groupBy("split").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = cum.join(F.broadcast(totals), "split").select(
+    totals = small_side(counts.groupBy("split").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    pts = cum.join(totals, "split").select(
         "split", "threshold", "pos", "neg", "cum_pos", "cum_neg",
         safe_div(F.col("cum_neg"), F.col("N")).alias("fpr"), safe_div(F.col("cum_pos"), F.col("P")).alias("tpr"))
     origin = totals.select("split", F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("pos"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.columns import ROW_ID, data_columns, qcol
+from cohortlab.functions.sizing import small_side
 from cohortlab.session import ensure_checkpoint_dir
 
 ROW_BITS = (1 << 33) - 1          # row-in-partition part of monotonically_increasing_id
@@ -45,8 +46,9 @@ def stamp_row_ids(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_mid"))
     counts = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint").alias("_off"))
-    return (base.join(F.broadcast(offsets), "_pid")
+    offsets = small_side(counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                       .cast("bigint").alias("_off")))        # one row per input partition
+    return (base.join(offsets, "_pid")
             .select(*[qcol(c) for c in df.columns],
                     (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(ROW_BITS))).alias(ROW_ID)))
 
