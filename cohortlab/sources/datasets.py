@@ -257,20 +257,17 @@ class Workspace:
                       and fs.exists(self._fs(self.data_path(s.getPath().getName()))[1]))
 
     def _reads(self, df: DataFrame, path: str) -> bool:
-        """Does the plan read files under ``path``?  (URIs are compared in
-        their qualified, normalised form: file:/x and file:///x are one.)"""
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self._qualified(path)).toUri().normalize()
-        t = str(target.getScheme()) + ":" + str(target.getPath()).rstrip("/") + "/"
+        """Does the plan read files under ``path``?  URIs are compared in a
+        normalised form (``file:/x`` and ``file:///x`` are one); one JVM call
+        for the target, plain string work for the (possibly many) inputs."""
+        def norm(uri: str) -> str:
+            return "file:/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+        target = norm(self._qualified(path)).rstrip("/") + "/"
         try:
             files = df.inputFiles()
         except Exception:
             return False
-        for f in files:
-            u = jvm.org.apache.hadoop.fs.Path(self._qualified(f)).toUri().normalize()
-            if (str(u.getScheme()) + ":" + str(u.getPath())).startswith(t):
-                return True
-        return False
+        return any(norm(f).startswith(target) for f in files)
 
     def _write(self, df: DataFrame, path: str) -> None:
         reads_target = self._reads(df, path)

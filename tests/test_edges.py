@@ -206,3 +206,24 @@ def test_information_gain_perfect_and_useless(spark):
     assert s["noise"] == pytest.approx(0.0, abs=1e-12)
     top = SEL.select_top(SEL.information_gain(df, "y"), k=1).collect()
     assert top[0][0] == "perfect"
+
+
+def test_hot_key_holds_a_third_of_rows(spark):
+    # key 7 holds 40% of the rows: results stay whole and exact
+    n = 3000
+    df = spark.range(n).select(F.col("id"), F.when(F.col("id") % 5 < 2, 7).otherwise(F.col("id")).alias("k"),
+                               (F.col("id") % 2).cast("int").alias("y"))
+    ids = spark.range(0, 50).select(F.col("id").alias("DESYNPUF_ID")).union(
+        spark.range(0, 2000).select(F.lit(7).cast("long").alias("DESYNPUF_ID")))
+    kept = C.filter_by_ids(df, ids, key="k")
+    assert kept.count() == df.filter((F.col("k") < 50)).count()
+    other = spark.range(0, 100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = J.join_key(df, other, "k", "left")
+    assert joined.count() == n and joined.filter(F.col("k") == 7).select("v").distinct().first()[0] == 14
+    hot_label = df.select("k", (F.col("k") == 7).cast("int").alias("is_hot"))
+    s = {r[0]: r[1] for r in SEL.information_gain(hot_label, "is_hot").collect()}
+    p = 0.4
+    h = -(p * math.log(p) + (1 - p) * math.log(1 - p))
+    assert 0.9 * h < s["k"] <= h + 1e-12          # the hot value's decile bin nearly decides the label
+    hot = P.value_counts(df, ["k"]).filter(F.col("val") == "7").first()["cnt"]
+    assert hot == df.filter(F.col("k") == 7).count()
