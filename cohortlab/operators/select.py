@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions.columns import ROW_ID, data_columns, kinds, qcol
 from cohortlab.functions.running import exact_quantiles
 from cohortlab.functions.sizing import small_side
+from cohortlab.session import ensure_checkpoint_dir
 from cohortlab.operators.profile import value_counts
 
 MISSING = "\\N"          # null is a value of its own
@@ -78,6 +79,9 @@ def information_gain(df: DataFrame, label: str, features: Iterable[str] | None =
     pairs = F.array(*[F.struct(F.lit(c).alias("feature_name"), F.col(f"`{c}`").alias("val")) for c in feats])
     joint = (text.select("_y", F.inline(pairs))
              .groupBy("feature_name", "val", "_y").agg(F.count(F.lit(1)).cast("double").alias("n_vy")))
+    # the joint counts feed the marginals and the terms: computed once
+    ensure_checkpoint_dir(df.sparkSession)
+    joint = joint.checkpoint(eager=True)
     by_y = small_side(joint.groupBy("feature_name", "_y").agg(F.sum("n_vy").alias("n_y")))  # features x labels
     tot = by_y.groupBy("feature_name").agg(F.sum("n_y").alias("n"))                          # one row per feature
     w = Window.partitionBy("feature_name", "val")
