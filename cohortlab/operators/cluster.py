@@ -260,8 +260,8 @@ def tree_rules(model, features: Sequence[str]) -> list[tuple[int, int, str]]:
 
 def tree_leaf_expr(model, features: Sequence[str]):
     """The fitted tree as one nested ``CASE`` returning the leaf number (same
-    numbering as ``tree_rules``): expression size is the node count and a
-    row passes through at most ``depth`` tests."""
+    numbering as ``tree_rules``), for routing rows with plain SQL where the
+    model is not at hand; a row passes through at most ``depth`` tests."""
     counter = [0]
 
     def build(node):
@@ -284,11 +284,14 @@ def tree_leaf_expr(model, features: Sequence[str]):
 
 def apply_tree_rules(df: DataFrame, model, features: Sequence[str], cluster_col: str = CLUSTER) -> DataFrame:
     """K8 for a mined tree: support and confidence of every leaf rule in one
-    pass, using the nested tree expression instead of one test per rule."""
+    pass.  The tree itself routes each row (MLlib's leaf index, leaves in
+    preorder - the numbering of ``tree_rules``), so no per-rule test runs."""
     rules = tree_rules(model, features)
     pred = F.create_map(*[x for no, c, _ in rules for x in (F.lit(no), F.lit(c))])
-    hits = df.select(tree_leaf_expr(model, features).alias("rule_no"),
-                     qcol(cluster_col).cast("int").alias("_actual"))
+    routed = model.copy().setLeafCol("_leaf").setPredictionCol("_p").setProbabilityCol("_pr") \
+        .setRawPredictionCol("_raw").transform(_vectors(df, features))
+    hits = routed.select(F.col("_leaf").cast("int").alias("rule_no"),
+                         qcol(cluster_col).cast("int").alias("_actual"))
     agg = hits.groupBy("rule_no").agg(F.count(F.lit(1)).alias("support"),
                                       F.count_if(F.col("_actual") == pred[F.col("rule_no")]).alias("_hit"))
     return _rules_report(df.sparkSession, rules, agg)

@@ -84,8 +84,9 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, reg: float |
     return model
 
 
-def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 100, seed: int = 0):
-    """Random forest option of the risk form."""
+def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 10, seed: int = 0):
+    """Random forest option of the risk form (10 trees, the default of
+    the library generation the reference was written against)."""
     from pyspark.ml.classification import RandomForestClassifier
     data = _assemble(train, features).select("features", qcol(label).cast("double").alias("label"))
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_trees, seed=seed).fit(data)
