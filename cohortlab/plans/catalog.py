@@ -921,3 +921,18 @@ def q_k6_p(spark, sf_dir):
     """K6 with p-values (chi-square / F upper tails from commons-math)."""
     d, types = _k_types(spark, sf_dir)
     return K.p_values(K.cluster_significance(d, K_FEATS, types))
+
+
+# ------------------------------------------------------------------ scale-path variants (rows-only)
+@register("profile_lineitem_approx")
+def q_profile_approx(spark, sf_dir):
+    """P1-P6 with HyperLogLog distinct counts: the value table is built only
+    for columns under the factor cap (estimates differ from exact counts, so
+    no SQL oracle)."""
+    return P.profile(read(spark, sf_dir, "lineitem"), approx=True).select(*PROFILE_OUT)
+
+
+@register("box_lineitem_approx")
+def q_box_approx(spark, sf_dir):
+    """P8 with bounded percentile sketches instead of exact ranks."""
+    return P.box_summary(read(spark, sf_dir, "lineitem"), HIST_COLS, exact=False)
