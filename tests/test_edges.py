@@ -227,3 +227,14 @@ def test_hot_key_holds_a_third_of_rows(spark):
     assert 0.9 * h < s["k"] <= h + 1e-12          # the hot value's decile bin nearly decides the label
     hot = P.value_counts(df, ["k"]).filter(F.col("val") == "7").first()["cnt"]
     assert hot == df.filter(F.col("k") == 7).count()
+
+
+def test_fingerprint_methods(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
+    for method in ("md5", "xxhash64"):
+        a = S.fingerprint(df, name="d", method=method).first()["fingerprint"]
+        b = S.fingerprint(df.orderBy(F.col("k").desc()), name="d", method=method).first()["fingerprint"]
+        c = S.fingerprint(df.filter("k < 3"), name="d", method=method).first()["fingerprint"]
+        assert a == b and a != c                      # order-insensitive, content-sensitive
+    with pytest.raises(ValueError):
+        S.fingerprint(df, name="d", method="crc")
