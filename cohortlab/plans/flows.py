@@ -22,7 +22,23 @@ from cohortlab.operators import features as FE
 from cohortlab.operators import profile as P
 from cohortlab.operators import risk as R
 from cohortlab.session import ensure_checkpoint_dir
-from cohortlab.sources.datasets import Workspace, fingerprint, stale_profiles
+from cohortlab.sources.datasets import Workspace, fingerprint, read_csvs, stale_profiles
+
+
+def register_datasets(ws: Workspace, files: str | Sequence[str], nrows: str | Sequence[int] | None = None,
+                      base_dir: str = "", schema=None) -> DataFrame:
+    """Registration page: read the ``;``-separated CSV list, the first
+    ``nrows`` rows of each (S1, equal-length lists), save each as
+    ``df_<stem>`` (S3) and upsert their fingerprints (S7, S8).  Returns the
+    registry rows of the new datasets."""
+    frames = read_csvs(ws.spark, files, nrows, base_dir=base_dir, schema=schema)
+    fps = None
+    for name, df in frames.items():
+        saved = ws.save(df, name)
+        fp = fingerprint(saved, name=name)
+        fps = fp if fps is None else fps.unionByName(fp)
+    ws.update_registry(fps)
+    return ws.registry().filter(F.col("dataset").isin(list(frames)))
 
 
 def profile_datasets(ws: Workspace, names: Sequence[str] | None = None,

@@ -88,6 +88,15 @@ def read_csv(spark: SparkSession, path: str, nrows: int | None = None,
     return df
 
 
+def read_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+    """Register a parquet dataset the same way: NaN -> null, ``_row_id`` in
+    file order (one file per dataset, as for CSV), optional first ``nrows``."""
+    df = stamp_row_ids(nan_to_null(spark.read.parquet(path)))
+    if nrows is not None:
+        df = df.filter(F.col(ROW_ID) < F.lit(int(nrows)))
+    return df
+
+
 def read_csvs(spark: SparkSession, files: str | list[str], nrows: str | list[int] | None = None,
               base_dir: str = "", schema=None) -> dict[str, DataFrame]:
     """S1 form: ``;``-separated file list and an equal-length row-count list."""

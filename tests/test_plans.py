@@ -72,3 +72,17 @@ def test_column_actions(spark, tmpdir_path):
     import pytest
     with pytest.raises(ValueError):
         FL.column_action(ws, "cohort", ["pid"], "SHRED")
+
+
+def test_register_flow_and_parquet(spark, tmpdir_path):
+    for stem, n in (("2009", 30), ("2010", 40)):
+        with open(os.path.join(tmpdir_path, f"{stem}.csv"), "w") as f:
+            f.write("DESYNPUF_ID,amt\n" + "\n".join(f"P{i:03d},{i * 1.5}" for i in range(n)) + "\n")
+    ws = S.Workspace(spark, os.path.join(tmpdir_path, "ws"))
+    reg = {r["dataset"]: r["n_rows"] for r in FL.register_datasets(ws, "2009.csv;2010.csv", "10;1000",
+                                                                   base_dir=tmpdir_path).collect()}
+    assert reg == {"df_2009": 10, "df_2010": 40}
+    first = [r["DESYNPUF_ID"] for r in ws.load("df_2009").orderBy("_row_id").collect()]
+    assert first == [f"P{i:03d}" for i in range(10)]
+    pq = S.read_parquet(spark, "/root/testdata/sf0.001/orders.parquet", nrows=5)
+    assert [r["o_orderkey"] for r in pq.orderBy("_row_id").collect()] == [0, 1, 2, 3, 4]
