@@ -646,8 +646,10 @@ def _dec_sql(c: str, s: int = 9) -> str:
     CASE WHEN tp + fp <> 0 AND tp + fn <> 0 AND tp > 0
          THEN 2 * (CAST(tp AS DOUBLE) / (tp + fp)) * (CAST(tp AS DOUBLE) / (tp + fn))
               / ((CAST(tp AS DOUBLE) / (tp + fp)) + (CAST(tp AS DOUBLE) / (tp + fn))) END AS f1
-  FROM (SELECT split, count_if(toxic > 0 AND p >= 0.5) AS tp, count_if(NOT toxic > 0 AND p >= 0.5) AS fp,
-               count_if(NOT toxic > 0 AND NOT p >= 0.5) AS tn, count_if(toxic > 0 AND NOT p >= 0.5) AS fn
+  FROM (SELECT split, CAST(count_if(toxic > 0 AND p >= 0.5) AS BIGINT) AS tp,
+               CAST(count_if(NOT toxic > 0 AND p >= 0.5) AS BIGINT) AS fp,
+               CAST(count_if(NOT toxic > 0 AND NOT p >= 0.5) AS BIGINT) AS tn,
+               CAST(count_if(toxic > 0 AND NOT p >= 0.5) AS BIGINT) AS fn
         FROM {SCORED_DOCS_SQL} GROUP BY split))""")
 def q_r6(spark, sf_dir):
     m = R.threshold_metrics(_scored_docs(spark, sf_dir), "toxic", "p", "split", 0.5)
@@ -751,8 +753,9 @@ def q_k4b(spark, sf_dir):
 
 
 @register("cluster_table_lineitem", f"""SELECT cluster_id, count(*) AS TOTAL,
-  count_if(coalesce(drv_lbl <> 0, false)) AS POS_OUTCOME, count_if(coalesce(big_qty <> 0, false)) AS big_qty,
-  count_if(coalesce(high_disc <> 0, false)) AS high_disc FROM {LI_CLUSTERS_SQL} GROUP BY cluster_id""")
+  CAST(count_if(coalesce(drv_lbl <> 0, false)) AS BIGINT) AS POS_OUTCOME,
+  CAST(count_if(coalesce(big_qty <> 0, false)) AS BIGINT) AS big_qty,
+  CAST(count_if(coalesce(high_disc <> 0, false)) AS BIGINT) AS high_disc FROM {LI_CLUSTERS_SQL} GROUP BY cluster_id""")
 def q_k5(spark, sf_dir):
     return K.cluster_table(_li_clusters(spark, sf_dir), "drv_lbl", ["big_qty", "high_disc"])
 

@@ -21,13 +21,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(round(v, 9))
+        return repr(v) if STRICT else repr(round(v, 9))
     if isinstance(v, decimal.Decimal):
         return str(v.normalize()) if v == v else "nan"
     if isinstance(v, (dt.datetime, dt.date)):

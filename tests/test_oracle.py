@@ -16,10 +16,19 @@ def con():
     return duck(SF)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
+    rel = con.sql(ORACLE[name])
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        t = f.dataType.simpleString()
+        assert dtypes.get(f.name) == SPARK_TO_DUCK.get(t, t.upper()), (f.name, t, dtypes.get(f.name))
     cur = con.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
