@@ -521,8 +521,8 @@ def q_f5(spark, sf_dir):
 @register("split_label_lineitem", "SELECT l_discount, l_extendedprice, l_linenumber, l_orderkey, l_partkey, "
           "l_quantity, l_suppkey, l_tax FROM lineitem")
 def q_l1(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").drop("l_returnflag", "l_linestatus", "l_shipdate")
-    x, _, _ = FE.split_label(li.withColumn("label", F.lit(1)), "label")
+    li = read(spark, sf_dir, "lineitem").drop("l_linestatus", "l_shipdate")
+    x, _, _ = FE.split_label(li, "l_returnflag")          # features sorted by name, label apart
     return x
 
 
@@ -856,7 +856,10 @@ def _risk_input(spark, sf_dir):
     hot = FE.explode_factors(o, ["o_orderpriority"], prefix="prio_", keep=["o_orderkey", "o_orderstatus", "o_totalprice"])
     data = FE.min_max(hot, ["o_totalprice"]).withColumn("y", (F.col("o_orderstatus") == "F").cast("int"))
     feats = ["o_totalprice"] + [c for c in hot.columns if c.startswith("prio_")]
-    return R.stratified_split(data, "y", "o_orderkey", 0.2, seed=1), feats
+    # the prepared table feeds fitting, scoring and evaluation: written once
+    from cohortlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return R.stratified_split(data, "y", "o_orderkey", 0.2, seed=1).checkpoint(eager=True), feats
 
 
 @register("logistic_coefficients_orders")
