@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 # Settings every session gets: AQE re-plans joins and coalesces shuffle
 # partitions at runtime, skew-join splits hot partitions, UTC keeps date
-# arithmetic identical on every executor.  The web UI stays off.
+# arithmetic identical on every executor, checkpoint files are cleaned up
+# when no longer referenced.  The web UI stays off.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -18,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # reliable checkpoints (used to cut lineage) are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
