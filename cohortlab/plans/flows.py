@@ -106,6 +106,30 @@ def column_action(ws: Workspace, name: str, cols: Sequence[str], action: str,
     return ws.load_profile(name)
 
 
+def derive_dates(ws: Workspace, name: str, cols: Sequence[str], base: str, prefix: str = "",
+                 new_name: str | None = None, fmt: str = "%Y%m%d") -> DataFrame:
+    """Date handler: parse the columns in place (F2, written back to the
+    source, whose profile becomes stale), then days against ``base``
+    (F3, inverse) into ``new_name`` when given.  Returns the derived rows."""
+    parsed = ws.save(FE.parse_dates(ws.load(name), cols, fmt), name)
+    derived = FE.days_from_base(parsed, cols, base, inverse=True, prefix=prefix)
+    return ws.save(derived, new_name) if new_name else derived
+
+
+def explode_to_dataset(ws: Workspace, name: str, features: Sequence[str], prefix: str = "drv_f_",
+                       new_name: str | None = None) -> DataFrame:
+    """Factor handler: one-hot columns of the features (F1), all features in
+    one projection, saved as ``new_name`` when given."""
+    derived = FE.explode_factors(ws.load(name), features, prefix)
+    return ws.save(derived, new_name) if new_name else derived
+
+
+def derive_to_dataset(ws: Workspace, name: str, in_col: str, fn, out_col: str, new_name: str) -> DataFrame:
+    """One-to-one handler (F4): add ``out_col = fn(in_col)`` and save as
+    ``new_name`` (through the workspace, so a stale profile is dropped)."""
+    return ws.save(FE.derive_one(ws.load(name), in_col, fn, out_col), new_name)
+
+
 def filter_to_dataset(ws: Workspace, source: str, expr: str, target: str,
                       min_non_null: float | None = None) -> DataFrame:
     """Flow B (rows): filter by expression (C5) and optional non-null share

@@ -86,3 +86,18 @@ def test_register_flow_and_parquet(spark, tmpdir_path):
     assert first == [f"P{i:03d}" for i in range(10)]
     pq = S.read_parquet(spark, "/root/testdata/sf0.001/orders.parquet", nrows=5)
     assert [r["o_orderkey"] for r in pq.orderBy("_row_id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_feature_handlers(spark, tmpdir_path):
+    ws = S.Workspace(spark, os.path.join(tmpdir_path, "ws"))
+    rows = [(1, "20100105", "a"), (2, "bad", "b"), (3, None, "a")]
+    ws.save(S.stamp_row_ids(spark.createDataFrame(rows, "pid int, d string, g string")), "visits")
+    FL.profile_datasets(ws)
+    days = {r["_row_id"]: r["drv_d"] for r in
+            FL.derive_dates(ws, "visits", ["d"], "2010-01-10", prefix="drv_", new_name="visit_days").collect()}
+    assert days == {0: 5, 1: None, 2: None}
+    assert dict(ws.load("visits").dtypes)["d"] == "date" and ws.load_profile("visits") is None
+    hot = FL.explode_to_dataset(ws, "visits", ["g"], new_name="visit_g")
+    assert sorted(c for c in hot.columns if c != "_row_id") == ["drv_f_g_a", "drv_f_g_b"]
+    present = FL.derive_to_dataset(ws, "visits", "d", "isnull", "d_present", "visit_flags")
+    assert [r["d_present"] for r in present.orderBy("_row_id").collect()] == [True, False, False]
