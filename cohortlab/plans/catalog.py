@@ -816,7 +816,6 @@ def q_k8(spark, sf_dir):
 
 
 # rows-only: model fitting (results depend on the optimiser, not expressible in SQL)
-EMB_DIMS = 64
 
 
 @register("pca_embeddings")
