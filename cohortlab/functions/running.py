@@ -74,37 +74,29 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts:
 
     ``counts`` holds the non-null count of every column (known from a
     profile or one aggregate).  Work: one shuffle to count distinct values,
-    one range shuffle for the running totals, one small aggregate.
+    one range shuffle for the running totals, then the wanted ranks - a
+    table of ``columns x quantiles x 2`` rows, joined on the column name -
+    pick the values whose cumulative range covers them.  The plan does not
+    grow with the number of columns.
     """
     cols = [c for c in cols if counts.get(c, 0) > 0]
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.createDataFrame([], "col_name string, q_idx int, value double")
+        return spark.createDataFrame([], "col_name string, q_idx int, value double")
     vc = unpivot_double(df, cols).groupBy("col_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_sum(vc, ["col_name"], "v", ["cnt"])
-    start, end = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")   # covers indices [start, end)
-    wanted, conds = {}, []
+    wanted = []
     for c in cols:
         for j, p in enumerate(probs):
             lo, hi, w = rank_index(counts[c], p, interpolation)
-            wanted[(c, j)] = (lo, hi, w)
-            for k in {lo, hi}:
-                conds.append((F.col("col_name") == c) & (start <= k) & (F.lit(k) < end))
-    hits = cum.filter(F.lit(False) if not conds else _any(conds))
-    aggs, structs = [], []
-    for i, c in enumerate(cols):
-        for j in range(len(probs)):
-            lo, hi, w = wanted[(c, j)]
-            for tag, k in (("lo", lo), ("hi", hi)):
-                aggs.append(F.max(F.when((F.col("col_name") == c) & (start <= k) & (F.lit(k) < end), F.col("v")))
-                            .alias(f"{tag}_{i}_{j}"))
-            structs.append(F.struct(F.lit(c).alias("col_name"), F.lit(j).alias("q_idx"),
-                                    (F.col(f"lo_{i}_{j}") + F.lit(w) * (F.col(f"hi_{i}_{j}") - F.col(f"lo_{i}_{j}")))
-                                    .alias("value")))
-    return hits.agg(*aggs).select(F.inline(F.array(*structs)))
-
-
-def _any(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+            wanted += [(c, j, "lo", lo, w), (c, j, "hi", hi, w)]
+    targets = spark.createDataFrame(wanted, "t_col string, q_idx int, side string, k long, w double")
+    # each target rank falls in exactly one distinct value's range [cum - cnt, cum)
+    hit = cum.join(F.broadcast(targets),
+                   (F.col("col_name") == F.col("t_col"))
+                   & (F.col("cum_cnt") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cum_cnt")))
+    per = hit.groupBy("col_name", "q_idx").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
+        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
+        F.max("w").alias("w"))
+    return per.select("col_name", "q_idx", (F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))).alias("value"))
