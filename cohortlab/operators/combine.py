@@ -3,7 +3,9 @@
 Spark picks the physical join: AQE turns a sort-merge join into a broadcast
 join when one side turns out small at runtime and splits skewed partitions
 (``spark.sql.adaptive.skewJoin.enabled``).  No side is broadcast by hint,
-since none has a size bound known up front.
+since none has a size bound known up front.  A full outer join is written
+as a left outer join plus the unmatched right rows, so that a hot key is
+split on either side.
 """
 
 from __future__ import annotations
@@ -34,6 +36,13 @@ def join_key(left: DataFrame, right: DataFrame, key: str | list[str], how: str |
         if k not in left.columns or k not in right.columns:
             raise KeyError(f"join key {k!r} missing on one side")
     ls, rs = _suffix(left, right, keys, suffixes)
+    if how == "outer":
+        # Full outer as (left outer) + (right rows without a left match): AQE
+        # splits skewed partitions of both of those join types, which it
+        # cannot do for a full outer join.  Keys first, as a USING join.
+        matched = ls.join(rs, keys, "left")
+        unmatched = rs.join(ls.select(*[qcol(k) for k in keys]).distinct(), keys, "left_anti")
+        return matched.unionByName(unmatched, allowMissingColumns=True)
     return ls.join(rs, keys, JOIN_TYPES[how])
 
 
