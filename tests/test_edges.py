@@ -244,6 +244,6 @@ def test_outer_join_equals_native_full_outer(spark):
     rnd = random.Random(11)
     left = spark.createDataFrame([(rnd.choice([None, 1, 2, 3, 7, 7, 7]), i) for i in range(60)], "k int, a int")
     right = spark.createDataFrame([(rnd.choice([None, 2, 3, 4, 7]), i) for i in range(25)], "k int, b int")
-    got = sorted(tuple(r) for r in J.join_key(left, right, "k", "outer").select("k", "a", "b").collect())
-    want = sorted(tuple(r) for r in left.join(right, "k", "full_outer").select("k", "a", "b").collect())
+    got = sorted((tuple(r) for r in J.join_key(left, right, "k", "outer").select("k", "a", "b").collect()), key=repr)
+    want = sorted((tuple(r) for r in left.join(right, "k", "full_outer").select("k", "a", "b").collect()), key=repr)
     assert got == want
