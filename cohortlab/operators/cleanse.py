@@ -134,6 +134,8 @@ def filter_expr(df: DataFrame, expr: str, symbol: str = "$") -> DataFrame:
 
 def non_null_share(df: DataFrame, cols: Iterable[str] | None = None) -> Column:
     cols = data_columns(df, cols)
+    if not cols:
+        raise ValueError("no columns to measure the non-null share over")
     present = sum((qcol(c).isNotNull().cast("int") for c in cols), F.lit(0))
     return present.cast("double") / F.lit(float(len(cols)))
 

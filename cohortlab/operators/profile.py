@@ -28,6 +28,9 @@ from cohortlab.functions.columns import (
     as_text, data_columns, kinds, qcol, unpivot_double,
 )
 
+PROFILE_SCHEMA = ("col_name string, col_pos int, col_datatype string, n_rows bigint, n_non_null bigint, "
+                  "col_factornum bigint, distinct_ratio double, missing_pct double, min_value double, "
+                  "max_value double, categories array<string>, value_range string")
 PROFILE_FIELDS = [
     "col_name", "col_pos", "col_datatype", "n_rows", "n_non_null", "col_factornum",
     "distinct_ratio", "missing_pct", "min_value", "max_value", "categories", "value_range",
@@ -45,6 +48,10 @@ def column_stats(df: DataFrame, cols: Iterable[str] | None = None,
     Computed by a single aggregate over the scan.
     """
     cols = data_columns(df, cols)
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "col_name string, col_pos int, storage string, n_rows bigint, n_non_null bigint, "
+                "min_value double, max_value double, min_text string, max_text string, approx_distinct bigint")
     kind = kinds(df, cols)
     aggs = [F.count(F.lit(1)).alias("n_rows")]
     for i, c in enumerate(cols):
@@ -174,6 +181,8 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
     cols = data_columns(df, cols)
     overrides = dict(overrides or {})
     _check_types(overrides)
+    if not cols:
+        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     missing = [c for c in overrides if c not in cols]
     if missing:
         raise KeyError(f"override for unknown column(s): {missing}")
@@ -245,6 +254,9 @@ def histogram(df: DataFrame, cols: Iterable[str] | None = None, bins: int = 10,
     is one row per column and broadcast.
     """
     cols = [c for c in data_columns(df, cols) if kinds(df, [c])[c] == "numeric"]
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], "col_name string, bin int, bin_lo double, bin_hi double, cnt bigint")
     if stats is None:
         stats = column_stats(df, cols)
     rng = (stats.filter(F.col("n_non_null") > 0)
@@ -282,7 +294,7 @@ def box_summary(df: DataFrame, cols: Iterable[str] | None = None, whisker: float
     """
     cols = [c for c in data_columns(df, cols) if kinds(df, [c])[c] == "numeric"]
     n_by_col = {r["col_name"]: r["n_non_null"]
-                for r in column_stats(df, cols).select("col_name", "n_non_null").collect()}
+                for r in column_stats(df, cols).select("col_name", "n_non_null").collect()} if cols else {}
     cols = [c for c in cols if n_by_col[c] > 0]
     if not cols:
         return df.sparkSession.createDataFrame(

@@ -73,6 +73,8 @@ def information_gain(df: DataFrame, label: str, features: Iterable[str] | None =
     window - and a feature x label table that is broadcast.
     """
     feats = [c for c in data_columns(df, features) if c != label]
+    if not feats:
+        return df.sparkSession.createDataFrame([], "feature_name string, feature_scores double")
     df = df.filter(qcol(label).isNotNull())
     cols, _ = discretize(df, feats, max_levels)
     text = df.select(qcol(label).cast("string").alias("_y"), *cols)

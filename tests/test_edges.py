@@ -247,3 +247,14 @@ def test_outer_join_equals_native_full_outer(spark):
     got = sorted((tuple(r) for r in J.join_key(left, right, "k", "outer").select("k", "a", "b").collect()), key=repr)
     want = sorted((tuple(r) for r in left.join(right, "k", "full_outer").select("k", "a", "b").collect()), key=repr)
     assert got == want
+
+
+def test_no_eligible_columns(spark):
+    only_id = S.stamp_row_ids(spark.createDataFrame([("a",), ("b",)], "s string")).select("_row_id")
+    strs = spark.createDataFrame([("a", 1), ("b", 0)], "s string, y int")
+    assert P.profile(only_id).count() == 0 and P.profile(only_id).columns == P.PROFILE_FIELDS
+    assert P.histogram(strs.select("s")).count() == 0
+    assert P.box_summary(strs.select("s")).count() == 0
+    assert SEL.information_gain(strs.select("y"), "y").count() == 0
+    with pytest.raises(ValueError):
+        C.filter_non_null(only_id, 0.5)
