@@ -941,3 +941,42 @@ def q_profile_approx(spark, sf_dir):
 def q_box_approx(spark, sf_dir):
     """P8 with bounded percentile sketches instead of exact ranks."""
     return P.box_summary(read(spark, sf_dir, "lineitem"), HIST_COLS, exact=False)
+
+
+# ------------------------------------------------------------------ text tables
+URL_REGEX = "^https?://"
+
+
+@register("columns_by_regex_pages", f"""SELECT p.col_name, p.col_datatype, p.n_non_null, p.col_factornum
+FROM ({_oracle_profile('pages')}) p WHERE p.col_name IN (
+  SELECT col_name FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, bool_and(regexp_matches(CAST({c} AS VARCHAR), '{URL_REGEX}')) AS ok FROM pages "
+    f"WHERE {c} IS NOT NULL" for c, _ in TABLE_COLUMNS["pages"]) + ") WHERE ok)")
+def q_c4f_pages(spark, sf_dir):
+    """C4f over whole web pages: the regex is tested against every full value."""
+    pg = read(spark, sf_dir, "pages")
+    return (C.matching_columns(P.profile(pg), value_regex=URL_REGEX, df=pg)
+            .select("col_name", "col_datatype", "n_non_null", "col_factornum"))
+
+
+@register("value_counts_conversations", f"""WITH prof AS ({_oracle_profile('conversations')})
+SELECT col_name, val, cnt, CAST(cnt AS DOUBLE) / CAST(sum(cnt) OVER (PARTITION BY col_name) AS DOUBLE) AS share FROM (
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt FROM conversations "
+    f"WHERE {c} IS NOT NULL GROUP BY {c}" for c, _ in TABLE_COLUMNS["conversations"]) + """) v
+WHERE col_name IN (SELECT col_name FROM prof WHERE col_datatype = 'factor_s')""")
+def q_p9_conv(spark, sf_dir):
+    """P9 on conversation turns: value counts (whole texts) of factor columns."""
+    cv = read(spark, sf_dir, "conversations")
+    return P.factor_value_counts(P.value_counts(cv), P.profile(cv))
+
+
+DOC_FIELDS = ["col_name", "col_pos", "col_datatype", "n_rows", "n_non_null", "col_factornum",
+              "distinct_ratio", "missing_pct", "min_value", "max_value"]
+
+
+@register("profile_documents", f"SELECT {', '.join(DOC_FIELDS)} FROM ({_oracle_profile('documents')})")
+def q_profile_docs(spark, sf_dir):
+    """P1-P6 over whole documents (distinct counts of full texts); the
+    value listing of factor columns is left out of the compared fields."""
+    return P.profile(read(spark, sf_dir, "documents")).select(*DOC_FIELDS)

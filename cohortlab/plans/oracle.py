@@ -16,6 +16,10 @@ TABLE_COLUMNS = {
                  ("c_acctbal", "numeric"), ("c_mktsegment", "string")],
     "events": [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"),
                ("event_type", "string"), ("value", "numeric"), ("props", "string")],
+    "pages": [("page_id", "numeric"), ("url", "string"), ("html", "string")],
+    "documents": [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "numeric")],
+    "conversations": [("conv_id", "numeric"), ("turn", "numeric"), ("role", "string"), ("text", "string")],
     "lineitem": [("l_orderkey", "numeric"), ("l_partkey", "numeric"), ("l_suppkey", "numeric"),
                  ("l_linenumber", "numeric"), ("l_quantity", "numeric"), ("l_extendedprice", "numeric"),
                  ("l_discount", "numeric"), ("l_tax", "numeric"), ("l_returnflag", "string"),
