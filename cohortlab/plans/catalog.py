@@ -980,3 +980,25 @@ def q_profile_docs(spark, sf_dir):
     """P1-P6 over whole documents (distinct counts of full texts); the
     value listing of factor columns is left out of the compared fields."""
     return P.profile(read(spark, sf_dir, "documents")).select(*DOC_FIELDS)
+
+
+@register("join_supplier_nation_region", """SELECT n.n_regionkey, s.s_nationkey, s.s_suppkey, s.s_name, s.s_acctbal,
+  n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+  JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def q_j1_chain(spark, sf_dir):
+    """J1 chained: supplier -> nation -> region, each an equi-join on a key."""
+    n = read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    r = read(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return J.join_key(J.join_key(read(spark, sf_dir, "supplier"), n, "s_nationkey"), r, "n_regionkey")
+
+
+@register("value_counts_part", f"""WITH prof AS ({_oracle_profile('part')})
+SELECT col_name, val, cnt, CAST(cnt AS DOUBLE) / CAST(sum(cnt) OVER (PARTITION BY col_name) AS DOUBLE) AS share FROM (
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt FROM part "
+    f"WHERE {c} IS NOT NULL GROUP BY {c}" for c, _ in TABLE_COLUMNS["part"]) + """) v
+WHERE col_name IN (SELECT col_name FROM prof WHERE col_datatype = 'factor_s')""")
+def q_p9_part(spark, sf_dir):
+    """P9 on parts: value counts and shares of the factor columns."""
+    pt = read(spark, sf_dir, "part")
+    return P.factor_value_counts(P.value_counts(pt), P.profile(pt))

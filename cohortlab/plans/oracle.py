@@ -17,6 +17,8 @@ TABLE_COLUMNS = {
     "events": [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"),
                ("event_type", "string"), ("value", "numeric"), ("props", "string")],
     "pages": [("page_id", "numeric"), ("url", "string"), ("html", "string")],
+    "part": [("p_partkey", "numeric"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+             ("p_size", "numeric"), ("p_retailprice", "numeric")],
     "documents": [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"),
                   ("n_chars", "numeric")],
     "conversations": [("conv_id", "numeric"), ("turn", "numeric"), ("role", "string"), ("text", "string")],
