@@ -80,9 +80,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
       FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
        FROM (SELECT doc_id, w, UNNEST(range(1, len(w) - 3)) AS i FROM d)),

@@ -1,7 +1,8 @@
 """Line dedup with content-defined chunks (operator 1).
 
 A text's lines are hashed; a chunk ends after a line where the rolling hash
-of the last ``ROLL`` line hashes is 0 modulo ``DIVISOR``, and on both sides of
+of the last ``ROLL`` line hashes is 0 modulo ``DIVISOR`` if the chunk has two
+lines, and on both sides of
 a line with at least ``long_words`` words, so boundaries follow the content
 and inserted lines shift nothing beyond the next boundary.  A chunk that
 occurs in several places of the table and has at least two lines, or at least
@@ -33,16 +34,17 @@ _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
 def chunks_of(text: str, long_words: int = LONG_WORDS) -> list[str]:
     """Cut a text into chunks of whole lines; joined they give the text again."""
-    out, cur, hashes, before_long = [], [], [], False
+    out, cur, lines, hashes, before_long = [], [], 0, [], False
     for line in _LINES.findall(text):
         if not line.strip():
             cur.append(line)
             continue
         is_long = len(line.split()) >= long_words
-        if cur and (before_long or is_long or _cut(hashes)):
+        if cur and (before_long or is_long or lines >= 2 and _cut(hashes)):
             out.append("".join(cur))
-            cur = []
+            cur, lines = [], 0
         cur.append(line)
+        lines += 1
         hashes.append(zlib.crc32(line.strip().encode("utf-8", "surrogatepass")))
         before_long = is_long
     if cur:
