@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import flat_map_rows, map_rows
 
 ROLL = 2
-DIVISOR = 4
+DIVISOR = 2
 LONG_WORDS = 40
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
