@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.sizing import small_side
 from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, map_rows, min_label_components, written
 
 SHINGLE = 4
@@ -77,10 +78,6 @@ def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.nd
     return s[np.lexsort((mixed, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:prefix_size(len(s), percent)]]
 
 
-def _signed(h: np.ndarray) -> list[int]:
-    return h.view(np.int64).tolist()
-
-
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and a 128-bit digest of the set (null if empty)."""
     def make():
@@ -110,36 +107,52 @@ def shingle_counts(reps: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
 
 def _prefixes(reps: DataFrame, counts: np.ndarray, percent: int, size: int) -> DataFrame:
-    def make():
+    """(rep, n, first, others): the first order's prefix as 64-bit shingles, and
+    for each other order its prefix cut to 32 bits (a cut can only let more pass)."""
+    def run(batches):
         shingles = Shingler(size)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sets = [shingles(t) for t in texts]
+            first = [prefix(s, counts, 0, percent).view(np.int64) for s in sets]
+            cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            for order in range(1, ORDERS):
+                cols.append(pa.array([prefix(s, counts, order, percent).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
+            if ids:
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "first", *[f"order{o}" for o in range(1, ORDERS)]])
+    return reps.select("rep", "text").mapInArrow(
+        run, "rep long, n int, first array<long>" + "".join(f", order{o} array<int>" for o in range(1, ORDERS)))
 
-        def rows(rep, text):
-            s = shingles(text)
-            for token in _signed(prefix(s, counts, 0, percent)):
-                yield token, rep, len(s)
-        return rows
-    return flat_map_rows(reps, ["rep", "text"], "token long, rep long, n int", make)
+
+def _intersect_orders(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of near sizes whose prefixes meet under every other order too."""
+    names = ["n", *[f"order{o}" for o in range(1, ORDERS)]]
+    side = lambda end: marks.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names])
+    out = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_size("a_n", "b_n", percent))
+    for c in names[1:]:
+        out = out.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
+    return out.select("a", "b")
 
 
-def _verify(pairs: DataFrame, reps: DataFrame, counts: np.ndarray, percent: int, size: int) -> DataFrame:
-    """Pairs (a, b) that pass the other orders' prefix filters and then link exactly."""
+def _verify(pairs: DataFrame, reps: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
+    """Candidates (a, b) that pass all orders and link by their exact sets."""
+    pairs = written(_intersect_orders(pairs, marks, percent), "ngram-candidates")
+    texts = reps.join(small_side(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+
     def make():
         shingles, last = Shingler(size), [None, None]
 
         def rows(a, b, text_a, text_b):
-            if last[0] != text_a:
+            if last[0] != text_a:           # rows come sorted by a
                 last[:] = [text_a, shingles(text_a)]
             x, y = last[1], shingles(text_b)
-            for order in range(1, ORDERS):
-                if not len(np.intersect1d(prefix(x, counts, order, percent), prefix(y, counts, order, percent), True)):
-                    return
             both = len(np.intersect1d(x, y, True))
             if 100 * both >= percent * (len(x) + len(y) - both):
                 yield a, b
         return rows
-    left = reps.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = reps.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return flat_map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "text_a", "text_b"], "a long, b long", make)
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
+    return flat_map_rows(pairs.join(right, "b").join(left, "a"), ["a", "b", "text_a", "text_b"], "a long, b long", make)
 
 
 def _near_size(a: str, b: str, percent: int):
@@ -154,28 +167,27 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
                    .join(classes.select("rep").distinct(), "rep", "left_semi"), "ngram-reps")
     counts = shingle_counts(reps, size)
-    raw = written(_prefixes(reps, counts, percent, size), "ngram-prefixes")
-    ends = (raw.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
-            .where("lo.rep <> hi.rep"))
-    with_pivots = raw.join(ends, "token")
-    near = None
-    for p in ("lo", "hi"):
-        part = (with_pivots.where(F.col("rep") != F.col(f"{p}.rep")).where(_near_size("n", f"{p}.n", percent))
-                .select(F.least("rep", f"{p}.rep").alias("a"), F.greatest("rep", f"{p}.rep").alias("b")))
-        near = part if near is None else near.union(part)
-    first_pairs = written(near.distinct(), "ngram-pivot-pairs")
-    links = written(_verify(first_pairs, reps, counts, percent, size), "ngram-pivot-links")
+    marks = written(_prefixes(reps, counts, percent, size), "ngram-prefixes")
+    raw = marks.select(F.explode("first").alias("token"), "rep")
+    ends = raw.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    # rows of shingles that only one class has end here
+    shared = written(raw.join(ends, "token"), "ngram-shared")
+    near = shared.select("rep", F.explode(F.array("lo", "hi")).alias("pivot")).where("rep <> pivot")
+    first_pairs = written(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
+                          "ngram-pivot-pairs")
+    links = written(_verify(first_pairs, reps, marks, percent, size), "ngram-pivot-links")
     comp = min_label_components(links)
-    placed = (raw.join(ends.select("token"), "token")
+    placed = (shared.select("token", "rep")
               .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
+              .withColumn("component", F.coalesce("component", "rep"))
+              .join(marks.select("rep", "n"), "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     open_rows = placed.join(mixed, "token").select("token", "rep", "n", "component")
     other = open_rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     rest = (open_rows.join(other, "token").where("component <> component2 and rep < rep2").where(_near_size("n", "n2", percent))
             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
             .join(first_pairs, ["a", "b"], "left_anti"))
-    more = _verify(rest, reps, counts, percent, size)
+    more = _verify(rest, reps, marks, percent, size)
     # copies hang on their class representative
     copies = (sets.where("doc_id is not null").join(classes, "digest").where("doc_id <> rep")
               .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
