@@ -217,13 +217,16 @@ def p_values(stats: DataFrame) -> DataFrame:
 def mine_rules(df: DataFrame, features: Sequence[str], cluster_col: str = CLUSTER,
                min_samples_leaf: int = 10, max_depth: int = 10, seed: int = 0):
     """K7: CART tree (gini) predicting the cluster from the features;
-    returns ``(model, training accuracy)``.  MLlib caps depth at 30."""
+    returns ``(model, training accuracy)``.  MLlib takes depths up to 30;
+    a larger ``max_depth`` is an error."""
+    if int(max_depth) > 30:
+        raise ValueError("max_depth must be at most 30")
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     x = _vectors(df, features).withColumn("_y", qcol(cluster_col).cast("double")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     model = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", impurity="gini",
-                                   minInstancesPerNode=int(min_samples_leaf), maxDepth=min(int(max_depth), 30),
+                                   minInstancesPerNode=int(min_samples_leaf), maxDepth=int(max_depth),
                                    seed=seed).fit(x)
     acc = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricName="accuracy") \
         .evaluate(model.transform(x))

@@ -52,8 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, honouring the cluster's setting.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only when nothing is configured (unit tests on one machine) is a
-    fresh scratch folder created.
+    as is.  Only when nothing is configured and the master is ``local`` (tests
+    on one machine) is a fresh scratch folder created; elsewhere that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -65,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cohortlab-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -74,13 +74,18 @@ def dataset_name(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, nrows: int | None = None,
-             schema: T.StructType | str | None = None, sep: str = ",") -> DataFrame:
+             schema: T.StructType | str | None = None, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Read one CSV with header, stamp ``_row_id``, keep the first
     ``nrows`` rows in file order when given.
 
-    Give ``schema`` on large inputs: inference reads the file twice.
+    Quotes inside a quoted field are doubled, and such a field may hold line
+    breaks; a malformed row fails the read.  A multi-line file is read by one
+    task: pass ``multi_line=False`` for a large file without line breaks in
+    fields, so that it splits.  Give ``schema`` on large inputs: inference
+    reads the file twice.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+              .option("multiLine", multi_line).option("mode", "FAILFAST"))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = stamp_row_ids(nan_to_null(reader.csv(path)))
     if nrows is not None:

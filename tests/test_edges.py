@@ -258,3 +258,19 @@ def test_no_eligible_columns(spark):
     assert SEL.information_gain(strs.select("y"), "y").count() == 0
     with pytest.raises(ValueError):
         C.filter_non_null(only_id, 0.5)
+
+
+def test_read_csv_keeps_quotes_and_line_breaks(spark, tmpdir_path):
+    from cohortlab.sources.datasets import read_csv
+    path = f"{tmpdir_path}/q.csv"
+    with open(path, "w") as f:
+        f.write('a,b\n1,"he said ""hi"", ok"\n2,"two\nlines"\n')
+    got = [(r.a, r.b) for r in read_csv(spark, path).orderBy("a").collect()]
+    assert got == [(1, 'he said "hi", ok'), (2, "two\nlines")]
+
+
+def test_rule_depth_beyond_the_library_is_an_error(spark):
+    import pytest
+    from cohortlab.operators.cluster import mine_rules
+    with pytest.raises(ValueError):
+        mine_rules(spark.range(3).selectExpr("id as x", "0 as cluster"), ["x"], "cluster", max_depth=31)
