@@ -65,9 +65,12 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, i
         F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     hashed = src.select("doc", words(F.col("body")).alias("w")).select("doc", F.explode(_shingle_hashes(F.col("w"), SHINGLE)).alias("h"))
     cand = small_side(hashed.join(keys, "h").select("doc", "item").distinct())
-    found = src.join(cand, "doc").select("doc", "item", _shingle_texts(words(F.col("body")), SHINGLE).alias("have"))
+    # words stand in a projection of their own: inside the shingle function they would be split anew for every shingle
+    split = src.join(small_side(cand.select("doc").distinct()), "doc").select("doc", words(F.col("body")).alias("w"))
+    have = split.select("doc", _shingle_texts(F.col("w"), SHINGLE).alias("have"))
     shared = F.size(F.array_intersect("texts", "have"))
-    pairs = found.join(small_side(sk.select("item", "m", "texts")), "item").select("doc", "item", F.col("m").cast("long").alias("m"), shared.cast("long").alias("s"))
+    pairs = (have.join(cand, "doc").join(small_side(sk.select("item", "m", "texts")), "item")
+             .select("doc", "item", F.col("m").cast("long").alias("m"), shared.cast("long").alias("s")))
     return (pairs.groupBy("doc", "item", "m").agg(F.max("s").alias("s")).where(F.col("s") >= F.lit(threshold) * F.col("m"))
             .select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("m").alias("n_item"),
                     F.col("s").alias("n_shared"), (F.col("s") / F.col("m")).alias("containment")))
