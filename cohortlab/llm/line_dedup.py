@@ -9,9 +9,15 @@ occurs in several places of the table and has at least two lines, or at least
 ``long_words`` words, stays only at its first place (smallest doc_id, then
 position); later places are removed after their bytes are compared.
 
+Places are found by 128-bit keys alone.  The bytes of repeated chunks are then
+compared by grouping (key, bytes), which combines copies map-side; a key with
+more than one body is resolved by its bytes.  Texts and bodies cross shuffles
+compressed; equal compressed bytes mean equal bodies.
+
 Blank lines belong to the chunk of the line before.  Null texts stay null,
 an emptied text becomes ''.  Rows without doc_id stay unchanged.  Rows that
-share a doc_id are read as one document: a chunk kept in one is kept in all.
+share a doc_id are read as one document whose places they share: a chunk at
+the same position of both is one place.
 Other columns pass through.
 """
 
@@ -21,13 +27,15 @@ import hashlib
 import re
 import zlib
 
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import flat_map_rows, map_rows
+from cohortlab.llm.common import flat_map_rows, map_rows, written
 
 ROLL = 2
 DIVISOR = 2
+KEY_BYTES = 16
 LONG_WORDS = 40
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
@@ -68,54 +76,105 @@ def _counts(chunk: str, long_words: int) -> bool:
     return sum(bool(x.strip()) for x in body.split("\n")) >= 2 or len(body.split()) >= long_words
 
 
+def _key(body: bytes, key_bytes: int) -> bytes:
+    return hashlib.sha256(body).digest()[:key_bytes]
+
+
+def _with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+            .select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
+
+
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
-                with_body: bool = False) -> DataFrame:
-    """(doc, at, key[, body]) of every removable chunk; ``key`` is 128 bits of SHA-256."""
+                key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc, at, key) of every removable chunk; ``key`` is cut from SHA-256."""
     def make():
         def rows(doc, text):
             for i, c in enumerate(chunks_of(text, long_words)):
                 if _counts(c, long_words):
+                    yield doc, i, _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes)
+        return rows
+    return flat_map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, at int, key binary", make)
+
+
+def chunk_bodies(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc, at, key, body) of the chunks at ``places`` (doc, at), bodies compressed."""
+    at = places.groupBy("doc").agg(F.collect_set("at").alias("ats"))
+
+    def pack():
+        small = zstandard.ZstdCompressor(level=3)
+        return lambda doc, text: (doc, small.compress(text.encode("utf-8", "surrogatepass")))
+
+    def make():
+        small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+        def rows(doc, z, ats):
+            ats = set(ats)
+            for i, c in enumerate(chunks_of(large.decompress(z).decode("utf-8", "surrogatepass"), long_words)):
+                # rows that share a doc_id share its places: a place may hold no chunk here
+                if i in ats and _counts(c, long_words):
                     raw = _body(c).encode("utf-8", "surrogatepass")
-                    key = hashlib.sha256(raw).digest()[:16]
-                    yield (doc, i, key, raw) if with_body else (doc, i, key)
+                    yield doc, i, _key(raw, key_bytes), small.compress(raw)
         return rows
-    src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return flat_map_rows(src, [id_col, text_col], "doc long, at int, key binary" + (", body binary" if with_body else ""), make, 5_000)
+    packed = map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, z binary", pack)
+    return flat_map_rows(packed.join(at, "doc"), ["doc", "z", "ats"], "doc long, at int, key binary, body binary", make, 5_000)
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc, at) of every chunk place to remove."""
-    slim = chunk_table(docs, id_col, text_col, long_words)
-    again = (slim.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-             .where("first <> last").select("key"))
-    bodies = chunk_table(docs, id_col, text_col, long_words, with_body=True).join(again, "key", "left_semi")
-    # grouping by the bytes themselves is the byte comparison; one row per distinct body
-    first = bodies.groupBy("key", "body").agg(F.min(F.struct("doc", "at")).alias("first"))
-    later = bodies.join(first, ["key", "body"]).where(F.struct("doc", "at") > F.col("first"))
-    return later.select("doc", "at").distinct()
+                    long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc, at, key) of every chunk place to remove."""
+    slim = written(chunk_table(docs, id_col, text_col, long_words, key_bytes), "line-chunks")
+    place = F.struct("doc", "at")
+    again = slim.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
+    places = written(slim.join(again, "key"), "line-places")
+    bodies = chunk_bodies(docs, places, id_col, text_col, long_words, key_bytes)
+    # the byte comparison: one row per distinct body, then keys that name more than one
+    mixed = written(bodies.select("key", "body").distinct().groupBy("key").count().where("count > 1").select("key"), "line-mixed")
+    later = places.where(place > F.col("first"))
+    if mixed.isEmpty():
+        return later.select("doc", "at", "key").distinct()
+    told = written(bodies.join(mixed, "key", "left_semi"), "line-told")
+    first = told.groupBy("key", "body").agg(F.min(place).alias("first"))
+    return (later.join(mixed, "key", "left_anti").select("doc", "at", "key")
+            .union(told.join(first, ["key", "body"]).where(place > F.col("first")).select("doc", "at", "key")).distinct())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                long_words: int = LONG_WORDS) -> DataFrame:
+                long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
     """``docs`` with repeated chunks cut from the text, same columns, same rows."""
-    drop = (repeated_chunks(docs, id_col, text_col, long_words).groupBy("doc")
-            .agg(F.collect_list("at").alias("__drop")).withColumnRenamed("doc", "__doc"))
-    joined = docs.join(drop, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    drop = (repeated_chunks(docs, id_col, text_col, long_words, key_bytes).groupBy("doc")
+            .agg(F.collect_list(F.struct("at", "key")).alias("__drop")).withColumnRenamed("doc", "__doc"))
     names = docs.columns
+    at_text = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    packed_schema = ", ".join(f"`{f.name}` {'binary' if i == at_text else f.dataType.simpleString()}"
+                              for i, f in enumerate(docs.schema.fields))
 
-    at_text = names.index(text_col)
+    def pack():
+        small = zstandard.ZstdCompressor(level=3)
+
+        def row(*v):
+            v = list(v)
+            if v[at_text] is not None:
+                v[at_text] = small.compress(v[at_text].encode("utf-8", "surrogatepass"))
+            return tuple(v)
+        return row
 
     def make():
+        large = zstandard.ZstdDecompressor()
+
         def row(*v):
-            drop_at, v = v[-1], list(v[:-1])
-            if drop_at is not None and v[at_text] is not None:
-                gone = set(drop_at)
-                parts = [c for i, c in enumerate(chunks_of(v[at_text], long_words)) if i not in gone]
-                v[at_text] = "".join(parts).rstrip("\r\n") if parts else ""
+            gone, v = v[-1], list(v[:-1])
+            if v[at_text] is not None:
+                v[at_text] = large.decompress(v[at_text]).decode("utf-8", "surrogatepass")
+                if gone is not None:
+                    # the key tells apart the chunks of rows that share a doc_id
+                    gone = {g["at"]: g["key"] for g in gone}
+                    parts = [c for i, c in enumerate(chunks_of(v[at_text], long_words))
+                             if i not in gone or _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes) != gone[i]]
+                    v[at_text] = "".join(parts).rstrip("\r\n") if parts else ""
             return tuple(v)
         return row
-    untouched = joined.where("__drop is null").drop("__drop")
-    changed = map_rows(joined.where("__drop is not null"), [*names, "__drop"], schema, make)
-    return untouched.unionByName(changed)
+    joined = map_rows(docs, names, packed_schema, pack).join(drop, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    return map_rows(joined, [*names, "__drop"], schema, make)

@@ -242,6 +242,16 @@ def test_line_dedup(spark):
     for t in texts.values():
         assert "".join(line_dedup.chunks_of(t or "")) == (t or "")
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
+    # keys too short to tell chunks apart: the bytes decide
+    short = {r["doc_id"]: r["text"] for r in rows_of(line_dedup.dedup_lines(df, key_bytes=0))}
+    assert short == got
+
+
+def test_line_dedup_rows_that_share_an_id(spark):
+    shared, own = " ".join(f"s{i}" for i in range(50)), " ".join(f"o{i}" for i in range(50))
+    df = spark.createDataFrame([(1, shared), (2, shared), (2, own), (2, shared)], "doc_id long, text string")
+    got = sorted(r["text"] for r in rows_of(line_dedup.dedup_lines(df)))
+    assert got == sorted([shared, "", own, ""])
 
 
 def test_decontamination_matches_brute_force(spark):
