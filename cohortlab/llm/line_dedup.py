@@ -97,54 +97,41 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return flat_map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, at int, key binary", make)
 
 
-def chunk_bodies(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key, body) of the chunks at ``places`` (doc, at), bodies compressed."""
-    at = places.groupBy("doc").agg(F.collect_set("at").alias("ats"))
+def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
+                    key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc, at, key, later) of every chunk whose key occurs in several places; the first is not ``later``."""
+    slim = written(chunk_table(docs, id_col, text_col, long_words, key_bytes), "line-chunks")
+    place = F.struct("doc", "at")
+    again = slim.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
+    return written(slim.join(again, "key").select("doc", "at", "key", (place > F.col("first")).alias("later")).distinct(), "line-places")
 
-    def pack():
-        small = zstandard.ZstdCompressor(level=3)
-        return lambda doc, text: (doc, small.compress(text.encode("utf-8", "surrogatepass")))
 
+def _mark(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with the list of its places as ``__places``."""
+    lists = places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("at", "key", "later")).alias("__places"))
+    return docs.join(lists, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+
+
+def marked_bodies(marked: DataFrame, id_col: str, text_col: str, long_words: int, key_bytes: int) -> DataFrame:
+    """(doc, at, key, body) of the marked chunks, bodies compressed."""
     def make():
         small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
-        def rows(doc, z, ats):
-            ats = set(ats)
+        def rows(doc, z, places):
+            keys = {(p["at"], p["key"]) for p in places}
             for i, c in enumerate(chunks_of(large.decompress(z).decode("utf-8", "surrogatepass"), long_words)):
-                # rows that share a doc_id share its places: a place may hold no chunk here
-                if i in ats and _counts(c, long_words):
-                    raw = _body(c).encode("utf-8", "surrogatepass")
-                    yield doc, i, _key(raw, key_bytes), small.compress(raw)
+                raw = _body(c).encode("utf-8", "surrogatepass")
+                key = _key(raw, key_bytes)
+                if (i, key) in keys and _counts(c, long_words):
+                    yield doc, i, key, small.compress(raw)
         return rows
-    packed = map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, z binary", pack)
-    return flat_map_rows(packed.join(at, "doc"), ["doc", "z", "ats"], "doc long, at int, key binary, body binary", make, 5_000)
-
-
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key) of every chunk place to remove."""
-    slim = written(chunk_table(docs, id_col, text_col, long_words, key_bytes), "line-chunks")
-    place = F.struct("doc", "at")
-    again = slim.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    places = written(slim.join(again, "key"), "line-places")
-    bodies = chunk_bodies(docs, places, id_col, text_col, long_words, key_bytes)
-    # the byte comparison: one row per distinct body, then keys that name more than one
-    mixed = written(bodies.select("key", "body").distinct().groupBy("key").count().where("count > 1").select("key"), "line-mixed")
-    later = places.where(place > F.col("first"))
-    if mixed.isEmpty():
-        return later.select("doc", "at", "key").distinct()
-    told = written(bodies.join(mixed, "key", "left_semi"), "line-told")
-    first = told.groupBy("key", "body").agg(F.min(place).alias("first"))
-    return (later.join(mixed, "key", "left_anti").select("doc", "at", "key")
-            .union(told.join(first, ["key", "body"]).where(place > F.col("first")).select("doc", "at", "key")).distinct())
+    src = marked.where(F.col("__places").isNotNull() & F.col(text_col).isNotNull())
+    return flat_map_rows(src, [id_col, text_col, "__places"], "doc long, at int, key binary, body binary", make, 5_000)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
     """``docs`` with repeated chunks cut from the text, same columns, same rows."""
-    drop = (repeated_chunks(docs, id_col, text_col, long_words, key_bytes).groupBy("doc")
-            .agg(F.collect_list(F.struct("at", "key")).alias("__drop")).withColumnRenamed("doc", "__doc"))
     names = docs.columns
     at_text = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -165,16 +152,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         large = zstandard.ZstdDecompressor()
 
         def row(*v):
-            gone, v = v[-1], list(v[:-1])
+            places, v = v[-1], list(v[:-1])
             if v[at_text] is not None:
                 v[at_text] = large.decompress(v[at_text]).decode("utf-8", "surrogatepass")
-                if gone is not None:
-                    # the key tells apart the chunks of rows that share a doc_id
-                    gone = {g["at"]: g["key"] for g in gone}
+                # the key tells apart the chunks of rows that share a doc_id
+                gone = {(p["at"], p["key"]) for p in places or () if p["later"]}
+                if gone:
                     parts = [c for i, c in enumerate(chunks_of(v[at_text], long_words))
-                             if i not in gone or _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes) != gone[i]]
+                             if (i, _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes)) not in gone]
                     v[at_text] = "".join(parts).rstrip("\r\n") if parts else ""
             return tuple(v)
         return row
-    joined = map_rows(docs, names, packed_schema, pack).join(drop, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    return map_rows(joined, [*names, "__drop"], schema, make)
+    places = repeated_places(docs, id_col, text_col, long_words, key_bytes)
+    # the texts cross one shuffle, to meet their places; both later passes read the table written here
+    marked = written(_mark(map_rows(docs, names, packed_schema, pack), places, id_col), "line-marked")
+    bodies = marked_bodies(marked, id_col, text_col, long_words, key_bytes)
+    # the byte comparison: one row per distinct body, then keys that name more than one
+    mixed = written(bodies.select("key", "body").distinct().groupBy("key").count().where("count > 1").select("key"), "line-mixed")
+    if not mixed.isEmpty():
+        told = written(bodies.join(mixed, "key", "left_semi"), "line-told")
+        place = F.struct("doc", "at")
+        first = told.groupBy("key", "body").agg(F.min(place).alias("first"))
+        apart = told.join(first, ["key", "body"]).select("doc", "at", "key", (place > F.col("first")).alias("later")).distinct()
+        marked = _mark(marked.drop("__places"), places.join(mixed, "key", "left_anti").select(*apart.columns).union(apart), id_col)
+    return map_rows(marked, [*names, "__places"], schema, make)
