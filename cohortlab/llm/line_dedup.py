@@ -1,23 +1,29 @@
-"""Line dedup with content-defined chunks (operator 1).
-
-A text's lines are hashed; a chunk ends after a line where the rolling hash
-of the last ``ROLL`` line hashes is 0 modulo ``DIVISOR`` if the chunk has two
-lines, and on both sides of
-a line with at least ``long_words`` words, so boundaries follow the content
-and inserted lines shift nothing beyond the next boundary.  A chunk that
-occurs in several places of the table and has at least two lines, or at least
-``long_words`` words, stays only at its first place (smallest doc_id, then
-position); later places are removed after their bytes are compared.
-
-Places are found by 128-bit keys alone.  The bytes of repeated chunks are then
+"""Line dedup with content-defined chunks and pieces of lines (operator 1).
+
+Pieces: a line's words are hashed, and a piece starts before a word whose hash
+is the smallest within ``RADIUS`` words on both sides in that line, and at each
+line start; a piece that stays long is cut every ``STEP`` words.  So the cuts inside a repeated passage follow its words, wherever
+in a line it begins or ends.  Consecutive pieces that all occur earlier in the
+table (smaller doc_id, then position) are cut if they have ``RUN_WORDS`` words
+together; of a passage inside a line only the words before its first and after
+its last cut stay.
+
+Chunks: a chunk of lines ends after a line where the rolling hash of the last
+``ROLL`` line hashes is 0 modulo ``DIVISOR`` if the chunk has two lines, and on
+both sides of a line with at least ``long_words`` words.  A chunk with at least
+two lines, or ``long_words`` words, stays only at its first place.  Only chunks
+with fewer than ``RUN_WORDS`` words need a place of their own: longer ones are
+runs of pieces.
+
+Places are found by 64-bit keys alone.  The bytes of repeated units are then
 compared by grouping (key, bytes), which combines copies map-side; a key with
-more than one body is resolved by its bytes.  Texts and bodies cross shuffles
-compressed; equal compressed bytes mean equal bodies.
+more than one body is resolved by its bytes.  Texts cross the shuffle
+compressed.
 
-Blank lines belong to the chunk of the line before.  Null texts stay null,
-an emptied text becomes ''.  Rows without doc_id stay unchanged.  Rows that
-share a doc_id are read as one document whose places they share: a chunk at
-the same position of both is one place.
+Blank lines go with the line before.  Null texts stay null, an emptied text
+becomes ''.  Rows without doc_id stay unchanged.  Rows that share a doc_id are
+read as one document whose places they share: a unit at the same position of
+both is one place.
 Other columns pass through.
 """
 
@@ -27,6 +33,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +42,16 @@ from cohortlab.llm.common import flat_map_rows, map_rows, written
 
 ROLL = 2
 DIVISOR = 2
-KEY_BYTES = 16
+KEY_BYTES = 8
 LONG_WORDS = 40
+RADIUS = 4
+RUN_WORDS = 16
+#: A piece of more than two steps is cut on every STEP words; words repeated with a period up to RADIUS fall into phase.
+STEP = 12
+#: Chunks are placed below all pieces, in their order.
+CHUNK_AT = -2 ** 30
+#: Bodies longer than this cross shuffles compressed.
+PACK_BYTES = 256
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
 
@@ -76,8 +91,61 @@ def _counts(chunk: str, long_words: int) -> bool:
     return sum(bool(x.strip()) for x in body.split("\n")) >= 2 or len(body.split()) >= long_words
 
 
-def _key(body: bytes, key_bytes: int) -> bytes:
-    return hashlib.sha256(body).digest()[:key_bytes]
+def _key(body: bytes, key_bytes: int) -> int:
+    return int.from_bytes(hashlib.sha256(body).digest()[:key_bytes], "big", signed=True)
+
+
+def pieces_of(raw: bytes):
+    """(starts, ends, first, line) of a text's words and pieces: byte bounds of
+    each word, the first word of each piece, the line of each word."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(len(b) + 2, dtype=np.int8)
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    line = np.searchsorted(np.flatnonzero(b == 10), starts)
+    n = len(starts)
+    if not n:
+        return starts, ends, starts, line
+    new_line = np.concatenate(([True], line[1:] != line[:-1]))
+    # a word's hash, from its last eight bytes
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        at = ends - 1 - k
+        h |= np.where(at >= starts, b[np.maximum(at, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (h >> np.uint64(32)) + np.uint64(1)
+    # zeros between the lines: no cut within RADIUS words of a line's ends
+    at = np.arange(n) + RADIUS * np.cumsum(new_line)
+    wide = np.zeros(at[-1] + RADIUS + 1, dtype=np.uint64)
+    wide[at] = h
+    cut = np.ones(n, dtype=bool)
+    for k in range(1, RADIUS + 1):
+        cut &= (h < wide[at - k]) & (h <= wide[at + k])
+    first = np.flatnonzero(cut | new_line)
+    after = np.append(first[1:], n)
+    long = np.flatnonzero(after - first > 2 * STEP)
+    if len(long):
+        more = [np.arange(first[i] + STEP, after[i] - STEP + 1, STEP) for i in long]
+        first = np.sort(np.concatenate([first, *more]))
+    return starts, ends, first, line
+
+
+def _units(raw: bytes, long_words: int):
+    """(at, start, end) of every unit's body in bytes, pieces first."""
+    starts, ends, first, _ = pieces_of(raw)
+    last = np.append(first[1:], len(starts))
+    yield from zip(range(len(first)), starts[first].tolist(), ends[last - 1].tolist() if len(first) else [])
+    pos = 0
+    for i, c in enumerate(chunks_of(raw.decode("utf-8", "surrogatepass"), long_words)):
+        z = c.encode("utf-8", "surrogatepass")
+        if _counts(c, long_words) and len(z.split()) < RUN_WORDS:
+            body = _body(c).encode("utf-8", "surrogatepass")
+            lead = len(z) - len(z.lstrip(b"\r\n \t"))
+            yield CHUNK_AT + i, pos + lead, pos + lead + len(body)
+        pos += len(z)
 
 
 def _with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,25 +153,74 @@ def _with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
-                key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key) of every removable chunk; ``key`` is cut from SHA-256."""
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
+               key_bytes: int = KEY_BYTES) -> DataFrame:
+    """(doc, at, key) of every piece and every removable short chunk; ``key`` is cut from SHA-256."""
     def make():
         def rows(doc, text):
-            for i, c in enumerate(chunks_of(text, long_words)):
-                if _counts(c, long_words):
-                    yield doc, i, _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes)
+            raw = text.encode("utf-8", "surrogatepass")
+            for at, s, e in _units(raw, long_words):
+                yield doc, at, _key(raw[s:e], key_bytes)
         return rows
-    return flat_map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, at int, key binary", make)
+    return flat_map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, at int, key long", make)
 
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
                     key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key, later) of every chunk whose key occurs in several places; the first is not ``later``."""
-    slim = written(chunk_table(docs, id_col, text_col, long_words, key_bytes), "line-chunks")
-    place = F.struct("doc", "at")
-    again = slim.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    return written(slim.join(again, "key").select("doc", "at", "key", (place > F.col("first")).alias("later")).distinct(), "line-places")
+    """(doc, at, key, later) of every unit whose key occurs in several rows;
+    ``later`` is null in the first document, which tells by its own places."""
+    slim = written(unit_table(docs, id_col, text_col, long_words, key_bytes), "line-units")
+    again = (slim.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+             .where("n > 1").select("key", "first"))
+    later = F.when(F.col("doc") > F.col("first"), F.lit(True))
+    return written(slim.join(again, "key").select("doc", "at", "key", later.alias("later")), "line-places")
+
+
+def _gone(places) -> set:
+    """(at, key) of a document's later places."""
+    first: dict = {}
+    for p in places or ():
+        if p["later"] is None:
+            first[p["key"]] = min(first.get(p["key"], p["at"]), p["at"])
+    return {(p["at"], p["key"]) for p in places or ()
+            if p["later"] or p["later"] is None and p["at"] > first[p["key"]]}
+
+
+def _cut_text(text: str, gone: set, long_words: int, key_bytes: int) -> str:
+    """``text`` without the runs of pieces and the chunks in ``gone``."""
+    raw = text.encode("utf-8", "surrogatepass")
+    starts, ends, first, line = pieces_of(raw)
+    last = np.append(first[1:], len(starts))
+    at_gone = {at for at, _ in gone}
+    # the key tells apart the units of rows that share a doc_id
+    held = [(at, s, e) for at, s, e in _units(raw, long_words)
+            if at in at_gone and (at, _key(raw[s:e], key_bytes)) in gone]
+    word_gone = np.zeros(len(starts) + 1, dtype=bool)
+    for at, s, e in held:
+        if at >= 0:
+            word_gone[first[at]:last[at]] = True
+    step = np.flatnonzero(np.diff(word_gone.astype(np.int8), prepend=0))
+    runs = [(int(a), int(b)) for a, b in zip(step[::2], step[1::2]) if b - a >= RUN_WORDS]
+    for at, s, e in held:
+        if at < 0:
+            runs.append((int(np.searchsorted(starts, s)), int(np.searchsorted(starts, e))))
+    if not runs:
+        return text
+    word_gone[:] = False
+    for a, b in runs:
+        word_gone[a:b] = True
+    step = np.flatnonzero(np.diff(word_gone.astype(np.int8), prepend=0))
+    out, pos, n = [], 0, len(starts)
+    for a, b in zip(step[::2].tolist(), step[1::2].tolist()):
+        begin, end = int(starts[a]), int(starts[b]) if b < n else len(raw)
+        if a and line[a] == line[a - 1] and (b == n or line[b] != line[b - 1]):
+            # the line keeps its beginning, so also its end
+            begin, end = int(ends[a - 1]), int(ends[b - 1])
+        out.append(raw[pos:begin])
+        pos = end
+    out.append(raw[pos:])
+    left = b"".join(out).decode("utf-8", "surrogatepass")
+    return left.rstrip("\r\n") if left.strip() else ""
 
 
 def _mark(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
@@ -113,25 +230,28 @@ def _mark(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
 
 
 def marked_bodies(marked: DataFrame, id_col: str, text_col: str, long_words: int, key_bytes: int) -> DataFrame:
-    """(doc, at, key, body) of the marked chunks, bodies compressed."""
+    """(doc, at, key, body) of the marked units; long bodies compressed."""
     def make():
         small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
         def rows(doc, z, places):
             keys = {(p["at"], p["key"]) for p in places}
-            for i, c in enumerate(chunks_of(large.decompress(z).decode("utf-8", "surrogatepass"), long_words)):
-                raw = _body(c).encode("utf-8", "surrogatepass")
-                key = _key(raw, key_bytes)
-                if (i, key) in keys and _counts(c, long_words):
-                    yield doc, i, key, small.compress(raw)
+            at_keys = {at for at, _ in keys}
+            raw = large.decompress(z)
+            for at, s, e in _units(raw, long_words):
+                if at in at_keys:
+                    body = raw[s:e]
+                    key = _key(body, key_bytes)
+                    if (at, key) in keys:
+                        yield doc, at, key, b"z" + small.compress(body) if e - s > PACK_BYTES else b"r" + body
         return rows
     src = marked.where(F.col("__places").isNotNull() & F.col(text_col).isNotNull())
-    return flat_map_rows(src, [id_col, text_col, "__places"], "doc long, at int, key binary, body binary", make, 5_000)
+    return flat_map_rows(src, [id_col, text_col, "__places"], "doc long, at int, key long, body binary", make, 5_000)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """``docs`` with repeated chunks cut from the text, same columns, same rows."""
+    """``docs`` with repeated passages cut from the text, same columns, same rows."""
     names = docs.columns
     at_text = names.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -155,12 +275,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             places, v = v[-1], list(v[:-1])
             if v[at_text] is not None:
                 v[at_text] = large.decompress(v[at_text]).decode("utf-8", "surrogatepass")
-                # the key tells apart the chunks of rows that share a doc_id
-                gone = {(p["at"], p["key"]) for p in places or () if p["later"]}
+                gone = _gone(places)
                 if gone:
-                    parts = [c for i, c in enumerate(chunks_of(v[at_text], long_words))
-                             if (i, _key(_body(c).encode("utf-8", "surrogatepass"), key_bytes)) not in gone]
-                    v[at_text] = "".join(parts).rstrip("\r\n") if parts else ""
+                    v[at_text] = _cut_text(v[at_text], gone, long_words, key_bytes)
             return tuple(v)
         return row
     places = repeated_places(docs, id_col, text_col, long_words, key_bytes)

@@ -254,6 +254,47 @@ def test_line_dedup_rows_that_share_an_id(spark):
     assert got == sorted([shared, "", own, ""])
 
 
+def repeated_windows(texts, size=50):
+    """(index, word) covered by a window of words that an earlier place holds, by brute force."""
+    seen, out = set(), set()
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for k in range(len(w) - size + 1):
+            key = tuple(w[k:k + size])
+            if key in seen:
+                out.update((i, j) for j in range(k, k + size))
+            seen.add(key)
+    return out
+
+
+def test_line_dedup_passages_inside_lines(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"y{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passages = [words(50) for _ in range(40)]
+    for p in passages[20:]:
+        p[17] += "\n" + words(1)[0]
+        p[39] += "\n" + words(1)[0]
+    texts = [" ".join(words(rng.randint(9, 60)) + p + words(rng.randint(9, 60))) for p in passages * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in sorted(rows_of(line_dedup.dedup_lines(df)), key=lambda r: r["doc_id"])]
+    assert got[:40] == texts[:40]
+    assert len(repeated_windows(texts)) >= 40 * 50 and not repeated_windows(got)
+    cut = [len(t.split()) - len(g.split()) for t, g in zip(texts[40:], got[40:])]
+    assert min(cut) >= line_dedup.RUN_WORDS and sum(cut) >= 0.6 * 40 * 50
+    # nothing but the passage is cut
+    for t, g, p in zip(texts[40:], got[40:], passages):
+        head, tail = (x.split() for x in t.split(" ".join(p)))
+        assert g.split()[:len(head)] == head and g.split()[-len(tail):] == tail
+
+
+def test_line_dedup_words_repeated_with_a_period(spark):
+    texts = ["a first line\n" + "For " * 700 + "end", "b " + "up and down " * 90, "to fro " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in sorted(rows_of(line_dedup.dedup_lines(df)), key=lambda r: r["doc_id"])]
+    assert repeated_windows(texts) and not repeated_windows(got)
+    assert got[0].startswith("a first line\nFor ") and got[0].endswith("end") and got[1].startswith("b up and down")
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(9)
     words = [f"k{i}" for i in range(300)]
