@@ -149,6 +149,46 @@ def q_changes(spark, sf_dir):
     return S.detect_changes(_fp_old(spark, sf_dir), _fp_new(spark, sf_dir))
 
 
+# the same over every column of the tables
+WHOLE_CUST, WHOLE_ORD = ([c for c, _ in TABLE_COLUMNS[t]] for t in ("customer", "orders"))
+FP_WHOLE_OLD_SQL = _fp_rows_sql("customer", "c_mktsegment", WHOLE_CUST)
+FP_WHOLE_NEW_SQL = (_fp_rows_sql("(SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN -c_acctbal ELSE c_acctbal END "
+                                 "AS c_acctbal) FROM customer)", "c_mktsegment", WHOLE_CUST)
+                    + " UNION ALL " + _fp_rows_sql("orders", "o_orderpriority", WHOLE_ORD))
+
+
+def _fp_whole_old(spark, sf_dir):
+    return S.fingerprint(read(spark, sf_dir, "customer"), cols=WHOLE_CUST, by="c_mktsegment")
+
+
+def _fp_whole_new(spark, sf_dir):
+    balance = F.when(F.col("c_mktsegment") == "BUILDING", -F.col("c_acctbal")).otherwise(F.col("c_acctbal"))
+    cust = read(spark, sf_dir, "customer").withColumn("c_acctbal", balance)
+    return (S.fingerprint(cust, cols=WHOLE_CUST, by="c_mktsegment")
+            .unionByName(S.fingerprint(read(spark, sf_dir, "orders"), cols=WHOLE_ORD, by="o_orderpriority")))
+
+
+register("fingerprint_customer_segments_whole", FP_WHOLE_OLD_SQL)(_fp_whole_old)
+
+
+@register("fingerprint_upsert_whole", f"""
+WITH old AS ({FP_WHOLE_OLD_SQL}), new AS ({FP_WHOLE_NEW_SQL})
+SELECT * FROM old WHERE dataset NOT IN (SELECT dataset FROM new) UNION ALL SELECT * FROM new""")
+def q_fp_upsert_whole(spark, sf_dir):
+    return S.upsert_fingerprints(_fp_whole_old(spark, sf_dir), _fp_whole_new(spark, sf_dir))
+
+
+@register("change_detection_whole", f"""
+WITH old AS ({FP_WHOLE_OLD_SQL}), new AS ({FP_WHOLE_NEW_SQL})
+SELECT n.dataset, n.n_rows, n.fingerprint,
+       CASE WHEN o.fingerprint IS NULL THEN 'new'
+            WHEN o.fingerprint <> n.fingerprint OR o.n_rows <> n.n_rows OR o.col_list <> n.col_list THEN 'changed'
+            ELSE 'same' END AS status
+FROM new n LEFT JOIN old o ON n.dataset = o.dataset""")
+def q_changes_whole(spark, sf_dir):
+    return S.detect_changes(_fp_whole_old(spark, sf_dir), _fp_whole_new(spark, sf_dir))
+
+
 def _table_fp(df, name):
     return S.fingerprint(df, name=name)
 
@@ -217,6 +257,17 @@ def q_hist(spark, sf_dir):
     return h.select("col_name", "bin", dec(F.col("bin_lo")).alias("bin_lo"), dec(F.col("bin_hi")).alias("bin_hi"), "cnt")
 
 
+WHOLE_HIST_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *HIST_COLS]
+
+
+@register("histogram_lineitem_whole", "SELECT col_name, bin, CAST(round(bin_lo, 6) AS DECIMAL(38,6)) AS bin_lo, "
+          "CAST(round(bin_hi, 6) AS DECIMAL(38,6)) AS bin_hi, cnt FROM ("
+          + " UNION ALL ".join(_hist_sql(c) for c in WHOLE_HIST_COLS) + ")")
+def q_hist_whole(spark, sf_dir):
+    h = P.histogram(read(spark, sf_dir, "lineitem"), WHOLE_HIST_COLS)
+    return h.select("col_name", "bin", dec(F.col("bin_lo")).alias("bin_lo"), dec(F.col("bin_hi")).alias("bin_hi"), "cnt")
+
+
 def _box_sql(c: str) -> str:
     return f"""
 SELECT '{c}' AS col_name, CAST(q.n AS BIGINT) AS n, q.q1, q.median, q.q3,
@@ -239,6 +290,15 @@ def q_box(spark, sf_dir):
                     "n_outliers")
 
 
+@register("box_lineitem_whole", "SELECT col_name, n, " + ", ".join(
+    f"CAST(round({k}, 6) AS DECIMAL(38,6)) AS {k}" for k in ("q1", "median", "q3", "whisker_lo", "whisker_hi"))
+    + ", n_outliers FROM (" + " UNION ALL ".join(_box_sql(c) for c in WHOLE_HIST_COLS) + ")")
+def q_box_whole(spark, sf_dir):
+    b = P.box_summary(read(spark, sf_dir, "lineitem"), WHOLE_HIST_COLS)
+    return b.select("col_name", "n", *[dec(F.col(k)).alias(k) for k in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+                    "n_outliers")
+
+
 @register("value_counts_orders", " UNION ALL ".join(
     f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt, "
     f"CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM orders GROUP BY {c}"
@@ -832,7 +892,7 @@ def _emb_clusters(spark, sf_dir):
 
 @register("kmeans_embeddings")
 def q_k2(spark, sf_dir):
-    return _emb_clusters(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _emb_clusters(spark, sf_dir).select("vec_id", "cluster_id")
 
 
 @register("silhouette_embeddings")

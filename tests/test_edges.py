@@ -274,3 +274,14 @@ def test_rule_depth_beyond_the_library_is_an_error(spark):
     from cohortlab.operators.cluster import mine_rules
     with pytest.raises(ValueError):
         mine_rules(spark.range(3).selectExpr("id as x", "0 as cluster"), ["x"], "cluster", max_depth=31)
+
+
+def test_whole_inputs(spark):
+    from cohortlab.plans.catalog import QUERIES
+    d = "/root/testdata/sf0.001"
+    status = {r["dataset"]: r["status"] for r in QUERIES["change_detection_whole"](spark, d).collect()}
+    # only balances of this segment differ
+    assert status["BUILDING"] == "changed" and status["MACHINERY"] == "same"
+    rows = QUERIES["kmeans_embeddings"](spark, d)
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert rows.columns == ["vec_id", "cluster_id"] and rows.select("vec_id").distinct().count() == n == rows.count()
