@@ -121,10 +121,11 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
 
 def category_lists(vc: DataFrame, dist: DataFrame, cap: int = FACTOR_CAP,
                    force: Iterable[str] = ()) -> DataFrame:
-    """Sorted categories of the columns with at most ``cap`` values.
+    """Sorted categories of the columns with at most ``cap`` values and of
+    those in ``force``, whatever their number of values.
 
     ``dist`` has one row per column, so the broadcast is bounded by the
-    column count, and every collected group is bounded by ``cap``.
+    column count.  A collected group is bounded by ``cap`` unless forced.
     """
     force = list(force)
     keep = dist.filter((F.col("col_factornum") <= cap) | F.col("col_name").isin(force)) \
@@ -176,7 +177,8 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
     """One profile row per column (schema ``PROFILE_FIELDS``).
 
     Type precedence: ``overrides`` (column -> type) > ``stored`` profile's
-    ``col_datatype`` > automatic rule.
+    ``col_datatype`` > automatic rule.  A column that is ``factor_s`` by
+    override or stored type lists all its values, also beyond ``cap``.
     """
     cols = data_columns(df, cols)
     overrides = dict(overrides or {})
@@ -187,13 +189,18 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
     if missing:
         raise KeyError(f"override for unknown column(s): {missing}")
     stats = column_stats(df, cols, approx_distinct=approx, rsd=rsd)
+    forced = [c for c, t in overrides.items() if t == "factor_s"]
+    if stored is not None:
+        # one row per column
+        prior_factors = {r["col_name"] for r in stored.filter(F.col("col_datatype") == "factor_s").select("col_name").collect()}
+        forced += [c for c in cols if c in prior_factors and c not in overrides]
 
     if approx:
         # Decide on the driver, from one row per column, which columns are
         # small enough for exact counts; the rest keep the HLL estimate.
         est = {r["col_name"]: r["approx_distinct"] for r in stats.select("col_name", "approx_distinct").collect()}
         slack = 1.0 + 4 * rsd
-        small = [c for c in cols if est[c] <= cap * slack or overrides.get(c) == "factor_s"]
+        small = [c for c in cols if est[c] <= cap * slack or c in forced]
         vc = value_counts(df, small)
         exact = distinct_counts(vc)
         dist = (stats.select("col_name", "approx_distinct")
@@ -202,11 +209,10 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
     else:
         vc = value_counts(df, cols)
         dist = distinct_counts(vc)
-    forced = [c for c, t in overrides.items() if t == "factor_s"]
     cats = category_lists(vc, dist, cap, force=forced)
 
     out = (stats.join(F.broadcast(dist), "col_name", "left")
-           .join(F.broadcast(cats), "col_name", "left")
+           .join(cats if forced else F.broadcast(cats), "col_name", "left")
            .withColumn("col_factornum", F.coalesce("col_factornum", F.lit(0).cast("bigint"))))
     auto = semantic_type(F.col("storage"), F.col("n_non_null"), F.col("col_factornum"), cap, num2factor)
     dtype = auto

@@ -285,3 +285,14 @@ def test_whole_inputs(spark):
     rows = QUERIES["kmeans_embeddings"](spark, d)
     n = spark.read.parquet(f"{d}/embeddings.parquet").count()
     assert rows.columns == ["vec_id", "cluster_id"] and rows.select("vec_id").distinct().count() == n == rows.count()
+
+
+def test_stored_factor_beyond_the_cap(spark):
+    df = spark.range(1500).selectExpr("concat('v', id) AS a", "id AS b")
+    small = P.profile(df.limit(10)).select("col_name", "col_datatype")
+    assert {r["col_name"]: r["col_datatype"] for r in small.collect()}["a"] == "factor_s"
+    by_override = P.profile(df, ["a"], overrides={"a": "factor_s"}).collect()
+    assert len(by_override[0]["categories"]) == 1500
+    for approx in (False, True):
+        got = P.profile(df, ["a"], stored=small, approx=approx).collect()
+        assert got[0]["categories"] == by_override[0]["categories"] and got[0]["value_range"] == by_override[0]["value_range"]
