@@ -215,10 +215,12 @@ def p_values(stats: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- K7-K8
 
 def mine_rules(df: DataFrame, features: Sequence[str], cluster_col: str = CLUSTER,
-               min_samples_leaf: int = 10, max_depth: int = 10, seed: int = 0):
+               min_samples_leaf: int = 10, max_depth: int = 10, seed: int = 0, max_bins: int = 1024):
     """K7: CART tree (gini) predicting the cluster from the features;
     returns ``(model, training accuracy)``.  MLlib takes depths up to 30;
-    a larger ``max_depth`` is an error."""
+    a larger ``max_depth`` is an error.  MLlib takes split candidates from a
+    sample of max(``max_bins`` ** 2, 10000) rows: with at most ``max_bins``
+    sampled values all gaps between them, beyond that ``max_bins`` quantiles."""
     if int(max_depth) > 30:
         raise ValueError("max_depth must be at most 30")
     from pyspark.ml.classification import DecisionTreeClassifier
@@ -227,7 +229,7 @@ def mine_rules(df: DataFrame, features: Sequence[str], cluster_col: str = CLUSTE
         .persist(StorageLevel.MEMORY_AND_DISK)
     model = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", impurity="gini",
                                    minInstancesPerNode=int(min_samples_leaf), maxDepth=int(max_depth),
-                                   seed=seed).fit(x)
+                                   maxBins=int(max_bins), seed=seed).fit(x)
     acc = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricName="accuracy") \
         .evaluate(model.transform(x))
     x.unpersist()

@@ -84,12 +84,15 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, reg: float |
     return model
 
 
-def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 10, seed: int = 0):
+def fit_forest(train: DataFrame, features: list[str], label: str, n_trees: int = 10, seed: int = 0,
+               max_bins: int = 1024):
     """Random forest option of the risk form (10 trees, the default of
-    the library generation the reference was written against)."""
+    the library generation the reference was written against).  A feature has
+    at most ``max_bins`` - 1 split candidates, see ``cluster.mine_rules``."""
     from pyspark.ml.classification import RandomForestClassifier
     data = _assemble(train, features).select("features", qcol(label).cast("double").alias("label"))
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_trees, seed=seed).fit(data)
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=n_trees, maxBins=int(max_bins),
+                                  seed=seed).fit(data)
 
 
 def coefficients(model, features: list[str]) -> DataFrame:

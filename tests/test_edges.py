@@ -296,3 +296,15 @@ def test_stored_factor_beyond_the_cap(spark):
     for approx in (False, True):
         got = P.profile(df, ["a"], stored=small, approx=approx).collect()
         assert got[0]["categories"] == by_override[0]["categories"] and got[0]["value_range"] == by_override[0]["value_range"]
+
+
+def test_trees_split_between_any_two_of_many_values(spark):
+    from cohortlab.operators import cluster as K
+    from cohortlab.operators import risk as R
+    df = spark.range(20_000).selectExpr("id % 500 AS x", "CAST(id % 500 > 347 AS INT) AS y")
+    model, acc = K.mine_rules(df, ["x"], "y", max_depth=1)
+    assert acc == 1.0 and K.tree_rules(model, ["x"])[0][2] == "`x` <= 347.5"
+    coarse = K.mine_rules(df, ["x"], "y", max_depth=1, max_bins=32)[1]
+    assert coarse < 1.0
+    forest = R.fit_forest(df, ["x"], "y", n_trees=1)
+    assert "347.5" in forest.toDebugString
