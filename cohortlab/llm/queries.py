@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import (bpe_prefix, chat_format, decontaminate, language_id, license_scan, line_dedup, ngram_join,
+from cohortlab.llm import (bpe_prefix, chat_format, decontaminate, hard_negatives, language_id, license_scan, line_dedup, ngram_join,
                            quality_rules, token_counts, warc)
 from cohortlab.llm.common import table
 
@@ -59,7 +59,13 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_prefix, op3_license_scan, op4_warc, op5_token_counts,
                                    op6_language_id, op7_quality_rules, op8_chat_format, op9_ngram_join,
-                                   op10_decontaminate)}
-ORACLE = {"op8_chat_format": chat_format.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+                                   op10_decontaminate, op11_hard_negatives)}
+ORACLE = {"op8_chat_format": chat_format.ORACLE, "op10_decontaminate": decontaminate.ORACLE,
+          "op11_hard_negatives": hard_negatives.ORACLE}
