@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import (bpe_prefix, chat_format, decontaminate, hard_negatives, language_id, license_scan, line_dedup, ngram_join,
-                           quality_rules, token_counts, turn_repair, warc)
+                           quality_rules, suffix_dedup, token_counts, turn_repair, warc)
 from cohortlab.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
 
 
+def op12_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_turn_repair(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     return turn_repair.repair_report(turn_repair.damage(conversations), conversations)
@@ -71,6 +75,7 @@ def op13_turn_repair(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_bpe_prefix, op3_license_scan, op4_warc, op5_token_counts,
                                    op6_language_id, op7_quality_rules, op8_chat_format, op9_ngram_join,
-                                   op10_decontaminate, op11_hard_negatives, op13_turn_repair)}
+                                   op10_decontaminate, op11_hard_negatives, op12_suffix_dedup,
+                                   op13_turn_repair)}
 ORACLE = {"op8_chat_format": chat_format.ORACLE, "op10_decontaminate": decontaminate.ORACLE,
           "op11_hard_negatives": hard_negatives.ORACLE}
