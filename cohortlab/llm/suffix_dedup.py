@@ -17,7 +17,8 @@ many times its bytes, so suffixes are thinned twice, without loss:
    their first eight bytes, then by a 64-bit fingerprint), the array is
    merge-scanned against each existing level for windows equal in both keys, which
    are then compared byte by byte, and levels of equal size merge, so that sizes
-   grow geometrically.  A level keeps one window of each text.
+   grow geometrically.  A level keeps one window of each text, and a piece that
+   equals an earlier one is settled on arrival.
    An anchor string with more pieces than one task should hold is settled by Spark
    instead: equal pieces are collapsed, and 128-bit digests of the windows of the distinct
    pieces are counted.
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -149,21 +151,28 @@ def _compress(batches):
 
 
 def _cut_pieces(length: int):
-    """Arrow task: the text of every wanted anchor's windows."""
+    """Arrow task: the text of every wanted anchor's windows.  The third and later equal pieces of one text
+    (periodic text has many) repeat for certain: their spans go out joined, with ``end`` in place of a text."""
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        names = ["mark", "key", "first", "piece"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["mark", "key", "first", "piece", "end"]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
         for b in batches:
             rows: list = []
             for key, packed, wanted in zip(b.column("key").to_pylist(), b.column("packed").to_pylist(), b.column("wanted").to_pylist()):
-                body = press.decompress(packed)
-                for w in wanted:
+                body, times, settled = press.decompress(packed), Counter(), []
+                for w in sorted(wanted, key=lambda w: w["span"]):
                     first, count = w["span"] >> 8, w["span"] & 255
-                    rows.append((w["mark"], key, first, body[first:first + count - 1 + length]))
+                    piece = body[first:first + count - 1 + length]
+                    times[piece] += 1
+                    if times[piece] > 2:
+                        settled.append((first, first + len(piece)))
+                    else:
+                        rows.append((w["mark"], key, first, piece, None))
                     if len(rows) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                         rows = []
+                rows += [(None, key, s, None, e) for s, e in merged(settled)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     return run
@@ -300,10 +309,20 @@ def _index_task(length: int):
     """Arrow task over the pieces of its anchor strings: the family marks what repeats."""
     def run(batches):
         family, owners, counts = IndexFamily(length), [], []
+        first_of: dict = {}                        # piece -> its number; an equal one repeats as a whole
+        whole, rows = set(), []
         held: list = []
         held_windows = 0
         for b in batches:
             for key, first, piece in zip(b.column("key").to_pylist(), b.column("first").to_pylist(), b.column("piece").to_pylist()):
+                number = first_of.setdefault(piece, len(owners))
+                if number < len(owners):
+                    rows.append((key, first, first + len(piece)))
+                    whole.add(number)
+                    if len(rows) >= 50_000:
+                        yield _span_batch(rows)
+                        rows = []
+                    continue
                 owners.append((key, first))
                 counts.append(len(piece) - length + 1)
                 held.append(piece)
@@ -315,7 +334,7 @@ def _index_task(length: int):
             family.add(held)
         if not owners:
             return
-        rows = []
+        rows += [(owners[i][0], owners[i][1], owners[i][1] + counts[i] - 1 + length) for i in whole]
         for r in _span_rows(owners, np.array(counts), family.repeated[:family.windows], length):
             rows.append(r)
             if len(rows) >= 50_000:
@@ -400,7 +419,7 @@ def merged(spans):
 
 # ----------------------------------------------------------------- on Spark
 
-def repeated_spans(texts: DataFrame, length: int = 200, task_pieces: int = 30_000, sample: float = 0.02, known: int = 50_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 200, task_pieces: int = 20_000, sample: float = 0.02, known: int = 50_000) -> DataFrame:
     """(key, spans) of texts (key binary, body binary; equal keys mean equal texts): every byte span covered by
     ``length`` bytes that also stand elsewhere in the table.
 
@@ -418,13 +437,15 @@ def repeated_spans(texts: DataFrame, length: int = 200, task_pieces: int = 30_00
     wanted = (rest.select("key", "mark", "span").unionByName(marks.where("common").select("key", "mark", "span"))
               .groupBy("key").agg(F.collect_set(F.struct("span", "mark")).alias("wanted")))
     packed = texts.mapInArrow(_compress, "key binary, packed binary").groupBy("key").agg(F.first("packed").alias("packed"))
-    pieces = written(packed.join(wanted, "key").mapInArrow(_cut_pieces(length), "mark long, key binary, first long, piece binary"), "suffix-pieces")
+    cut = written(packed.join(wanted, "key").mapInArrow(_cut_pieces(length), "mark long, key binary, first long, piece binary, end long"),
+                  "suffix-pieces")
+    pieces = cut.where("piece is not null").drop("end")
     total = pieces.count()
     crowds = pieces.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_pieces).select("mark")
     crowds = written(crowds, "suffix-crowds")
     tasks = max(1, math.ceil(total / task_pieces), min(spark.sparkContext.defaultParallelism, math.ceil(total / 1000)))
     spans = (pieces.join(crowds, "mark", "left_anti").repartition(tasks, "mark").select("key", "first", "piece")
-             .mapInArrow(_index_task(length), SPANS))
+             .mapInArrow(_index_task(length), SPANS)).unionByName(cut.where("piece is null").select("key", "first", "end"))
     if not crowds.isEmpty():
         spans = spans.unionByName(_crowded_spans(pieces.join(crowds, "mark", "left_semi"), length))
     return spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("spans"))
