@@ -189,6 +189,83 @@ def q_changes_whole(spark, sf_dir):
     return S.detect_changes(_fp_whole_old(spark, sf_dir), _fp_whole_new(spark, sf_dir))
 
 
+# by column: one renamed, one changed, one with nulls, one dropped, one added
+def _digest_rows_sql(source: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS col_pos, '{c}' AS col_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+        f"CAST(coalesce(sum(CAST(('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 15)) AS HUGEINT)), 0) AS DECIMAL(38,0)) AS digest FROM {source}"
+        for i, c in enumerate(cols))
+
+
+CHANGED_CUST_SQL = """(SELECT c_custkey, c_name AS c_label, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS c_nationkey,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN -c_acctbal ELSE c_acctbal END AS c_acctbal, c_custkey % 2 AS c_odd FROM customer)"""
+
+
+@register("column_changes_customer", f"""
+WITH o AS ({_digest_rows_sql('customer', WHOLE_CUST)}),
+n AS ({_digest_rows_sql(CHANGED_CUST_SQL, ['c_custkey', 'c_label', 'c_nationkey', 'c_acctbal', 'c_odd'])}),
+lone_n AS (SELECT * FROM n WHERE col_name NOT IN (SELECT col_name FROM o)),
+lone_o AS (SELECT * FROM o WHERE col_name NOT IN (SELECT col_name FROM n))
+SELECT 'customer' AS dataset, n.col_name, CASE WHEN n.digest = o.digest AND n.n_null = o.n_null AND n.n_rows = o.n_rows THEN 'same'
+  ELSE 'changed' END AS status, o.col_name AS old_name FROM n JOIN o ON n.col_name = o.col_name
+UNION ALL
+SELECT 'customer', coalesce(n.col_name, o.col_name), CASE WHEN o.col_name IS NULL THEN 'added' WHEN n.col_name IS NULL THEN 'removed'
+  ELSE 'renamed' END, o.col_name
+FROM lone_n n FULL OUTER JOIN lone_o o ON n.digest = o.digest AND n.n_null = o.n_null AND n.n_rows = o.n_rows""")
+def q_column_changes(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    building = F.col("c_mktsegment") == "BUILDING"
+    new = c.select("c_custkey", F.col("c_name").alias("c_label"), F.when(~building, F.col("c_nationkey")).alias("c_nationkey"),
+                   F.when(building, -F.col("c_acctbal")).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+                   (F.col("c_custkey") % 2).alias("c_odd"))
+    return S.detect_column_changes(S.column_digests(c, "customer", method="md5"), S.column_digests(new, "customer", method="md5"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder."""
+    import uuid
+    from cohortlab.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+ORD_SCHEMA = ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+              "o_orderpriority string")
+
+
+def _exported_orders(spark, sf_dir) -> str:
+    path = _scratch(spark, "orders-csv")
+    S.export_csv(_orders_ids(spark, sf_dir), path, ordered=True)
+    return path
+
+
+@register("csv_round_trip_orders", f"SELECT * FROM {_ids_sql('orders', 'o_orderkey')}")
+def q_round_trip(spark, sf_dir):
+    """S5 export in row order, S2 read of the parts, S3 save, S4 overwrite that drops the profile, load."""
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    df = ws.save(S.read_csv(spark, _exported_orders(spark, sf_dir), schema=ORD_SCHEMA), "df_orders")
+    ws.save_profile(P.profile(df), "df_orders")
+    out = ws.save(df, "df_orders")
+    if ws.load_profile("df_orders") is not None:
+        raise AssertionError("the overwritten dataset kept its profile")
+    return out
+
+
+@register("csv_first_rows_orders", f"SELECT * FROM {_ids_sql('orders', 'o_orderkey')} WHERE _row_id < 1000")
+def q_first_rows(spark, sf_dir):
+    """The first 1000 rows of a folder of CSV parts, in file order."""
+    return S.read_csv(spark, _exported_orders(spark, sf_dir), nrows=1000, schema=ORD_SCHEMA)
+
+
+@register("create_dataset_orders", f"SELECT _row_id, o_orderkey, o_totalprice, o_orderpriority FROM {_ids_sql('orders', 'o_orderkey')}")
+def q_create_dataset(spark, sf_dir):
+    """A new dataset from chosen columns, stored beside its source."""
+    from cohortlab.plans import flows
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    ws.save(_orders_ids(spark, sf_dir), "df_orders")
+    flows.column_action(ws, "df_orders", ["o_orderkey", "o_totalprice", "o_orderpriority"], "CREATE", "df_prices")
+    return ws.load("df_prices")
+
+
 def _table_fp(df, name):
     return S.fingerprint(df, name=name)
 

@@ -58,11 +58,7 @@ def profile_datasets(ws: Workspace, names: Sequence[str] | None = None,
     ensure_checkpoint_dir(ws.spark)
     current = current.checkpoint(eager=True)          # read by S10 and by the registry update
     stored = {n: ws.load_profile(n) for n in names}
-    have = [P.query_profiles({n: p}) for n, p in stored.items() if p is not None]
-    profiles = None
-    for p in have:
-        profiles = p if profiles is None else profiles.unionByName(p, allowMissingColumns=True)
-    reasons = {r["dataset"]: r["reason"] for r in stale_profiles(current, ws.registry(), profiles).collect()}
+    reasons = {r["dataset"]: r["reason"] for r in stale_profiles(current, ws.registry(), stored).collect()}
     for n in names:
         if reasons.get(n, "changed") != "fresh":
             ws.save_profile(P.profile(data[n], overrides=overrides.get(n), stored=stored[n] if reasons[n] != "changed"

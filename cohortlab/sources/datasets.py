@@ -1,133 +1,30 @@
-"""Datasets: registration, storage, export, preview and change tracking.
+"""Datasets: change tracking (S6-S10); reading and writing files
+and the dataset store (S3, S4) come from ``files`` and ``workspace``.
 
 A dataset is a DataFrame with a dense ``_row_id`` stamped once at
-registration.  A ``Workspace`` keeps datasets as parquet under one root
-(``<root>/<name>/data``) with their profiles next to them
-(``<root>/<name>/profile``) and a fingerprint registry (``<root>/_registry``).
-On a cluster the root is a shared folder (HDFS, object store).
+registration.  Change tracking works on commutative digests: one of the rows
+of a dataset and, to name what changed, one of every column.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlab.functions.columns import ROW_ID, data_columns, qcol
-from cohortlab.functions.sizing import small_side
-from cohortlab.session import ensure_checkpoint_dir
+from cohortlab.sources.files import (  # noqa: F401
+    dataset_name, export_csv, nan_to_null, read_csv, read_csvs, read_parquet, stamp_row_ids,
+)
 
-ROW_BITS = (1 << 33) - 1          # row-in-partition part of monotonically_increasing_id
 SEP = "\u001f"                     # unit separator between values in a row text
 NULL_TEXT = "\\N"
 REGISTRY_SCHEMA = "dataset string, n_rows bigint, n_cols int, col_list string, fingerprint decimal(38,0)"
 
 
-# ---------------------------------------------------------------- S1 / S2
-
-def stamp_row_ids(df: DataFrame) -> DataFrame:
-    """Dense ``_row_id`` (0..n-1) in input order, without a single-task window.
-
-    Rows are counted per input partition, the counts (one row per partition)
-    are turned into offsets and broadcast, and each row gets
-    ``offset + row-in-partition``.  Partition contents of a file scan are
-    deterministic, so a recomputed task after an executor loss gets the
-    same ids; an input that went through a shuffle is checkpointed first.
-    """
-    try:
-        shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-    except Exception:            # plan not inspectable here: fix the rows anyway
-        shuffled = True
-    if shuffled:
-        # rows after a shuffle arrive in no fixed order: fix them first, so
-        # that the count pass and the numbering pass see the same partitions
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    base = df.select("*", F.spark_partition_id().alias("_pid"),
-                     F.monotonically_increasing_id().alias("_mid"))
-    counts = base.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small_side(counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                                       .cast("bigint").alias("_off")))        # one row per input partition
-    return (base.join(offsets, "_pid")
-            .select(*[qcol(c) for c in df.columns],
-                    (F.col("_off") + F.col("_mid").bitwiseAND(F.lit(ROW_BITS))).alias(ROW_ID)))
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Spark keeps NaN apart from null; the reference treats NaN as missing."""
-    out = []
-    for f in df.schema.fields:
-        c = qcol(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(~F.isnan(c), c).alias(f.name)
-        out.append(c)
-    return df.select(*out)
-
-
-def dataset_name(path: str) -> str:
-    """``df_`` + file stem, as the registration form names datasets."""
-    return "df_" + os.path.basename(path).split(".")[0]
-
-
-def read_csv(spark: SparkSession, path: str, nrows: int | None = None,
-             schema: T.StructType | str | None = None, sep: str = ",", multi_line: bool = True) -> DataFrame:
-    """Read one CSV with header, stamp ``_row_id``, keep the first
-    ``nrows`` rows in file order when given.
-
-    Quotes inside a quoted field are doubled, and such a field may hold line
-    breaks; a malformed row fails the read.  A multi-line file is read by one
-    task: pass ``multi_line=False`` for a large file without line breaks in
-    fields, so that it splits.  Give ``schema`` on large inputs: inference
-    reads the file twice.
-    """
-    reader = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-              .option("multiLine", multi_line).option("mode", "FAILFAST"))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = stamp_row_ids(nan_to_null(reader.csv(path)))
-    if nrows is not None:
-        df = df.filter(F.col(ROW_ID) < F.lit(int(nrows)))
-    return df
-
-
-def read_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
-    """Register a parquet dataset the same way: NaN -> null, ``_row_id`` in
-    file order (one file per dataset, as for CSV), optional first ``nrows``."""
-    df = stamp_row_ids(nan_to_null(spark.read.parquet(path)))
-    if nrows is not None:
-        df = df.filter(F.col(ROW_ID) < F.lit(int(nrows)))
-    return df
-
-
-def read_csvs(spark: SparkSession, files: str | list[str], nrows: str | list[int] | None = None,
-              base_dir: str = "", schema=None) -> dict[str, DataFrame]:
-    """S1 form: ``;``-separated file list and an equal-length row-count list."""
-    if isinstance(files, str):
-        files = [f for f in files.strip().split(";") if f]
-    if nrows is None:
-        counts = [None] * len(files)
-    else:
-        counts = [int(n) for n in (nrows.strip().split(";") if isinstance(nrows, str) else nrows) if str(n)]
-    if len(files) != len(counts):
-        raise ValueError("file list and row-count list differ in length")
-    return {dataset_name(f): read_csv(spark, os.path.join(base_dir, f) if base_dir else f, n, schema)
-            for f, n in zip(files, counts)}
-
-
-# ---------------------------------------------------------------- S5 / S6
-
-def export_csv(df: DataFrame, path: str, ordered: bool = False) -> None:
-    """CSV with header, ``_row_id`` dropped.  Written as a directory of
-    parts (never funnelled through one task); ``ordered`` range-partitions
-    on ``_row_id`` so parts concatenate in row order."""
-    if ordered and ROW_ID in df.columns:
-        df = df.repartitionByRange(ROW_ID).sortWithinPartitions(ROW_ID)
-    cols = [c for c in df.columns if c != ROW_ID]
-    df.select(*[qcol(c) for c in cols]).write.mode("overwrite").option("header", True).csv(path)
-
+# ---------------------------------------------------------------- S6
 
 def preview(df: DataFrame, n: int = 20) -> DataFrame:
     """First ``n`` rows by ``_row_id`` (a top-k, not a full sort)."""
@@ -144,8 +41,14 @@ def shape(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- S7-S10
 
+def tagged_text(c):
+    """Text of a value; a null is ``\\N`` and a text that begins with a backslash gets another, so no value equals a null."""
+    t = c.cast("string")
+    return F.coalesce(F.when(t.startswith("\\"), F.concat(F.lit("\\"), t)).otherwise(t), F.lit(NULL_TEXT))
+
+
 def row_text(cols: list[str]):
-    return F.concat_ws(SEP, *[F.coalesce(qcol(c).cast("string"), F.lit(NULL_TEXT)) for c in cols])
+    return F.concat_ws(SEP, *[tagged_text(qcol(c)) for c in cols])
 
 
 def row_hash(cols: list[str]):
@@ -202,141 +105,87 @@ def detect_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("dataset", "n_rows", "fingerprint", status.alias("status"))
 
 
-def stale_profiles(current: DataFrame, registry: DataFrame, profiles: DataFrame | None,
+COLUMN_DIGESTS = ("dataset string, col_pos int, col_name string, n_rows bigint, n_null bigint, digest decimal(38,0)")
+
+
+def column_digests(df: DataFrame, name: str, cols: Iterable[str] | None = None, method: str = "xxhash64") -> DataFrame:
+    """S7 by column: ``(dataset, col_pos, col_name, n_rows, n_null, digest)``.
+
+    A digest is the sum of the hashes of a column's values; nulls add nothing and are counted apart, so a null equals
+    no text.  All columns in one aggregate without a shuffle of rows.  ``method`` as for ``fingerprint``."""
+    cols = data_columns(df, cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], COLUMN_DIGESTS)
+    if method == "md5":
+        one = lambda c: F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast(T.DecimalType(38, 0))
+    elif method == "xxhash64":
+        one = lambda c: F.xxhash64(c).cast(T.DecimalType(38, 0))
+    else:
+        raise ValueError(f"unknown fingerprint method {method!r}")
+    zero = F.lit(0).cast(T.DecimalType(38, 0))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(qcol(c)).alias(f"k{i}"), F.sum(F.when(qcol(c).isNotNull(), one(qcol(c)))).alias(f"d{i}")]
+    rows = [F.struct(F.lit(name).alias("dataset"), F.lit(i).alias("col_pos"), F.lit(c).alias("col_name"), F.col("n").alias("n_rows"),
+                     (F.col("n") - F.col(f"k{i}")).alias("n_null"),
+                     F.coalesce(F.col(f"d{i}"), zero).cast(T.DecimalType(38, 0)).alias("digest")) for i, c in enumerate(cols)]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def detect_column_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """S9 by column: ``(dataset, col_name, status, old_name)`` of every column that either side knows.
+
+    ``same`` / ``changed`` for a name on both sides; a name on one side only is ``renamed`` if the other side has an unpaired
+    column of the same content (the k-th of equal ones pairs with the k-th), else ``added`` / ``removed``.  Both tables
+    have one row a column."""
+    content = ["n_rows", "n_null", "digest"]
+    both = new.alias("n").join(old.alias("o"), ["dataset", "col_name"], "inner")
+    equal = (F.col("n.digest") == F.col("o.digest")) & (F.col("n.n_null") == F.col("o.n_null")) & (F.col("n.n_rows") == F.col("o.n_rows"))
+    known = both.select("dataset", "col_name", F.when(equal, "same").otherwise("changed").alias("status"), F.col("col_name").alias("old_name"))
+    order = Window.partitionBy("dataset", *content).orderBy("col_pos", "col_name")
+    only_new = new.join(old.select("dataset", "col_name"), ["dataset", "col_name"], "left_anti").withColumn("turn", F.row_number().over(order))
+    only_old = old.join(new.select("dataset", "col_name"), ["dataset", "col_name"], "left_anti").withColumn("turn", F.row_number().over(order))
+    paired = only_new.join(only_old.select("dataset", *content, "turn", F.col("col_name").alias("old_name")), ["dataset", *content, "turn"], "full")
+    other = paired.select("dataset", F.coalesce("col_name", "old_name").alias("col_name"),
+                          F.when(F.col("old_name").isNull(), "added").when(F.col("col_name").isNull(), "removed").otherwise("renamed").alias("status"),
+                          "old_name")
+    return known.unionByName(other)
+
+
+def stale_profiles(current: DataFrame, registry: DataFrame, profiles: DataFrame | Mapping[str, DataFrame] | None,
                    profile_fields: Iterable[str] | None = None) -> DataFrame:
     """Which datasets need a new profile, and why.
 
-    ``current`` are fresh fingerprints (S7), ``registry`` the stored ones,
-    ``profiles`` the stored profile rows with a ``dataset`` column.  Reasons,
-    first match wins: ``changed`` (unknown or different fingerprint),
-    ``no_profile``, ``column_count`` (profile rows != columns),
-    ``profile_width`` (profile fields differ from the expected set), else
-    ``fresh``.
+    ``current`` are fresh fingerprints (S7), ``registry`` the stored ones, ``profiles`` the stored profiles: one
+    table a dataset, or one table of all with a ``dataset`` column (whose width then counts for each).  Reasons, first
+    match wins: ``changed`` (unknown, or another fingerprint, row count or column list, as S9 judges), ``no_profile``,
+    ``column_count`` (profile rows != columns), ``profile_width`` (profile fields differ from the expected set), else ``fresh``.
     """
     from cohortlab.operators.profile import PROFILE_FIELDS
     expected = set(profile_fields or PROFILE_FIELDS)
-    reg = registry.select("dataset", F.col("fingerprint").alias("_reg_fp"))
+    spark = current.sparkSession
+    reg = registry.select("dataset", F.col("fingerprint").alias("_reg_fp"), F.col("n_rows").alias("_reg_rows"), F.col("col_list").alias("_reg_cols"))
     j = current.join(reg, "dataset", "left")
-    if profiles is not None:
-        width_ok = set(profiles.columns) - {"dataset"} == expected
-        prof_n = profiles.groupBy("dataset").agg(F.count(F.lit(1)).alias("_prof_rows"))
-        j = j.join(prof_n, "dataset", "left")
+    if profiles is None:
+        profiles = {}
+    if isinstance(profiles, DataFrame):
+        ok = set(profiles.columns) - {"dataset"} == expected
+        held = profiles.groupBy("dataset").agg(F.count(F.lit(1)).alias("_prof_rows")).withColumn("_width_ok", F.lit(ok))
     else:
-        width_ok = True
-        j = j.withColumn("_prof_rows", F.lit(None).cast("bigint"))
-    reason = (F.when(F.col("_reg_fp").isNull() | (F.col("_reg_fp") != F.col("fingerprint")), F.lit("changed"))
+        held = spark.createDataFrame([], "dataset string, _prof_rows bigint, _width_ok boolean")
+        for name, p in profiles.items():
+            if p is not None:
+                held = held.unionByName(p.agg(F.count(F.lit(1)).alias("_prof_rows")).select(
+                    F.lit(name).alias("dataset"), "_prof_rows", F.lit(set(p.columns) - {"dataset"} == expected).alias("_width_ok")))
+    j = j.join(held, "dataset", "left")
+    differs = (F.col("_reg_fp").isNull() | (F.col("_reg_fp") != F.col("fingerprint")) | (F.col("_reg_rows") != F.col("n_rows"))
+               | (F.col("_reg_cols") != F.col("col_list")))
+    reason = (F.when(differs, F.lit("changed"))
               .when(F.col("_prof_rows").isNull(), F.lit("no_profile"))
               .when(F.col("_prof_rows") != F.col("n_cols"), F.lit("column_count"))
-              .when(F.lit(not width_ok), F.lit("profile_width"))
+              .when(~F.col("_width_ok"), F.lit("profile_width"))
               .otherwise(F.lit("fresh")))
     return j.select("dataset", reason.alias("reason"), (reason != "fresh").alias("stale"))
 
 
-# ---------------------------------------------------------------- S3 / S4
-
-class Workspace:
-    """Named datasets and their profiles under one (shared) root folder."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    # paths
-    def data_path(self, name: str) -> str:
-        return f"{self.root}/{name}/data"
-
-    def profile_path(self, name: str) -> str:
-        return f"{self.root}/{name}/profile"
-
-    @property
-    def registry_path(self) -> str:
-        return f"{self.root}/_registry"
-
-    # file system through Hadoop, so that any cluster file system works
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return bool(fs.exists(p))
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._fs(path)
-        if fs.exists(p):
-            fs.delete(p, True)
-
-    def _qualified(self, path: str) -> str:
-        fs, p = self._fs(path)
-        return str(fs.makeQualified(p).toString())
-
-    def exists(self, name: str) -> bool:
-        return self._exists(self.data_path(name))
-
-    def names(self) -> list[str]:
-        fs, p = self._fs(self.root)
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if s.isDirectory() and not s.getPath().getName().startswith("_")
-                      and fs.exists(self._fs(self.data_path(s.getPath().getName()))[1]))
-
-    def _reads(self, df: DataFrame, path: str) -> bool:
-        """Does the plan read files under ``path``?  URIs are compared in a
-        normalised form (``file:/x`` and ``file:///x`` are one); one JVM call
-        for the target, plain string work for the (possibly many) inputs."""
-        def norm(uri: str) -> str:
-            return "file:/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
-        target = norm(self._qualified(path)).rstrip("/") + "/"
-        try:
-            files = df.inputFiles()
-        except Exception:
-            return False
-        return any(norm(f).startswith(target) for f in files)
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        reads_target = self._reads(df, path)
-        if reads_target:
-            # Overwriting a table the plan still reads: cut the lineage with a
-            # reliable checkpoint in the cluster's shared checkpoint folder.
-            ensure_checkpoint_dir(self.spark)
-            df = df.checkpoint(eager=True)
-        df.write.mode("overwrite").parquet(path)
-
-    # S3 / S4
-    def save(self, df: DataFrame, name: str, keep_profile: bool = False) -> DataFrame:
-        """Write the dataset; its old profile becomes stale and is removed."""
-        if not name:
-            return df
-        self._write(df, self.data_path(name))
-        if not keep_profile:
-            self._delete(self.profile_path(name))
-        return self.load(name)
-
-    def load(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            raise KeyError(f"no dataset named {name!r}")
-        return self.spark.read.parquet(self.data_path(name))
-
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
-
-    def save_profile(self, prof: DataFrame, name: str) -> DataFrame:
-        self._write(prof, self.profile_path(name))
-        return self.load_profile(name)
-
-    def load_profile(self, name: str) -> DataFrame | None:
-        p = self.profile_path(name)
-        return self.spark.read.parquet(p) if self._exists(p) else None
-
-    def registry(self) -> DataFrame:
-        if self._exists(self.registry_path):
-            return self.spark.read.parquet(self.registry_path)
-        return self.spark.createDataFrame([], REGISTRY_SCHEMA)
-
-    def update_registry(self, new: DataFrame) -> DataFrame:
-        """S8 persisted: upsert new fingerprints into the registry."""
-        merged = upsert_fingerprints(self.registry(), new)
-        self._write(merged, self.registry_path)
-        return self.registry()
+from cohortlab.sources.workspace import Workspace  # noqa: E402, F401  (uses the registry above)
