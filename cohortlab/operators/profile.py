@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.session import ensure_checkpoint_dir
 from cohortlab.functions.columns import (
     FACTOR_CAP, NUM2FACTOR_THRESHOLD, SEMANTIC_TYPES, UNCERTAIN,
     as_text, data_columns, kinds, qcol, unpivot_double,
@@ -83,35 +84,58 @@ def column_stats(df: DataFrame, cols: Iterable[str] | None = None,
     return row.select(F.inline(F.array(*structs)))
 
 
-def value_counts(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
+LONG_TEXT = 64               # texts of more bytes are counted by digest
+
+
+def _native(df: DataFrame, cols: list[str]):
+    """Per column its value as (whole number, double, short text, digest of a long text, the long text itself)."""
+    kind = kinds(df, cols)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    for c in cols:
+        dt = types[c]
+        text = None if isinstance(dt, integral + (T.DoubleType,)) else as_text(qcol(c), kind[c])
+        may_be_long = text is not None and kind[c] in ("string", "array", "other")
+        is_long = F.octet_length(text) > LONG_TEXT if may_be_long else None
+        none = F.lit(None)
+        yield (c, qcol(c).cast("long") if isinstance(dt, integral) else none.cast("long"),
+               qcol(c) if isinstance(dt, T.DoubleType) else none.cast("double"),
+               none.cast("string") if text is None else F.when(~is_long, text) if may_be_long else text,
+               F.when(is_long, F.unhex(F.md5(text.cast("binary")))) if may_be_long else none.cast("binary"),
+               F.when(is_long, text) if may_be_long else none.cast("string"))
+
+
+def value_counts(df: DataFrame, cols: Iterable[str] | None = None, texts: bool = True) -> DataFrame:
     """P2/P9 base table ``(col_name, val, cnt)``: non-null value counts of
     every column.  One shuffle, combined map-side.
 
     Integer and double columns are grouped in their native form and turned
-    into text only after aggregation (the distinct table is what gets the
-    cast, and only where ``val`` is read), so the per-row hot path does no
-    number-to-text conversion.
-    """
+    into text only after aggregation; a text of more than ``LONG_TEXT`` bytes is grouped by its 128-bit
+    digest.  With ``texts`` the long text rides along, once a value and partition; without, ``val`` is null there,
+    which is enough to count values."""
     cols = data_columns(df, cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "col_name string, val string, cnt bigint")
-    kind = kinds(df, cols)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     structs = []
-    for c in cols:
-        dt = types[c]
-        lv = qcol(c).cast("long") if isinstance(dt, integral) else F.lit(None).cast("long")
-        dv = qcol(c) if isinstance(dt, T.DoubleType) else F.lit(None).cast("double")
-        sv = (F.lit(None).cast("string") if isinstance(dt, integral + (T.DoubleType,))
-              else as_text(qcol(c), kind[c]))
-        structs.append(F.struct(F.lit(c).alias("col_name"), lv.alias("_l"), dv.alias("_d"), sv.alias("_s")))
+    for c, whole, number, text, digest, long_text in _native(df, cols):
+        rest = [long_text.alias("_t")] if texts else []
+        structs.append(F.struct(F.lit(c).alias("col_name"), whole.alias("_l"), number.alias("_d"), text.alias("_s"), digest.alias("_g"), *rest))
     long = (df.select(F.inline(F.array(*structs)))
-            .filter(F.col("_l").isNotNull() | F.col("_d").isNotNull() | F.col("_s").isNotNull()))
-    counted = long.groupBy("col_name", "_l", "_d", "_s").agg(F.count(F.lit(1)).alias("cnt"))
-    return counted.select("col_name",
-                          F.coalesce(F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string")).alias("val"),
-                          "cnt")
+            .filter(F.col("_l").isNotNull() | F.col("_d").isNotNull() | F.col("_s").isNotNull() | F.col("_g").isNotNull()))
+    val = [F.col("_s"), F.col("_l").cast("string"), F.col("_d").cast("string")]
+    if not texts:
+        counted = long.groupBy("col_name", "_l", "_d", "_s", "_g").agg(F.count(F.lit(1)).alias("cnt"))
+        return counted.select("col_name", F.coalesce(*val).alias("val"), "cnt")
+    may_be_long = any(kinds(df, [c])[c] in ("string", "array", "other") for c in cols)
+    if not may_be_long:
+        counted = long.groupBy("col_name", "_l", "_d", "_s").agg(F.count(F.lit(1)).alias("cnt"))
+        return counted.select("col_name", F.coalesce(*val).alias("val"), "cnt")
+    # short values keep the hash aggregate; only long ones are sorted by digest
+    short = (long.where("_g is null").groupBy("col_name", "_l", "_d", "_s").agg(F.count(F.lit(1)).alias("cnt"))
+             .select("col_name", F.coalesce(*val).alias("val"), "cnt"))
+    wide = (long.where("_g is not null").groupBy("col_name", "_g").agg(F.any_value("_t").alias("val"), F.count(F.lit(1)).alias("cnt"))
+            .select("col_name", "val", "cnt"))
+    return short.unionByName(wide)
 
 
 def distinct_counts(vc: DataFrame) -> DataFrame:
@@ -195,10 +219,13 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
         prior_factors = {r["col_name"] for r in stored.filter(F.col("col_datatype") == "factor_s").select("col_name").collect()}
         forced += [c for c in cols if c in prior_factors and c not in overrides]
 
+    textual = [c for c, k in kinds(df, cols).items() if k in ("string", "array", "other")]
     if approx:
         # Decide on the driver, from one row per column, which columns are
         # small enough for exact counts; the rest keep the HLL estimate.
-        est = {r["col_name"]: r["approx_distinct"] for r in stats.select("col_name", "approx_distinct").collect()}
+        rows = stats.collect()
+        stats = df.sparkSession.createDataFrame(rows, stats.schema)          # one row a column; not computed again
+        est = {r["col_name"]: r["approx_distinct"] for r in rows}
         slack = 1.0 + 4 * rsd
         small = [c for c in cols if est[c] <= cap * slack or c in forced]
         vc = value_counts(df, small)
@@ -207,8 +234,15 @@ def profile(df: DataFrame, cols: Iterable[str] | None = None,
                 .join(exact, "col_name", "left")
                 .select("col_name", F.coalesce("col_factornum", "approx_distinct").alias("col_factornum")))
     else:
-        vc = value_counts(df, cols)
+        # values are counted without their long texts; those are fetched only for columns that list them
+        vc = value_counts(df, cols, texts=False)
         dist = distinct_counts(vc)
+        if textual:
+            ensure_checkpoint_dir(df.sparkSession)
+            dist = dist.checkpoint(eager=True)                               # one row a column
+            known = {r["col_name"]: r["col_factornum"] for r in dist.collect()}
+            # only a factor lists its values: text under the cap, numbers under theirs, and what is forced
+            vc = value_counts(df, [c for c in cols if c in forced or known.get(c, 0) <= (cap if c in textual else num2factor)])
     cats = category_lists(vc, dist, cap, force=forced)
 
     out = (stats.join(F.broadcast(dist), "col_name", "left")
@@ -363,6 +397,13 @@ def factor_value_counts(vc: DataFrame, prof: DataFrame | None = None,
                     (F.col("cnt").cast("double") / F.col("total").cast("double")).alias("share")))
 
 
+def factor_values(df: DataFrame, prof: DataFrame) -> DataFrame:
+    """P5 as rows: ``(col_name, val)`` of every ``factor_s`` column of the profile, however many values it has.  Unlike
+    the profile's ``categories`` no column is gathered into one row."""
+    cols = [r["col_name"] for r in prof.filter(F.col("col_datatype") == "factor_s").select("col_name").collect()]
+    return value_counts(df, [c for c in data_columns(df) if c in cols]).select("col_name", "val")
+
+
 # ---------------------------------------------------------------- P10-P12
 
 def retag(df: DataFrame, prof: DataFrame, overrides: Mapping[str, str],

@@ -385,6 +385,14 @@ def q_value_counts(spark, sf_dir):
     return P.factor_value_counts(P.value_counts(o), P.profile(o))
 
 
+@register("factor_values_events", " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS col_name, CAST({c} AS VARCHAR) AS val FROM events WHERE {c} IS NOT NULL" for c in ("event_type", "user_id")))
+def q_factor_values(spark, sf_dir):
+    """P5 as rows: every value of the factor columns, one of them (user_id) forced."""
+    e = read(spark, sf_dir, "events")
+    return P.factor_values(e, P.tag(P.profile(e).filter(F.col("col_name").isin("event_type", "user_id", "value")), ["user_id"], "factor_s"))
+
+
 RETAG = {"c_nationkey": "factor_s", "c_acctbal": "character"}
 
 
