@@ -70,6 +70,15 @@ def as_text(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
+NULL_TEXT = "\\N"
+
+
+def tagged_text(c: Column) -> Column:
+    """Text of a value; a null is ``\\N`` and a text that begins with a backslash gets another, so no value equals a null."""
+    t = c.cast("string")
+    return F.coalesce(F.when(t.startswith("\\"), F.concat(F.lit("\\"), t)).otherwise(t), F.lit(NULL_TEXT))
+
+
 def unpivot_text(df: DataFrame, cols: list[str], keep_nulls: bool = False,
                  extra: Iterable[str] = ()) -> DataFrame:
     """Long form ``(col_name, val)`` with every value as text.

@@ -7,9 +7,8 @@ per partition and group) become offsets through a tiny window, and each
 partition adds its offset to its own local running total.  Every task holds
 one range partition, whose size the range sampler balances.
 
-Exact quantiles build on it: the per-column table of distinct values with
-counts is summed in value order, and the values whose cumulative range
-covers the wanted ranks are picked in one aggregate.
+Exact quantiles bracket each wanted rank by a sketch and then count, in one
+pass, the rows between the brackets and the values inside them.
 """
 
 from __future__ import annotations
@@ -68,35 +67,138 @@ def rank_index(n: int, p: float, interpolation: str) -> tuple[int, int, float]:
     raise ValueError(f"unknown interpolation {interpolation!r}")
 
 
+SKETCH = 1_000                     # accuracy of the sketch that brackets a rank
+BRACKET_ROWS = 2_000_000           # rows of a column that may lie in its brackets at the last pass
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict[str, int],
-                    interpolation: str = "linear") -> DataFrame:
-    """Exact quantiles ``(col_name, q_idx, value)`` of numeric columns.
-
-    ``counts`` holds the non-null count of every column (known from a
-    profile or one aggregate).  Work: one shuffle to count distinct values,
-    one range shuffle for the running totals, then the wanted ranks - a
-    table of ``columns x quantiles x 2`` rows, joined on the column name -
-    pick the values whose cumulative range covers them.  The plan does not
-    grow with the number of columns.
-    """
+                    interpolation: str = "linear", accuracy: int = SKETCH, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+    """Exact quantiles ``(col_name, q_idx, value)`` of numeric columns, by bracketing.
+
+    ``counts`` holds the non-null count of every column (known from a profile or one aggregate).  A quantile sketch
+    gives each wanted rank a bracket of values that holds it (its error is at most ``n / accuracy`` ranks); brackets
+    with more rows than ``bracket_rows`` are sketched again inside.  Rows below each bracket are counted and the values
+    inside it grouped, so nothing of the data's size is shuffled or written.  A rank that its bracket should miss
+    is found by ranking all distinct values."""
     cols = [c for c in cols if counts.get(c, 0) > 0]
     spark = df.sparkSession
+    schema = "col_name string, q_idx int, value double"
     if not cols:
-        return spark.createDataFrame([], "col_name string, q_idx int, value double")
-    vc = unpivot_double(df, cols).groupBy("col_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = running_sum(vc, ["col_name"], "v", ["cnt"])
-    wanted = []
+        return spark.createDataFrame([], schema)
+    ranks = {c: sorted({k for p in probs for k in rank_index(counts[c], p, interpolation)[:2]}) for c in cols}
+    brackets = _measure(df, _sketch(df, {c: [(None, None, 0, counts[c], ranks[c])] for c in cols}, accuracy))
+    while True:
+        wide = {c: [b for b in bs if b[3] > bracket_rows and (b[0] is None or b[1] is None or b[0] < b[1])] for c, bs in brackets.items()}
+        wide = {c: bs for c, bs in wide.items() if bs}
+        if not wide:
+            break
+        finer = _measure(df, _sketch(df, wide, accuracy))
+        for c, bs in wide.items():
+            brackets[c] = [b for b in brackets[c] if b not in bs] + finer[c]
+        if all(sum(b[3] for b in finer[c]) >= sum(b[3] for b in bs) / 2 for c, bs in wide.items()):   # heavy values: no narrower
+            break
+    # a bracket of one value needs no look inside
+    found = {(c, k): lo for c, bs in brackets.items() for lo, hi, under, n, ks in bs for k in ks if lo is not None and lo == hi and under <= k < under + n}
+    rest = {c: [b for b in bs if any((c, k) not in found for k in b[4])] for c, bs in brackets.items()}
+    found.update(_values_at(df, ranks, {c: bs for c, bs in rest.items() if bs}))
+    lost = [c for c in cols if any((c, k) not in found for k in ranks[c])]
+    if lost:
+        found.update(_ranked(df, lost, ranks))
+    out = []
     for c in cols:
         for j, p in enumerate(probs):
             lo, hi, w = rank_index(counts[c], p, interpolation)
-            wanted += [(c, j, "lo", lo, w), (c, j, "hi", hi, w)]
-    targets = spark.createDataFrame(wanted, "t_col string, q_idx int, side string, k long, w double")
-    # each target rank falls in exactly one distinct value's range [cum - cnt, cum)
-    hit = cum.join(F.broadcast(targets),
-                   (F.col("col_name") == F.col("t_col"))
+            a, b = found[c, lo], found[c, hi]
+            out.append((c, j, a + w * (b - a) if w else a))
+    return spark.createDataFrame(out, schema)
+
+
+def _inside(v: Column, lo, hi) -> Column:
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (v >= F.lit(lo))
+    return cond if hi is None else cond & (v <= F.lit(hi))
+
+
+def _sketch(df: DataFrame, brackets: dict, accuracy: int) -> dict:
+    """Narrower brackets ``(lo, hi, None, None, ranks)`` for the ranks of each bracket, one aggregate.  An open end is None."""
+    aggs, plan = [], []
+    for c, bs in brackets.items():
+        v = F.col("`" + c.replace("`", "``") + "`").cast("double")
+        for lo, hi, below, n, ks in bs:
+            slack = 2 * math.ceil(n / accuracy) + 2
+            ends = [(k, k - below - slack, k - below + 1 + slack) for k in ks]
+            shares = sorted({min(max(x / n, 0.0), 1.0) for _, a, b in ends for x in (a, b)})
+            plan.append((c, lo, hi, n, ends, shares))
+            aggs.append(F.percentile_approx(F.when(_inside(v, lo, hi), v), shares, accuracy).alias(f"s{len(aggs)}"))
+    row = df.agg(*aggs).first()
+    out: dict = {c: [] for c in brackets}
+    for i, (c, lo, hi, n, ends, shares) in enumerate(plan):
+        at = dict(zip(shares, row[i])) if row[i] is not None else {}
+        fresh = []
+        for k, a, b in ends:
+            fresh.append([lo if a <= 0 else at.get(min(max(a / n, 0.0), 1.0), lo), hi if b >= n else at.get(min(max(b / n, 0.0), 1.0), hi), [k]])
+        merged: list = []
+        for x in sorted(fresh, key=lambda x: (x[0] is not None, x[0] or 0.0)):
+            if merged and (merged[-1][1] is None or x[0] is None or x[0] <= merged[-1][1]):
+                merged[-1][1] = None if merged[-1][1] is None or x[1] is None else max(merged[-1][1], x[1])
+                merged[-1][2] += x[2]
+            else:
+                merged.append(x)
+        out[c] += [(x[0], x[1], None, None, sorted(x[2])) for x in merged]
+    return out
+
+
+def _measure(df: DataFrame, brackets: dict) -> dict:
+    """Brackets with the numbers of rows below and inside, one aggregate."""
+    aggs = []
+    for c, bs in brackets.items():
+        v = F.col("`" + c.replace("`", "``") + "`").cast("double")
+        for lo, hi, *_ in bs:
+            aggs += [(F.count_if(v < F.lit(lo)) if lo is not None else F.lit(0)).alias(f"b{len(aggs)}"),
+                     F.count_if(v.isNotNull() & _inside(v, lo, hi)).alias(f"i{len(aggs)}")]
+    row, i, out = df.agg(*aggs).first(), 0, {}
+    for c, bs in brackets.items():
+        out[c] = []
+        for lo, hi, _, _, ks in bs:
+            out[c].append((lo, hi, row[i], max(row[i + 1], 1), ks))
+            i += 2
+    return out
+
+
+def _values_at(df: DataFrame, ranks: dict, brackets: dict) -> dict:
+    """{(column, rank): value} from the rows below each bracket and the grouped values inside; rows in no bracket of any
+    column go no further than the scan."""
+    if not brackets:
+        return {}
+    pairs, near, below = [], F.lit(False), []
+    for c, bs in brackets.items():
+        v = F.col("`" + c.replace("`", "``") + "`").cast("double")
+        no = F.lit(None).cast("int")
+        for i, (lo, hi, under, *_) in reversed(list(enumerate(bs))):
+            no = F.when(_inside(v, lo, hi), i).otherwise(no)
+            below.append((c, i, under))
+        here = v.isNotNull() & no.isNotNull()
+        near = near | here
+        pairs.append(F.struct(F.lit(c).alias("col_name"), F.when(here, no).alias("no"), v.alias("v")))
+    table = (df.where(near).select(F.inline(F.array(*pairs))).where("no is not null").groupBy("col_name", "no", "v")
+             .agg(F.count(F.lit(1)).alias("cnt")))
+    under = df.sparkSession.createDataFrame(below, "col_name string, no int, under long")
+    upto = Window.partitionBy("col_name", "no").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)       # one bracket
+    cum = table.join(F.broadcast(under), ["col_name", "no"]).withColumn("cum_cnt", F.col("under") + F.sum("cnt").over(upto))
+    return _pick(cum, ranks)
+
+
+def _pick(cum: DataFrame, ranks: dict) -> dict:
+    """The value whose cumulative range holds each rank; as many rows reach the driver as ranks are asked for."""
+    spark = cum.sparkSession
+    targets = spark.createDataFrame([(c, k) for c, ks in ranks.items() for k in ks], "t_col string, k long")
+    hit = cum.join(F.broadcast(targets), (F.col("col_name") == F.col("t_col"))
                    & (F.col("cum_cnt") - F.col("cnt") <= F.col("k")) & (F.col("k") < F.col("cum_cnt")))
-    per = hit.groupBy("col_name", "q_idx").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("hi"),
-        F.max("w").alias("w"))
-    return per.select("col_name", "q_idx", (F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))).alias("value"))
+    return {(r["t_col"], r["k"]): r["v"] for r in hit.select("t_col", "k", "v").collect()}
+
+
+def _ranked(df: DataFrame, cols: list[str], ranks: dict) -> dict:
+    """The same by running totals over all distinct values (a shuffle of those)."""
+    vc = unpivot_double(df, cols).groupBy("col_name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    return _pick(running_sum(vc, ["col_name"], "v", ["cnt"]), {c: ranks[c] for c in cols})

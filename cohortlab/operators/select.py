@@ -9,13 +9,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.columns import ROW_ID, data_columns, kinds, qcol
+from cohortlab.functions.columns import NULL_TEXT, ROW_ID, data_columns, kinds, qcol, tagged_text
 from cohortlab.functions.running import exact_quantiles
 from cohortlab.functions.sizing import small_side
 from cohortlab.session import ensure_checkpoint_dir
 from cohortlab.operators.profile import value_counts
 
-MISSING = "\\N"          # null is a value of its own
+MISSING = NULL_TEXT       # null is a value of its own
 DECILES = [i / 10 for i in range(1, 10)]
 
 
@@ -59,7 +59,7 @@ def discretize(df: DataFrame, feats: list[str], max_levels: int = 10) -> tuple[l
             b = sum(((v > F.lit(x)).cast("int") for x in cuts[c] if x is not None), F.lit(0))
             out.append(F.when(v.isNull(), F.lit(MISSING)).otherwise(F.concat(F.lit("b"), b.cast("string"))).alias(c))
         else:
-            out.append(F.coalesce(qcol(c).cast("string"), F.lit(MISSING)).alias(c))
+            out.append(tagged_text(qcol(c)).alias(c))
     return out, cuts
 
 

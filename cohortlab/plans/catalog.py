@@ -402,6 +402,23 @@ def q_retag(spark, sf_dir):
     return P.retag(c, P.profile(c), RETAG).select(*PROFILE_OUT)
 
 
+def _counts_sql(c: str, where: str = "TRUE") -> str:
+    return (f"SELECT 'customer' AS dataset, '{c}' AS col_name, CAST({c} AS VARCHAR) AS val, count(*) AS cnt, "
+            f"CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM customer WHERE {where} GROUP BY {c}")
+
+
+@register("retag_flow_counts_customer", _counts_sql("c_nationkey") + " UNION ALL " + _counts_sql("c_mktsegment") + " UNION ALL "
+          + _counts_sql("c_name", "(SELECT count(DISTINCT c_name) FROM customer) <= 1000"))
+def q_retag_flow(spark, sf_dir):
+    """P6-P9 stored for customer, then P10: c_nationkey becomes a factor; the stored value counts."""
+    from cohortlab.plans import flows
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    ws.save(read(spark, sf_dir, "customer"), "customer")
+    flows.profile_datasets(ws, ["customer"])
+    flows.retag_dataset(ws, "customer", {"c_nationkey": "factor_s"})
+    return ws.load_distribution("counts", "customer")
+
+
 @register("tag_events", f"""SELECT col_name, col_pos,
   CASE WHEN col_name IN ('user_id') THEN 'factor_s' ELSE col_datatype END AS col_datatype,
   n_rows, n_non_null, col_factornum, distinct_ratio, missing_pct, min_value, max_value, value_range

@@ -42,10 +42,12 @@ def register_datasets(ws: Workspace, files: str | Sequence[str], nrows: str | Se
 
 
 def profile_datasets(ws: Workspace, names: Sequence[str] | None = None,
-                     overrides: Mapping[str, Mapping[str, str]] | None = None, approx: bool = False) -> DataFrame:
+                     overrides: Mapping[str, Mapping[str, str]] | None = None, approx: bool = False,
+                     distributions: bool = True) -> DataFrame:
     """Flow A: fingerprint every dataset (one aggregate each), decide which
-    profiles are stale (S10), re-profile only those (P1-P6), update the
-    registry (S8) and return all profiles as one table (P12)."""
+    profiles are stale (S10), re-profile only those (P1-P6) with their
+    distributions (P7-P9, unless switched off), update the registry (S8) and
+    return all profiles as one table (P12)."""
     names = list(names or ws.names())
     if not names:
         raise ValueError("no datasets")
@@ -63,10 +65,41 @@ def profile_datasets(ws: Workspace, names: Sequence[str] | None = None,
         if reasons.get(n, "changed") != "fresh":
             ws.save_profile(P.profile(data[n], overrides=overrides.get(n), stored=stored[n] if reasons[n] != "changed"
                                       else None, approx=approx), n)
+            if distributions:
+                store_distributions(ws, n)
     ws.update_registry(current)
     return P.query_profiles({n: ws.load_profile(n) for n in names})
 
 
+def store_distributions(ws: Workspace, name: str, cols: Sequence[str] | None = None, exact: bool = True) -> None:
+    """P7-P9 of a stored dataset by the types of its stored profile: histogram and box of numeric columns, value counts
+    of factors.  With ``cols`` only those columns' partitions are written."""
+    df, prof = ws.load(name), ws.load_profile(name)
+    if prof is None:
+        raise KeyError(f"dataset {name!r} has no profile")
+    types = {r["col_name"]: r["col_datatype"] for r in prof.select("col_name", "col_datatype").collect()}
+    cols = [c for c in types if cols is None or c in cols]
+    numeric = [c for c in cols if types[c] == "numeric" and c in P.numeric_columns(df)]
+    factors = [c for c in cols if types[c] == "factor_s"]
+    ws.save_distribution("histogram", name, P.histogram(df, numeric), cols)
+    ws.save_distribution("box", name, P.box_summary(df, numeric, exact=exact), cols)
+    ws.save_distribution("counts", name, P.factor_value_counts(P.value_counts(df, factors), prof), cols)
+
+
+def retag_dataset(ws: Workspace, name: str, overrides: Mapping[str, str]) -> DataFrame:
+    """P10 stored: set types of some columns, recompute their range, categories and distributions only, keep the rest.
+    Returns the new profile."""
+    prof = ws.load_profile(name)
+    if prof is None:
+        raise KeyError(f"dataset {name!r} has no profile")
+    missing = sorted(set(overrides) - {r["col_name"] for r in prof.select("col_name").collect()})
+    if missing:
+        raise KeyError(f"columns not in the profile: {missing}")
+    ws.save_profile(P.retag(ws.load(name), prof, overrides), name)
+    store_distributions(ws, name, list(overrides))
+    return ws.load_profile(name)
+
+
 COLUMN_ACTIONS = ("DEL", "REMAIN", "CREATE")
 
 

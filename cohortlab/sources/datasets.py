@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlab.functions.columns import ROW_ID, data_columns, qcol
+from cohortlab.functions.columns import ROW_ID, data_columns, qcol, tagged_text
 from cohortlab.sources.files import (  # noqa: F401
     dataset_name, export_csv, nan_to_null, read_csv, read_csvs, read_parquet, stamp_row_ids,
 )
 
 SEP = "\u001f"                     # unit separator between values in a row text
-NULL_TEXT = "\\N"
 REGISTRY_SCHEMA = "dataset string, n_rows bigint, n_cols int, col_list string, fingerprint decimal(38,0)"
 
 
@@ -41,12 +40,6 @@ def shape(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- S7-S10
 
-def tagged_text(c):
-    """Text of a value; a null is ``\\N`` and a text that begins with a backslash gets another, so no value equals a null."""
-    t = c.cast("string")
-    return F.coalesce(F.when(t.startswith("\\"), F.concat(F.lit("\\"), t)).otherwise(t), F.lit(NULL_TEXT))
-
-
 def row_text(cols: list[str]):
     return F.concat_ws(SEP, *[tagged_text(qcol(c)) for c in cols])
 

@@ -13,9 +13,16 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 POINTER = "_current"
 REGISTRY = "_registry"
+# P7-P9 stored beside the profiles: one table a kind, partitioned by dataset and column
+DISTRIBUTIONS = {
+    "histogram": "bin int, bin_lo double, bin_hi double, cnt bigint",
+    "box": "n bigint, q1 double, median double, q3 double, whisker_lo double, whisker_hi double, n_outliers bigint",
+    "counts": "val string, cnt bigint, share double",
+}
 
 
 class Workspace:
@@ -137,3 +144,31 @@ class Workspace:
         from cohortlab.sources.datasets import upsert_fingerprints
         self._switch(REGISTRY, self._commit(REGISTRY, "data", upsert_fingerprints(self.registry(), new)))
         return self.registry()
+
+    # ---- distributions
+    def _distribution_path(self, kind: str) -> str:
+        if kind not in DISTRIBUTIONS:
+            raise ValueError(f"unknown distribution {kind!r}; known: {sorted(DISTRIBUTIONS)}")
+        return f"{self.root}/_distributions/{kind}"
+
+    def save_distribution(self, kind: str, name: str, table: DataFrame, cols: list[str]) -> None:
+        """Replace the ``kind`` distribution of columns ``cols`` of a dataset by the rows of ``table`` (with a
+        ``col_name``).  Only those columns' partitions are written (dynamic partition overwrite); a column
+        without rows, say one that is no longer numeric, loses its old partition."""
+        path = self._distribution_path(kind)
+        rows = table.select(*[x.split()[0] for x in DISTRIBUTIONS[kind].split(", ")], F.lit(name).alias("dataset"), "col_name")
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "col_name").parquet(path))
+        kept = {r["col_name"] for r in self.load_distribution(kind, name).select("col_name").distinct().collect()}
+        present = {r["col_name"] for r in table.select("col_name").distinct().collect()}
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for c in set(cols) & kept - present:
+            self._delete(f"{path}/dataset={escape(name)}/col_name={escape(c)}")
+
+    def load_distribution(self, kind: str, name: str | None = None) -> DataFrame:
+        """``(dataset, col_name, ...)`` of one dataset or all; the filter prunes partitions."""
+        path = self._distribution_path(kind)
+        schema = f"{DISTRIBUTIONS[kind]}, dataset string, col_name string"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], schema)
+        out = self.spark.read.schema(schema).parquet(path)
+        return out if name is None else out.where(out["dataset"] == name)
