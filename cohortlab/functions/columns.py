@@ -32,6 +32,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def unused(name: str, taken: set[str]) -> str:
+    """``name``, or the first of ``name_2``, ``name_3`` ... that ``taken`` (lower-case names) does not hold; it is added there."""
+    out, n = name, 2
+    while out.lower() in taken:
+        out, n = f"{name}_{n}", n + 1
+    taken.add(out.lower())
+    return out
+
+
 def storage_kind(dt: T.DataType) -> str:
     """Coarse storage class used by the semantic type rules."""
     if isinstance(dt, T.BooleanType):

@@ -88,7 +88,7 @@ def matching_columns(prof: DataFrame, data_type: str | list[str] | None = None,
     if data_type:
         out = out.filter(F.col("col_datatype").isin(list(data_type)))
     if name_suffix is not None and str(name_suffix).strip():
-        out = out.filter(F.col("col_name").rlike(str(name_suffix) + "$"))
+        out = out.filter(F.col("col_name").rlike(f"(?:{name_suffix})$"))
     t = _number(min_distinct_ratio, "min_distinct_ratio")
     if t is not None:
         out = out.filter(F.col("col_factornum").cast("double") / (F.col("n_rows").cast("double") + 1.0) >= t)
@@ -122,9 +122,11 @@ def select_columns(df: DataFrame, prof: DataFrame, **conditions) -> DataFrame:
 # ---------------------------------------------------------------- C5-C9
 
 def rewrite_expr(expr: str, symbol: str = "$") -> str:
-    """``$name$`` marks a column; it becomes a quoted identifier."""
+    """``$name$`` marks a column; it becomes a quoted identifier.  Text literals (in single or double quotes, with
+    backslash escapes or doubled quotes) and identifiers already in backticks stay as they are."""
     s = re.escape(symbol)
-    return re.sub(f"{s}(.+?){s}", lambda m: quoted(m.group(1)), expr)
+    token = re.compile(rf"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`)|{s}(.+?){s}""", re.S)
+    return token.sub(lambda m: m.group(1) if m.group(1) is not None else quoted(m.group(2)), expr)
 
 
 def filter_expr(df: DataFrame, expr: str, symbol: str = "$") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlab.functions.columns import qcol
 from cohortlab.operators.profile import value_counts
@@ -20,20 +21,68 @@ CLUSTER = "cluster_id"
 
 
 def _vectors(df: DataFrame, features: Sequence[str] | str, out: str = "_x") -> DataFrame:
-    """Feature columns (or one array column) as an ML vector column."""
+    """Feature columns (or one array column) as an ML vector column; a missing value in them is an error."""
     from pyspark.ml.functions import array_to_vector
+    require_complete(df, features)
     if isinstance(features, str):
         return df.withColumn(out, array_to_vector(qcol(features).cast("array<double>")))
     return assemble(df, features, out)
 
 
+def _missing(c):
+    v = c.cast("double")
+    return v.isNull() | F.isnan(v)
+
+
+def require_complete(df: DataFrame, features: Sequence[str] | str) -> None:
+    """One aggregate: raise if a feature holds a null or NaN (for an array column: is one, or holds one, or has another
+    length than the rest), naming the columns.  A model would turn one such value into NaN for every row."""
+    if isinstance(features, str):
+        a = qcol(features).cast("array<double>")
+        row = df.agg(F.count_if(a.isNull() | F.exists(a, lambda x: x.isNull() | F.isnan(x))).alias("n"),
+                     F.min(F.size(a)).alias("lo"), F.max(F.size(a)).alias("hi")).first()
+        if row["n"] or row["lo"] != row["hi"]:
+            raise ValueError(f"{features!r} has missing values in {row['n']} rows, lengths {row['lo']} to {row['hi']}")
+        return
+    if not features:
+        raise ValueError("no features given")
+    row = df.agg(*[F.count_if(_missing(qcol(c))).alias(f"m{i}") for i, c in enumerate(features)]).first()
+    bad = {c: row[f"m{i}"] for i, c in enumerate(features) if row[f"m{i}"]}
+    if bad:
+        raise ValueError(f"missing values in features (rows): {bad}; impute them first (fit_imputer)")
+
+
+def fit_imputer(df: DataFrame, features: Sequence[str], strategy: str = "mean") -> dict[str, float]:
+    """The value that stands for a missing one in each feature: its ``mean`` or exact ``median`` over the present values
+    (0 without any).  One number a feature reaches the driver; the same fill serves later rows."""
+    present = {c: F.when(~_missing(qcol(c)), qcol(c).cast("double")) for c in features}
+    if strategy == "mean":
+        row = df.agg(*[F.avg(present[c]).alias(f"v{i}") for i, c in enumerate(features)]).first()
+        fill = {c: row[f"v{i}"] for i, c in enumerate(features)}
+    elif strategy == "median":
+        from cohortlab.functions.running import exact_quantiles
+        named = df.select(*[v.alias(c) for c, v in present.items()])
+        row = named.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(features)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(features)}
+        fill = {r["col_name"]: r["value"] for r in exact_quantiles(named, list(features), [0.5], counts).collect()}
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}; use mean or median")
+    return {c: 0.0 if fill.get(c) is None else float(fill[c]) for c in features}
+
+
+def impute(df: DataFrame, fill: dict[str, float]) -> DataFrame:
+    """Replace missing values of the fitted features (which become doubles); one projection."""
+    return df.select(*[F.when(_missing(qcol(c)), F.lit(fill[c])).otherwise(qcol(c).cast("double")).alias(c) if c in fill else qcol(c)
+                       for c in df.columns])
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """VectorAssembler over any column names: names with dots or spaces are
     aliased to plain ones first (the assembler reads dots as struct fields)."""
     from pyspark.ml.feature import VectorAssembler
     tmp = [f"_feat{i}" for i in range(len(features))]
-    staged = df.select("*", *[qcol(c).alias(t) for c, t in zip(features, tmp)])
-    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="keep").transform(staged).drop(*tmp)
+    staged = df.select("*", *[qcol(c).cast("double").alias(t) for c, t in zip(features, tmp)])
+    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="error").transform(staged).drop(*tmp)
 
 
 # ---------------------------------------------------------------- K1-K3
@@ -193,22 +242,23 @@ def cluster_significance(df: DataFrame, features: Sequence[str], types: DataFram
 
 
 def p_values(stats: DataFrame) -> DataFrame:
-    """Upper-tail p-values for K6 statistics (one row per feature reaches the
-    driver; the distributions come from commons-math on the JVM)."""
+    """Upper-tail p-values for K6 statistics (one row per feature reaches the driver).  The tails are computed as such
+    (regularised incomplete gamma and beta functions of commons-math), never as one minus a distribution function, so
+    they keep their digits down to the smallest double."""
     spark = stats.sparkSession
-    jvm = spark._jvm
-    dist = jvm.org.apache.commons.math3.distribution
+    special = spark._jvm.org.apache.commons.math3.special
     rows = []
     for r in stats.collect():
         p = None
         if r["statistic"] is not None and r["dof1"]:
+            x = max(float(r["statistic"]), 0.0)
             if r["test"] == "chi2":
-                p = 1.0 - dist.ChiSquaredDistribution(float(r["dof1"])).cumulativeProbability(float(r["statistic"]))
+                p = special.Gamma.regularizedGammaQ(r["dof1"] / 2.0, x / 2.0)
             elif r["dof2"]:
-                p = 1.0 - dist.FDistribution(float(r["dof1"]), float(r["dof2"])).cumulativeProbability(
-                    float(r["statistic"]))
+                d1, d2 = float(r["dof1"]), float(r["dof2"])
+                p = special.Beta.regularizedBeta(d2 / (d2 + d1 * x), d2 / 2.0, d1 / 2.0)
         rows.append((*[r[c] for c in stats.columns], p))
-    schema = stats.schema.add("p_value", "double")
+    schema = T.StructType([*stats.schema.fields, T.StructField("p_value", T.DoubleType())])
     return spark.createDataFrame(rows, schema)
 
 

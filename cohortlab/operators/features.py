@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.functions.columns import FACTOR_CAP, ROW_ID, data_columns, qcol
+from cohortlab.functions.columns import FACTOR_CAP, ROW_ID, data_columns, qcol, unused
 from cohortlab.operators.profile import value_counts
 
 
@@ -42,14 +42,16 @@ def explode_factors(df: DataFrame, features: Iterable[str], prefix: str = "drv_f
     """one 0/1 column ``{prefix}{feature}_{value}`` per level; only the
     derived columns (plus ``_row_id`` and any ``keep`` columns) are
     returned; null -> all 0.  Built as one projection, never a
-    ``withColumn`` loop."""
+    ``withColumn`` loop.  A name that differs from an earlier one only in
+    case (levels ``A`` and ``a``) is numbered ``_2``, ``_3`` ... in level order."""
     features = data_columns(df, features)
     levels = levels or factor_levels(df, features, cap)
     out = _ids(df) + [qcol(k) for k in keep]
+    taken = {ROW_ID, *(k.lower() for k in keep)}
     for f in features:
         txt = qcol(f).cast("string")
         for v in levels[f]:
-            out.append(F.when(txt == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(f"{prefix}{f}_{v}"))
+            out.append(F.when(txt == F.lit(v), F.lit(1)).otherwise(F.lit(0)).alias(unused(f"{prefix}{f}_{v}", taken)))
     return df.select(*out)
 
 

@@ -66,7 +66,8 @@ def stratified_split(df: DataFrame, label: str, id_col: str, ratio: float = 0.2,
 # ---------------------------------------------------------------- R2-R5
 
 def _assemble(df: DataFrame, features: list[str], out: str = "features"):
-    from cohortlab.operators.cluster import assemble
+    from cohortlab.operators.cluster import assemble, require_complete
+    require_complete(df, features)
     return assemble(df, features, out)
 
 

@@ -754,6 +754,20 @@ def q_l4(spark, sf_dir):
     return top.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
 
 
+@register("select_top_percentile_lineitem", f"""SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores FROM (
+  SELECT *, row_number() OVER (ORDER BY feature_scores DESC, feature_name) AS rank, count(*) OVER () AS m FROM ({IG_SQL})) WHERE rank <= ceil(40 * m / 100.0)""")
+def q_l4_percentile(spark, sf_dir):
+    top = SEL.select_top(_ig(spark, sf_dir), percentile=40)
+    return top.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
+
+
+@register("select_top_threshold_lineitem", f"""SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores FROM (
+  SELECT *, row_number() OVER (ORDER BY feature_scores DESC, feature_name) AS rank, count(*) OVER () AS m FROM ({IG_SQL})) WHERE feature_scores >= 0.00001""")
+def q_l4_threshold(spark, sf_dir):
+    top = SEL.select_top(_ig(spark, sf_dir), threshold=0.00001)
+    return top.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
+
+
 @register("rank_importance_lineitem", f"""SELECT feature_name, CAST(round(feature_scores, 9) AS DECIMAL(38,9)) AS feature_scores,
   CAST(round(abs(feature_scores), 9) AS DECIMAL(38,9)) AS abs_score,
   CASE WHEN feature_scores > 0 THEN 'pos' ELSE 'neg' END AS sign,
@@ -1090,6 +1104,44 @@ def q_k6_p(spark, sf_dir):
     return K.p_values(K.cluster_significance(d, K_FEATS, types))
 
 
+K6_SQL = ORACLE["cluster_significance_lineitem"].replace("CAST(round(x.statistic, 6) AS DECIMAL(38,6))", "x.statistic")
+
+
+@register("cluster_tails_lineitem", f"""SELECT feature_name, test, CAST(round(ln(p), 6) AS DECIMAL(38,6)) AS ln_p FROM (
+  SELECT feature_name, test, CASE
+    WHEN test = 'chi2' AND dof1 % 2 = 0 THEN exp(-statistic / 2) *
+      list_sum(list_transform(range(CAST(dof1 / 2 AS BIGINT)), lambda i: power(statistic / 2, i) / factorial(CAST(i AS INTEGER))))
+    WHEN test = 'anova' AND dof1 = 2 THEN power(1 + 2 * statistic / dof2, -dof2 / 2.0) END AS p
+  FROM ({K6_SQL}))""")
+def q_k6_tails(spark, sf_dir):
+    """K6 upper tails as logarithms, against the finite sum for even degrees of freedom and the closed form for two."""
+    d, types = _k_types(spark, sf_dir)
+    p = K.p_values(K.cluster_significance(d, K_FEATS, types))
+    return p.select("feature_name", "test", dec(F.log("p_value")).alias("ln_p"))
+
+
+@register("join_left_hot_keys", """SELECT n.n_nationkey, n.n_name, n.n_regionkey, c.c_custkey, c.c_name, c.c_acctbal, c.c_mktsegment
+FROM nation n LEFT JOIN (SELECT CASE WHEN c_custkey % 3 = 0 THEN 7 WHEN c_nationkey > 3 THEN c_nationkey END AS n_nationkey, c_custkey,
+  c_name, c_acctbal, c_mktsegment FROM customer) c ON n.n_nationkey = c.n_nationkey""")
+def q_j1_left_hot(spark, sf_dir):
+    """J1 left, a third of the right side under one key, keys without a match and null keys."""
+    return J.join_key(read(spark, sf_dir, "nation"), _hot_customers(spark, sf_dir), "n_nationkey", "left", split_hot=True)
+
+
+@register("join_right_hot_keys", """SELECT c.n_nationkey, c.c_custkey, c.c_name, c.c_acctbal, c.c_mktsegment, n.n_name, n.n_regionkey
+FROM (SELECT * FROM nation WHERE n_regionkey <> 2) n RIGHT JOIN
+ (SELECT CASE WHEN c_custkey % 3 = 0 THEN 7 WHEN c_nationkey > 3 THEN c_nationkey END AS n_nationkey, c_custkey,
+  c_name, c_acctbal, c_mktsegment FROM customer) c ON n.n_nationkey = c.n_nationkey""")
+def q_j1_right_hot(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").where("n_regionkey <> 2")
+    return J.join_key(n, _hot_customers(spark, sf_dir), "n_nationkey", "right", split_hot=True)
+
+
+def _hot_customers(spark, sf_dir):
+    key = F.when(F.col("c_custkey") % 3 == 0, 7).when(F.col("c_nationkey") > 3, F.col("c_nationkey"))
+    return read(spark, sf_dir, "customer").select(key.alias("n_nationkey"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
 # ------------------------------------------------------------------ scale-path variants (rows-only)
 @register("profile_lineitem_approx")
 def q_profile_approx(spark, sf_dir):

@@ -179,7 +179,7 @@ def join_to_dataset(ws: Workspace, left: str, right: str, target: str, key: str
     when ``by_rows`` and ``how='left'``); saves ``target`` and returns its shape."""
     lt, rt = ws.load(left), ws.load(right)
     if key:
-        out = J.join_key(lt, rt, key, how)
+        out = J.join_key(lt, rt, key, how, split_hot=True)
     elif by_rows and (how or "inner") == "left":
         out = J.concat_columns(lt, rt)
     else:
@@ -189,11 +189,13 @@ def join_to_dataset(ws: Workspace, left: str, right: str, target: str, key: str
 
 
 def risk_flow(df: DataFrame, features: Sequence[str], label: str, id_col: str, ratio: float = 0.2,
-              threshold: float = 0.5, algorithm: str = "LR", seed: int = 0, label_shift: float | None = 1.0
-              ) -> dict[str, DataFrame]:
+              threshold: float = 0.5, algorithm: str = "LR", seed: int = 0, label_shift: float | None = 1.0,
+              missing: str = "error") -> dict[str, DataFrame]:
     """Flow C: shift the label (L2), min-max the features (F5), stratified
     split (R1), fit LR or RF (R2/R3), weights (R4), score both splits in one
-    transform (R5), threshold metrics, ROC points and AUC (R6-R8).
+    transform (R5), threshold metrics, ROC points and AUC (R6-R8).  ``missing``:
+    ``error`` on a missing feature value, or ``mean`` / ``median`` of the
+    training rows in its place.
 
     The prepared table is written once to the checkpoint folder, so fitting
     and every evaluation read it instead of re-deriving it."""
@@ -205,6 +207,9 @@ def risk_flow(df: DataFrame, features: Sequence[str], label: str, id_col: str, r
     ensure_checkpoint_dir(df.sparkSession)
     data = data.checkpoint(eager=True)
     train = data.filter(F.col("split") == "train")
+    if missing != "error":
+        data = K.impute(data, K.fit_imputer(train, features, missing))
+        train = data.filter(F.col("split") == "train")
     if algorithm.upper() == "RF":
         model = R.fit_forest(train, features, label, seed=seed)
     elif algorithm.upper() == "LR":
@@ -220,12 +225,15 @@ def risk_flow(df: DataFrame, features: Sequence[str], label: str, id_col: str, r
 
 def cluster_flow(df: DataFrame, features: Sequence[str], label: str | None = None, id_col: str = "_row_id",
                  n_components: int = 5, n_clusters: int = 2, n_init: int = 10,
-                 min_samples_leaf: int = 10, max_depth: int = 10, seed: int = 0) -> dict:
+                 min_samples_leaf: int = 10, max_depth: int = 10, seed: int = 0, missing: str = "error") -> dict:
     """Patient clustering and rule mining: PCA (K1) -> k-means (K2) ->
     silhouette on the unreduced features (K3) -> feature types and
     per-cluster description (K4) -> cluster table (K5) -> significance (K6)
-    -> CART rules with support and confidence (K7, K8)."""
+    -> CART rules with support and confidence (K7, K8).  ``missing`` as for
+    ``risk_flow``, over all rows."""
     features = list(features)
+    if missing != "error":
+        df = K.impute(df, K.fit_imputer(df, features, missing))
     k = min(n_components, len(features))
     pcs = K.reduce_pca(df, features, k=k, keep=[id_col])
     labels, _ = K.kmeans(pcs, [f"pc_{i}" for i in range(1, k + 1)], k=n_clusters, n_init=n_init,
