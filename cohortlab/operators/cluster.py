@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,39 +103,131 @@ def reduce_pca(df: DataFrame, features: Sequence[str] | str, k: int = 5, keep: I
     return out.select(*[qcol(c) for c in keep], *[arr[i].alias(f"{prefix}{i + 1}") for i in range(k)])
 
 
+class KMeansFit:
+    """Centres (k x dims) of the best run; ``summary.trainingCost`` as MLlib names it."""
+
+    def __init__(self, centers, cost: float, costs: list[float], passes: int):
+        self.centers, self.trainingCost, self.costs, self.passes = centers, cost, costs, passes
+
+    @property
+    def summary(self) -> "KMeansFit":
+        return self
+
+
+def _seed_centers(sample, k: int, seed: int):
+    """k-means++ over the sample: each next centre drawn with probability in proportion to its squared distance."""
+    rng = np.random.default_rng(seed)
+    centers = [sample[rng.integers(len(sample))]]
+    gap = ((sample - centers[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = gap.sum()
+        pick = rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))
+        centers.append(sample[pick])
+        gap = np.minimum(gap, ((sample - centers[-1]) ** 2).sum(axis=1))
+    return np.array(centers)
+
+
+def _rows_matrix(column) -> np.ndarray:
+    """A batch's vectors; all have one length (checked before the fit)."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def _gaps(x, centers):
+    """Squared distances of rows to the centres of every run: (runs, rows, k)."""
+    flat = centers.reshape(-1, centers.shape[-1])
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ flat.T) + (flat * flat).sum(axis=1)[None, :]
+    return np.maximum(d, 0.0).reshape(len(x), centers.shape[0], centers.shape[1]).transpose(1, 0, 2)
+
+
+def _lloyd_pass(x: DataFrame, centers, want_sums: bool):
+    """One scan for all runs: per (run, cluster) the number of rows, their summed vectors and the cost at ``centers``."""
+    runs, k, dims = centers.shape
+
+    def step(batches):
+        import pyarrow as pa
+        n, cost, sums = np.zeros((runs, k)), np.zeros((runs, k)), np.zeros((runs, k, dims))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _rows_matrix(b.column(0))
+            for s in range(0, len(rows), 8192):
+                part = rows[s:s + 8192]
+                gaps = _gaps(part, centers)
+                near = gaps.argmin(axis=2)
+                least = gaps.min(axis=2)
+                for r in range(runs):
+                    n[r] += np.bincount(near[r], minlength=k)
+                    cost[r] += np.bincount(near[r], weights=least[r], minlength=k)
+                    if want_sums:
+                        hot = np.zeros((k, len(part)))
+                        hot[near[r], np.arange(len(part))] = 1.0
+                        sums[r] += hot @ part
+        at = [(r, c, -2, n[r, c]) for r in range(runs) for c in range(k)] + [(r, c, -1, cost[r, c]) for r in range(runs) for c in range(k)]
+        if want_sums:
+            at += [(r, c, d, sums[r, c, d]) for r in range(runs) for c in range(k) for d in range(dims)]
+        cols = list(zip(*at))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
+                                          pa.array(cols[3], pa.float64())], names=["run", "cluster", "dim", "v"])
+
+    out = x.select("_x").mapInArrow(step, "run int, cluster int, dim int, v double").groupBy("run", "cluster", "dim").agg(F.sum("v").alias("v"))
+    n, cost, sums = np.zeros((runs, k)), np.zeros((runs, k)), np.zeros((runs, k, dims))
+    for r in out.collect():                                # runs x clusters x (dims + 2) numbers
+        target = n if r["dim"] == -2 else cost if r["dim"] == -1 else None
+        if target is None:
+            sums[r["run"], r["cluster"], r["dim"]] = r["v"]
+        else:
+            target[r["run"], r["cluster"]] = r["v"]
+    return n, cost.sum(axis=1), sums
+
+
 def kmeans(df: DataFrame, features: Sequence[str] | str, k: int = 2, n_init: int = 10, seed: int = 0,
-           keep: Iterable[str] = (), max_iter: int = 300, parallel: int = 10, tol: float = 1e-4):
-    """K2: k-means (k-means|| seeding), ``n_init`` seeds, the fit with the
-    least within-cluster cost wins.  Returns ``(rows with cluster_id, model)``.
-
-    The input is persisted (memory and disk) for the repeated fits; a lost
-    executor's blocks are recomputed from lineage.  Up to ``parallel`` fits
-    are submitted at once, so their small per-iteration jobs share the
-    cluster instead of queueing one after another.  ``tol`` is relative to
-    the mean feature variance (the usual k-means convention); MLlib's own
-    tolerance is an absolute centre shift, so it is scaled here.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.stat import Summarizer
-    x = _vectors(df, features).select(*[qcol(c) for c in keep], "_x").persist(StorageLevel.MEMORY_AND_DISK)
-    var = x.select(Summarizer.variance(F.col("_x")).alias("v")).first()["v"]
-    mean_var = float(sum(var.toArray()) / max(len(var), 1)) if var is not None else 0.0
-    epsilon = (tol * mean_var) ** 0.5 if mean_var > 0 else tol
-
-    def fit(i):
-        m = KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol=CLUSTER,
-                   initMode="k-means||", maxIter=max_iter, tol=epsilon).fit(x)
-        return m.summary.trainingCost, i, m
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, n_init))) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    best = min(fits, key=lambda t: (t[0], t[1]))[2]          # ties: lowest seed
-    x.unpersist()
-    out = best.transform(_vectors(df, features)).select(*[qcol(c) for c in keep],
-                                                        F.col(CLUSTER).cast("int").alias(CLUSTER))
-    return out, best
+           keep: Iterable[str] = (), max_iter: int = 300, tol: float = 1e-4, init_rows: int = 10_000):
+    """K2: k-means, ``n_init`` runs, the one with the least within-cluster cost wins (ties: the first).  Returns
+    ``(rows with cluster_id, KMeansFit)``.
+
+    All runs advance together: a pass of Lloyd's algorithm reads the rows once and assigns each to the centres of every
+    run that has not settled.  Centres start by k-means++ on ``init_rows`` rows, those of least hash; only the start
+    depends on that sample.  ``tol`` is relative to the mean feature variance (the usual k-means convention).  The vectors
+    are persisted (memory and disk) over the passes; blocks of a lost executor are computed again."""
+    from pyspark.ml.functions import vector_to_array
+    keep = list(keep)
+    base = _vectors(df, features)
+    x = base.select(vector_to_array("_x").alias("_x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = x.select("_x", F.xxhash64("_x", F.lit(seed)).alias("_h")).orderBy("_h", "_x").limit(int(init_rows)).collect()
+        if not first:
+            raise ValueError("k-means needs at least one row")
+        sample = np.array([r["_x"] for r in first], dtype=np.float64)
+        centers = np.array([_seed_centers(sample, k, seed + i) for i in range(n_init)])
+        spread = x.agg(*[F.var_pop(F.get("_x", F.lit(i))).alias(f"v{i}") for i in range(sample.shape[1])]).first()
+        stop = tol * float(np.mean([v or 0.0 for v in spread]))
+        open_, passes = np.arange(n_init), 0
+        while len(open_) and passes < max_iter:
+            n, _, sums = _lloyd_pass(x, centers[open_], True)
+            passes += 1
+            moved = np.where(n[:, :, None] > 0, sums / np.maximum(n, 1.0)[:, :, None], centers[open_])     # an empty cluster stays
+            shift = ((moved - centers[open_]) ** 2).sum(axis=(1, 2))
+            centers[open_] = moved
+            open_ = open_[shift > stop]
+        _, costs, _ = _lloyd_pass(x, centers, False)
+    finally:
+        x.unpersist()
+    best = int(np.argmin(costs))
+    final = centers[best:best + 1]
+
+    def nearest(batches):
+        import pyarrow as pa
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _rows_matrix(b.column(b.num_columns - 1))
+            got = np.concatenate([_gaps(rows[s:s + 8192], final)[0].argmin(axis=1) for s in range(0, len(rows), 8192)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got.astype(np.int32))], names=[*b.schema.names[:-1], CLUSTER])
+
+    kept = base.select(*[qcol(c) for c in keep], vector_to_array("_x").alias("_x"))
+    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(CLUSTER, T.IntegerType())])
+    return kept.mapInArrow(nearest, schema), KMeansFit(final[0], float(costs[best]), [float(c) for c in costs], passes)
 
 
 def silhouette(df: DataFrame, features: Sequence[str] | str, cluster_col: str = CLUSTER) -> DataFrame:
