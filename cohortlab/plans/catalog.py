@@ -1024,6 +1024,40 @@ def q_k7(spark, sf_dir):
     return K.apply_tree_rules(d, model, feats).withColumn("train_accuracy", F.lit(float(acc)))
 
 
+from cohortlab.operators import cart  # noqa: E402
+
+SPLIT_COUNTS = " UNION ALL ".join(
+    f"SELECT {i} AS f, '{c}' AS feature_name, CAST({c} AS DOUBLE) AS v, count(*) AS n, count_if(cluster_id = 0) AS a, "
+    f"count_if(cluster_id = 1) AS b, count_if(cluster_id = 2) AS c FROM base GROUP BY {c}" for i, c in enumerate(K_FEATS))
+
+
+@register("best_split_lineitem", f"""WITH base AS {LI_CLUSTERS_SQL}, cnt AS ({SPLIT_COUNTS}),
+cum AS (SELECT f, feature_name, v, lead(v) OVER w AS nxt, sum(n) OVER w AS nl, sum(a) OVER w AS la, sum(b) OVER w AS lb, sum(c) OVER w AS lc,
+  sum(n) OVER (PARTITION BY f) AS t, sum(a) OVER (PARTITION BY f) AS ta, sum(b) OVER (PARTITION BY f) AS tb, sum(c) OVER (PARTITION BY f) AS tc
+  FROM cnt WINDOW w AS (PARTITION BY f ORDER BY v)),
+g AS (SELECT *, ((CAST(la AS DOUBLE) * la + CAST(lb AS DOUBLE) * lb + CAST(lc AS DOUBLE) * lc) / nl
+  + (CAST(ta - la AS DOUBLE) * (ta - la) + CAST(tb - lb AS DOUBLE) * (tb - lb) + CAST(tc - lc AS DOUBLE) * (tc - lc)) / (t - nl)
+  - (CAST(ta AS DOUBLE) * ta + CAST(tb AS DOUBLE) * tb + CAST(tc AS DOUBLE) * tc) / t) / t AS gain
+  FROM cum WHERE nl >= 10 AND t - nl >= 10)
+SELECT feature_name, CAST(round(v + (nxt - v) / 2, 6) AS DECIMAL(38,6)) AS threshold, CAST(nl AS BIGINT) AS n_left, CAST(t - nl AS BIGINT) AS n_right,
+  CAST(round(gain, 9) AS DECIMAL(38,9)) AS gain FROM g ORDER BY round(gain, 12) DESC, f, v LIMIT 1""")
+def q_best_split(spark, sf_dir):
+    """K7: the root of the exact tree: the best of all splits of all features."""
+    tree = cart.grow_tree(_li_clusters(spark, sf_dir), K_FEATS, "cluster_id", min_samples_leaf=10, max_depth=1)
+    root = tree.nodes[0]
+    row = (K_FEATS[root.feature], float(root.threshold), tree.nodes[root.left].n, tree.nodes[root.left + 1].n, float(root.gain))
+    out = spark.createDataFrame([row], "feature_name string, threshold double, n_left bigint, n_right bigint, gain double")
+    return out.select("feature_name", dec(F.col("threshold")).alias("threshold"), "n_left", "n_right", dec(F.col("gain"), 9).alias("gain"))
+
+
+@register("rules_exact_lineitem")
+def q_k7_exact(spark, sf_dir):
+    """K7 + K8: the exact tree's rules with support and confidence."""
+    d = _li_clusters(spark, sf_dir)
+    tree = cart.grow_tree(d, K_FEATS, "cluster_id", min_samples_leaf=10, max_depth=5)
+    return cart.tree_rules_report(d, tree, "cluster_id").withColumn("train_accuracy", F.lit(tree.accuracy))
+
+
 def _risk_input(spark, sf_dir):
     """orders: scaled total price and one-hot priority as features, status F
     as outcome, R1 split on the order key."""
