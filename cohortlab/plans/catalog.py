@@ -1176,6 +1176,36 @@ def _hot_customers(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(key.alias("n_nationkey"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
 
 
+@register("select_columns_flow_orders", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_select_columns_flow(spark, sf_dir):
+    """C4 as a flow: stored profile, numeric columns with many values, kept in place."""
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    ws.save(read(spark, sf_dir, "orders"), "orders")
+    FL.select_columns_to_dataset(ws, "orders", "REMAIN", data_type="numeric", min_distinct_ratio=0.5)
+    return ws.load("orders")
+
+
+@register("filter_by_ids_flow_orders", ORACLE["filter_by_ids_orders"])
+def q_ids_flow(spark, sf_dir):
+    """C7 as a flow between two stored datasets."""
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    ws.save(_orders_null_cust(spark, sf_dir), "orders")
+    ws.save(read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "building")
+    FL.filter_by_ids_to_dataset(ws, "orders", "building", "orders_building", key="o_custkey", ids_key="c_custkey")
+    return ws.load("orders_building")
+
+
+@register("select_features_flow_lineitem", ORACLE["select_top_features_lineitem"])
+def q_features_flow(spark, sf_dir):
+    """L1-L4 as a flow: a label of 1 and 2, recoded, the three best features saved."""
+    ws = S.Workspace(spark, _scratch(spark, "workspace"))
+    ws.save(_ig_input(spark, sf_dir).withColumn("y", F.col("y") + 1), "lines")
+    chosen = FL.select_features_to_dataset(ws, "lines", "y", "lines_best", k=3)
+    if len(ws.load("lines_best").columns) != 4:
+        raise AssertionError("three features and the label were to be saved")
+    return chosen.select("feature_name", dec(F.col("feature_scores"), 9).alias("feature_scores"))
+
+
 # ------------------------------------------------------------------ scale-path variants (rows-only)
 @register("profile_lineitem_approx")
 def q_profile_approx(spark, sf_dir):

@@ -21,6 +21,7 @@ from cohortlab.operators import combine as J
 from cohortlab.operators import features as FE
 from cohortlab.operators import profile as P
 from cohortlab.operators import risk as R
+from cohortlab.operators import select as SEL
 from cohortlab.session import ensure_checkpoint_dir
 from cohortlab.sources.datasets import Workspace, fingerprint, read_csvs, stale_profiles
 
@@ -135,6 +136,52 @@ def column_action(ws: Workspace, name: str, cols: Sequence[str], action: str,
     return ws.load_profile(name)
 
 
+def select_columns_to_dataset(ws: Workspace, name: str, action: str = "REMAIN", new_name: str | None = None,
+                              **conditions) -> list[str]:
+    """Column selection page (C4 with C2 / C3): the columns whose stored profile (types as corrected by the user; a
+    missing profile is made first) meets every condition stay, in place (``REMAIN``) or as a new dataset (``CREATE``).
+    Returns their names, one per column; none selected is an error and changes nothing."""
+    prof = ws.load_profile(name)
+    if prof is None:
+        prof = ws.save_profile(P.profile(ws.load(name)), name)
+    df = ws.load(name)
+    chosen = {r["col_name"] for r in C.matching_columns(prof, df=df, **conditions).select("col_name").collect()}
+    names = [c for c in df.columns if c in chosen]
+    if not names:
+        raise ValueError("no column meets the conditions")
+    if action not in ("REMAIN", "CREATE"):
+        raise ValueError(f"unknown action {action!r}; use REMAIN or CREATE")
+    column_action(ws, name, names, action, new_name)
+    return names
+
+
+def filter_by_ids_to_dataset(ws: Workspace, source: str, ids: str, target: str, key: str | None = None,
+                             ids_key: str = "DESYNPUF_ID") -> DataFrame:
+    """ID filter (C7): keep the rows of ``source`` whose key stands in dataset ``ids``, save as ``target`` (S4) and return
+    ``(n_kept, n_rows)`` (C8)."""
+    df = ws.load(source)
+    n_rows = df.count()
+    kept = ws.save(C.filter_by_ids(df, ws.load(ids), key, ids_key), target)
+    return ws.spark.createDataFrame([(kept.count(), n_rows)], "n_kept bigint, n_rows bigint")
+
+
+def select_features_to_dataset(ws: Workspace, source: str, label: str, target: str, label_threshold: float = 1,
+                               k: int | None = None, percentile: float | None = None,
+                               threshold: float | None = None) -> DataFrame:
+    """Feature selection page: split the label off (L1), recode it as ``label > label_threshold`` (L2), score every feature
+    by information gain (L3), keep the best (L4) and save them with the original label as ``target``.  Returns the chosen
+    ``(feature_name, feature_scores)``."""
+    df = ws.load(source)
+    x, _, _ = FE.split_label(df, label)
+    features = [c for c in x.columns if c != "_row_id"]
+    scored = SEL.information_gain(FE.recode_label(df, label, label_threshold), label, features)
+    ensure_checkpoint_dir(ws.spark)
+    chosen = SEL.select_top(scored, k=k, percentile=percentile, threshold=threshold).checkpoint(eager=True)   # a row a feature
+    names = {r["feature_name"] for r in chosen.select("feature_name").collect()}
+    ws.save(C.keep_columns(df, [c for c in features if c in names] + [label]), target)
+    return chosen
+
+
 def derive_dates(ws: Workspace, name: str, cols: Sequence[str], base: str, prefix: str = "",
                  new_name: str | None = None, fmt: str = "%Y%m%d") -> DataFrame:
     """Date handler: parse the columns in place (F2, written back to the
