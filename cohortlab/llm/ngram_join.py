@@ -8,14 +8,17 @@ fewer words one shingle of the whole sequence).  Two documents link when
 Prefix filter: under any fixed order of all shingles, linked sets share one
 of their first n - ceil(percent * n / 100) + 1 shingles.  The filter is
 applied under ``ORDERS`` different orders.  All put frequent shingles last
-(a table of ``2**SKETCH_BITS`` counters over the whole corpus, the same size
-at any scale) and break ties by different mixes of the hash.  The first
-order drives the shuffle join; candidates must also share prefix shingles
-under the others before the exact check of the two whole sets.
-
-Large groups: a prefix shingle's documents are compared with two pivots
-first and the links found are turned into components.  Then all pairs of its
-documents that are still in *different* components are compared, so every
+(those seen twice in a sample of documents, ``COMMON`` at most, by their
+count there; an order may be any, so the sample decides cost only) and break
+ties by different mixes of the hash.  The first order drives the shuffle
+join; candidates must also share prefix shingles under the others before the
+exact check of the two whole sets.
+
+Large groups: documents that share their very first shingle under an order
+are compared with the smallest of them, then a prefix shingle's documents
+with two pivots unless they are in one component already.  Last, all pairs of
+its documents that are still in *different* components and whose sizes allow
+a link (bands of sizes are joined, not all of them) are compared, so every
 link that joins two components is found, while a group of near copies costs
 about its size, not its square.
 
@@ -26,6 +29,7 @@ a doc_id are one node.  Rows without doc_id keep a null component.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,8 @@ from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, map_rows, min
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
-SKETCH_BITS = 18
+SAMPLE = 0.02                 # share of documents that supplies the order
+COMMON = 200_000              # frequent shingles told apart
 WORD_CACHE = 300_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)   # odd multipliers, one an order
 
@@ -72,10 +77,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """First shingles of a set under global order number ``order``."""
+def prefix(s: np.ndarray, common: tuple, order: int, percent: int) -> np.ndarray:
+    """First shingles of a set under global order number ``order``; ``common``: sorted frequent shingles, their counts."""
     mixed = (s ^ (s >> np.uint64(33))) * np.uint64(MIX[order])
-    return s[np.lexsort((mixed, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:prefix_size(len(s), percent)]]
+    names, counts = common
+    often = np.zeros(len(s), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        often = np.where(names[at] == s, counts[at], 0)
+    return s[np.lexsort((mixed, often))[:prefix_size(len(s), percent)]]
 
 
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -90,23 +100,24 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_rows(docs, [id_col, text_col], "doc_id long, n_shingles long, digest binary", make)
 
 
-def shingle_counts(reps: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Documents per counter, over all class representatives."""
+def common_shingles(reps: DataFrame, size: int = SHINGLE, sample: float = SAMPLE, most: int = COMMON) -> tuple:
+    """Shingles that stand in several documents of a sample, sorted, and their numbers of documents there."""
     def run(batches):
-        shingles, c = Shingler(size), np.zeros(1 << SKETCH_BITS, np.int64)
+        shingles = Shingler(size)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c += np.bincount((shingles(t) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(c)) if t else 0
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(c[at])], names=["slot", "n"])
-    # at most 2**SKETCH_BITS rows of two numbers reach the driver, whatever the corpus
-    got = reps.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.float32)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def _prefixes(reps: DataFrame, counts: np.ndarray, percent: int, size: int) -> DataFrame:
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            if sets:
+                names, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+    # at most ``most`` rows of two numbers reach the driver, whatever the corpus
+    got = (reps.sample(sample, 11).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+           .where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow())
+    names, counts = got.column("shingle").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(names)
+    return names[order], counts[order]
+
+
+def _prefixes(reps: DataFrame, common: tuple, percent: int, size: int) -> DataFrame:
     """(rep, n, first, others): the first order's prefix as 64-bit shingles, and
     for each other order its prefix cut to 32 bits (a cut can only let more pass)."""
     def run(batches):
@@ -114,10 +125,10 @@ def _prefixes(reps: DataFrame, counts: np.ndarray, percent: int, size: int) -> D
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sets = [shingles(t) for t in texts]
-            first = [prefix(s, counts, 0, percent).view(np.int64) for s in sets]
+            first = [prefix(s, common, 0, percent).view(np.int64) for s in sets]
             cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
             for order in range(1, ORDERS):
-                cols.append(pa.array([prefix(s, counts, order, percent).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
+                cols.append(pa.array([prefix(s, common, order, percent).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
             if ids:
                 yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "first", *[f"order{o}" for o in range(1, ORDERS)]])
     return reps.select("rep", "text").mapInArrow(
@@ -159,6 +170,13 @@ def _near_size(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
 
 
+def _band(n: str, percent: int):
+    """Sizes on a logarithmic scale whose unit is a little more than the ratio that still allows a link."""
+    if percent >= 100:
+        return F.col(n).cast("int")
+    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100.0 / percent) * (1 + 1e-6))).cast("int")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
@@ -166,27 +184,36 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = written(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
                    .join(classes.select("rep").distinct(), "rep", "left_semi"), "ngram-reps")
-    counts = shingle_counts(reps, size)
-    marks = written(_prefixes(reps, counts, percent, size), "ngram-prefixes")
-    raw = marks.select(F.explode("first").alias("token"), "rep")
-    ends = raw.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    marks = written(_prefixes(reps, common_shingles(reps, size), percent, size), "ngram-prefixes")
+    # documents with the same first shingle under an order meet the smallest of them
+    tops = marks.select("rep", F.posexplode(F.array(F.get("first", F.lit(0)), *[F.get(f"order{o}", F.lit(0)).cast("long") for o in range(1, ORDERS)]))
+                        .alias("order", "token"))
+    tops = tops.join(tops.groupBy("order", "token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), ["order", "token"])
+    links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), reps, marks, percent, size),
+                    "ngram-top-links")
+    comp = written(min_label_components(links), "ngram-top-components")
     # rows of shingles that only one class has end here
+    raw = (marks.select(F.explode("first").alias("token"), "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+           .withColumn("component", F.coalesce("component", "rep")))
+    ends = (raw.groupBy("token").agg(F.min(F.struct("rep", "component")).alias("lo"), F.max(F.struct("rep", "component")).alias("hi"),
+                                     F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y"))
     shared = written(raw.join(ends, "token"), "ngram-shared")
-    near = shared.select("rep", F.explode(F.array("lo", "hi")).alias("pivot")).where("rep <> pivot")
-    first_pairs = written(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
-                          "ngram-pivot-pairs")
-    links = written(_verify(first_pairs, reps, marks, percent, size), "ngram-pivot-links")
-    comp = min_label_components(links)
-    placed = (shared.select("token", "rep")
-              .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep"))
-              .join(marks.select("rep", "n"), "rep"))
+    near = (shared.select("rep", "component", F.explode(F.array("lo", "hi")).alias("pivot")).where("component <> pivot.component"))
+    pairs = written(near.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct(), "ngram-pivot-pairs")
+    more_links = written(_verify(pairs, reps, marks, percent, size), "ngram-pivot-links")
+    tree = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    comp = written(min_label_components(tree.union(more_links)), "ngram-pivot-components")
+    placed = (shared.select("token", "rep", "n", F.col("component").alias("before"))
+              .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "before"))
+              .withColumn("band", _band("n", percent)))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    open_rows = placed.join(mixed, "token").select("token", "rep", "n", "component")
-    other = open_rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = (open_rows.join(other, "token").where("component <> component2 and rep < rep2").where(_near_size("n", "n2", percent))
+    open_rows = placed.join(mixed, "token").select("token", "rep", "n", "component", "band")
+    # sizes of a link lie less than one band apart, so equal and neighbouring bands meet
+    other = open_rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"),
+                             F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    rest = (open_rows.join(other, ["token", "band"]).where("component <> component2 and rep < rep2").where(_near_size("n", "n2", percent))
             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-            .join(first_pairs, ["a", "b"], "left_anti"))
+            .join(pairs, ["a", "b"], "left_anti"))
     more = _verify(rest, reps, marks, percent, size)
     # copies hang on their class representative
     copies = (sets.where("doc_id is not null").join(classes, "digest").where("doc_id <> rep")
