@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +80,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_TRACKED: list[list[str]] = []                # folders of each open ``tracked_folders``
+
+
+@contextmanager
+def tracked_folders():
+    """Collects the folders that ``written`` makes inside the block."""
+    _TRACKED.append([])
+    try:
+        yield _TRACKED[-1]
+    finally:
+        _TRACKED.pop()
+
+
+def remove_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders through Hadoop, on whatever file system they lie."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed Parquet table in the shared folder and read it back."""
     path = shared_folder(df.sparkSession, name)
+    for folders in _TRACKED:
+        folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.columns import unused
 from cohortlab.functions.sizing import small_side
 from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, map_rows, min_label_components, written
 
@@ -192,14 +193,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), reps, marks, percent, size),
                     "ngram-top-links")
     comp = written(min_label_components(links), "ngram-top-components")
-    # rows of shingles that only one class has end here
-    raw = (marks.select(F.explode("first").alias("token"), "rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-           .withColumn("component", F.coalesce("component", "rep")))
-    ends = (raw.groupBy("token").agg(F.min(F.struct("rep", "component")).alias("lo"), F.max(F.struct("rep", "component")).alias("hi"),
-                                     F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y"))
-    shared = written(raw.join(ends, "token"), "ngram-shared")
-    near = (shared.select("rep", "component", F.explode(F.array("lo", "hi")).alias("pivot")).where("component <> pivot.component"))
-    pairs = written(near.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).distinct(), "ngram-pivot-pairs")
+    # rows of shingles that only one class has end here; sizes and components join what is left
+    raw = marks.select(F.explode("first").alias("token"), "rep")
+    ends = raw.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    known = marks.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left") \
+        .withColumn("component", F.coalesce("component", "rep"))
+    shared = raw.join(ends, "token").join(known, "rep")
+    apart = shared.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    shared = written(shared.join(apart, "token"), "ngram-shared")
+    pivots = known.select(F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
+    near = (shared.select("rep", "component", F.explode(F.array("lo", "hi")).alias("pivot")).distinct().join(pivots, "pivot")
+            .where("component <> pivot_component"))
+    pairs = written(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "ngram-pivot-pairs")
     more_links = written(_verify(pairs, reps, marks, percent, size), "ngram-pivot-links")
     tree = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     comp = written(min_label_components(tree.union(more_links)), "ngram-pivot-components")
@@ -226,6 +231,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_per_group(docs: DataFrame, percent: int, size: int, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with only the document of smallest id of every group; rows without id stay."""
-    gone = (link_components(docs, id_col, "text", percent, size).where("component_id <> doc_id")
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    mark = unused("gone", {c.lower() for c in docs.columns})
+    gone = link_components(docs, id_col, "text", percent, size).where("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(gone, docs[id_col] == gone[mark], "left_anti")
