@@ -16,7 +16,7 @@ exact check of the two whole sets.
 
 Large groups: documents that share their very first shingle under an order
 are compared with the smallest of them, then a prefix shingle's documents
-with two pivots unless they are in one component already.  Last, all pairs of
+with the smallest of them unless they are in one component already.  Last, all pairs of
 its documents that are still in *different* components and whose sizes allow
 a link (bands of sizes are joined, not all of them) are compared, so every
 link that joins two components is found, while a group of near copies costs
@@ -34,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import unused
@@ -193,17 +193,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), reps, marks, percent, size),
                     "ngram-top-links")
     comp = written(min_label_components(links), "ngram-top-components")
-    # rows of shingles that only one class has end here; sizes and components join what is left
-    raw = marks.select(F.explode("first").alias("token"), "rep")
-    ends = raw.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    # rows of shingles that only one class has end here, in one shuffle; sizes and components join what is left
+    by_rep = Window.partitionBy("token").orderBy("rep")
+    found = written(marks.select(F.explode("first").alias("token"), "rep")
+                    .select("token", "rep", F.first("rep").over(by_rep.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"),
+                            F.lag("rep").over(by_rep).alias("before"), F.lead("rep").over(by_rep).alias("after"))
+                    .where("before is not null or after is not null").select("token", "rep", "lo"), "ngram-found")
     known = marks.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left") \
         .withColumn("component", F.coalesce("component", "rep"))
-    shared = raw.join(ends, "token").join(known, "rep")
-    apart = shared.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    shared = written(shared.join(apart, "token"), "ngram-shared")
-    pivots = known.select(F.col("rep").alias("pivot"), F.col("component").alias("pivot_component"))
-    near = (shared.select("rep", "component", F.explode(F.array("lo", "hi")).alias("pivot")).distinct().join(pivots, "pivot")
-            .where("component <> pivot_component"))
+    shared = written(found.join(known, "rep"), "ngram-shared")
+    pivots = known.select(F.col("rep").alias("lo"), F.col("component").alias("pivot_component"))
+    near = (shared.where("rep <> lo").select("rep", "component", "lo").distinct().join(pivots, "lo")
+            .where("component <> pivot_component").withColumnRenamed("lo", "pivot"))
     pairs = written(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "ngram-pivot-pairs")
     more_links = written(_verify(pairs, reps, marks, percent, size), "ngram-pivot-links")
     tree = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
