@@ -104,6 +104,39 @@ def test_prefix_encoder_matches_library_and_edits():
     assert enc.edit(old, last, b"interneurons") == enc.extend(b"interneurons", [None])
 
 
+def test_prefix_encoder_edits_stop_near_the_edit():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc, rng = bpe_prefix.PrefixEncoder(bpe_prefix.load_ranks(path), public_tokenizers.PATTERN), random.Random(9)
+    for n in [0, 1, 5, 40, 400] * 20:
+        old = bytes(rng.choice(b"abcdeinst  .\xc3\xa9") for _ in range(n))
+        a = rng.randint(0, n)
+        b = min(n, a + rng.randint(0, 4))
+        new = old[:a] + bytes(rng.choice(b"abest ") for _ in range(rng.randint(0, 5))) + old[b:]
+        assert enc.edit(old, enc.extend(old, [None]), new) == enc.extend(new, [None])
+    old = b"the cats and dogs of the town " * 2000
+    last, grown, plain = enc.extend(old, [None]), [], enc.extend
+    enc.extend = lambda data, out, upto=None: grown.append(upto - len(out) + 1) or plain(data, out, upto)
+    out = enc.edit(old, last, b"x" + old)
+    assert sum(grown) < 1000 and out == plain(b"x" + old, [None])
+
+
+def test_pairs_by_undone_merges_equal_plain_merging():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc, rng = bpe_prefix.PrefixEncoder(bpe_prefix.load_ranks(path), public_tokenizers.PATTERN), random.Random(1)
+    ids = [i for i in rng.sample(sorted(enc.tokens), 3000) if enc._split(i)]
+    for a, b in list(zip(ids, ids[1:])) + [(rng.randrange(256, 2000), rng.randrange(256, 2000)) for _ in range(5000)]:
+        if enc._split(a) and enc._split(b):
+            pair = [enc.tokens[a], enc.tokens[b]]
+            assert enc._compatible(a, b) == (enc._merge(pair[0] + pair[1]) == pair)
+    # tokens ranked before their parts
+    odd = {bytes([c]): c for c in range(97, 101)} | {b"cd": 10, b"bcd": 5, b"ab": 3, b"abcd": 2}
+    enc = bpe_prefix.PrefixEncoder(odd, ".+")
+    for _ in range(300):
+        t = bytes(rng.choice(b"abcd") for _ in range(9))
+        want = enc._merge(t)
+        assert enc.encode_piece(t) == [odd[x] for x in want]
+
+
 def test_heap_counts_match_library():
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
