@@ -198,6 +198,49 @@ def test_warc_round_trip_and_rolls(spark, tmpdir_path):
     assert warc.read_archive(spark, tmpdir_path + "/c").count() == 0
 
 
+def test_warc_shards_follow_bytes_not_ids(spark, tmpdir_path):
+    rng = random.Random(6)
+    text = lambda i: f"{i} " + "".join(rng.choice("abcdefgh") for _ in range(400))
+    ids = list(range(600)) + [10 ** 15, 2 ** 63 - 1, -2 ** 63] + [None] * 100 + [77] * 100
+    rows = [(i, f"u{k}", text(k) if k % 3 else "same " * 60) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = [warc.write_archive(pages.repartition(5), tmpdir_path + "/a", shard_bytes=40_000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    made.append(warc.write_archive(pages.coalesce(1), tmpdir_path + "/b", shard_bytes=40_000))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = (sorted(map(tuple, m.collect())) for m in made)
+    counts = [r[1] for r in a]
+    assert a == b and len(a) > 8 and max(counts) < 2 * sum(counts) / len(counts) + 40
+    got = rows_of(warc.read_archive(spark, tmpdir_path + "/a"))
+    low = min(i for i, _, t in rows if i is not None and t.startswith("same"))
+    want = collections.Counter((i, hashlib.sha256(t.encode()).hexdigest(), u, *(("revisit", low) if i is not None and t.startswith("same") and i > low
+                               else ("response", None))) for i, u, t in rows)
+    assert collections.Counter((r["page_id"], r["payload_digest"], r["url"], r["record_type"], r["refers_to"]) for r in got) == want
+
+
+def test_warc_damaged_files_are_errors(spark, tmpdir_path):
+    import gzip
+    import io
+    import os
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(200)], "page_id long, url string, html string")
+    name = warc.write_archive(pages, tmpdir_path).first()["file"]
+    path = os.path.join(tmpdir_path, name)
+    with open(path, "rb") as f:
+        whole = f.read()
+    assert warc.read_archive(spark, tmpdir_path).count() == 200
+    members = whole.split(b"\x1f\x8b\x08")
+    assert len(gzip.GzipFile(fileobj=io.BytesIO(whole)).read()) > 0 and len(members) >= 200
+    between = len(whole) - len(members[-1]) - 3
+    spoiled = bytearray(whole)
+    spoiled[len(whole) // 2] ^= 255
+    for bad in (whole[:len(whole) // 2], whole[:between], whole + whole[between:], bytes(spoiled), b""):
+        with open(path, "wb") as f:
+            f.write(bad)
+        with pytest.raises(Exception):
+            warc.read_archive(spark, tmpdir_path).collect()
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_language_model(docs.where("doc_id % 2 = 0"))
