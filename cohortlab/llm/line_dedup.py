@@ -1,30 +1,35 @@
-"""Line dedup with content-defined chunks and pieces of lines (operator 1).
+"""Line dedup with content-defined chunks over pieces of lines (operator 1).
 
 Pieces: a line's words are hashed, and a piece starts before a word whose hash
 is the smallest within ``RADIUS`` words on both sides in that line, and at each
 line start; a piece that stays long is cut every ``STEP`` words.  So the cuts inside a repeated passage follow its words, wherever
-in a line it begins or ends.  Consecutive pieces that all occur earlier in the
-table (smaller doc_id, then position) are cut if they have ``RUN_WORDS`` words
-together; of a passage inside a line only the words before its first and after
-its last cut stay.
+in a line it begins or ends.
+
+Passages: from every piece on, the fewest consecutive pieces that have
+``RUN_WORDS`` words together are one unit, named by a rolling hash over its
+words.  A unit that stands earlier in the table (smaller doc_id, then text
+hash, then position) is cut.  Units overlap, so of a repeated passage only the
+words before its first and after its last cut stay, and nothing goes but what
+one earlier place of the input holds as a whole (which may overlap it, as in
+words repeated with a period).
 
 Chunks: a chunk of lines ends after a line where the rolling hash of the last
 ``ROLL`` line hashes is 0 modulo ``DIVISOR`` if the chunk has two lines, and on
 both sides of a line with at least ``long_words`` words.  A chunk with at least
 two lines, or ``long_words`` words, stays only at its first place.  Only chunks
-with fewer than ``RUN_WORDS`` words need a place of their own: longer ones are
-runs of pieces.
+with fewer than ``RUN_WORDS`` words are units of their own: longer ones are
+covered by the passages.
 
-Places are found by 64-bit keys alone.  The bytes of repeated units are then
+Places are found by 64-bit keys alone.  The bytes of repeated units (words
+joined by one blank; chunks as they stand) are then
 compared by grouping (key, bytes), which combines copies map-side; a key with
 more than one body is resolved by its bytes.  Texts cross the shuffle
 compressed.
 
 Blank lines go with the line before.  Null texts stay null, an emptied text
-becomes ''.  Rows without doc_id stay unchanged.  Rows that share a doc_id are
-read as one document whose places they share: a unit at the same position of
-both is one place.
-Other columns pass through.
+becomes ''.  Rows without doc_id stay unchanged.  Rows equal in doc_id and text
+are one place and are cut alike; other rows that share a doc_id are places of their own.
+An empty table gives an empty table.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +54,12 @@ RADIUS = 4
 RUN_WORDS = 16
 #: A piece of more than two steps is cut on every STEP words; words repeated with a period up to RADIUS fall into phase.
 STEP = 12
-#: Chunks are placed below all pieces, in their order.
-CHUNK_AT = -2 ** 30
+#: Rows of one Arrow batch of units.
+BATCH = 100_000
 #: Bodies longer than this cross shuffles compressed.
 PACK_BYTES = 256
+_BLANK = b" \t\n\x0b\f\r"
+_ODD, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
 
@@ -95,9 +103,21 @@ def _key(body: bytes, key_bytes: int) -> int:
     return int.from_bytes(hashlib.sha256(body).digest()[:key_bytes], "big", signed=True)
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def pieces_of(raw: bytes):
-    """(starts, ends, first, line) of a text's words and pieces: byte bounds of
-    each word, the first word of each piece, the line of each word."""
+    """(starts, ends, first, line, hashes) of a text's words and pieces: byte bounds of
+    each word, the first word of each piece, the line and the hash of each word."""
     b = np.frombuffer(raw, dtype=np.uint8)
     inside = np.zeros(len(b) + 2, dtype=np.int8)
     inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
@@ -106,7 +126,11 @@ def pieces_of(raw: bytes):
     line = np.searchsorted(np.flatnonzero(b == 10), starts)
     n = len(starts)
     if not n:
-        return starts, ends, starts, line
+        return starts, ends, starts, line, starts.astype(np.uint64)
+    # a word's hash: a polynomial of its bytes, moved to exponent 0
+    values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))[b] * _powers(_ODD, len(b)) * inside[1:-1].astype(np.uint64)
+    hashes = _mix(np.add.reduceat(values, starts) * _powers(_BACK, len(b))[starts])
+    h = (hashes >> np.uint64(32)) + np.uint64(1)
     new_line = np.concatenate(([True], line[1:] != line[:-1]))
     # a word's hash, from its last eight bytes
     h = np.zeros(n, dtype=np.uint64)
@@ -130,123 +154,151 @@ def pieces_of(raw: bytes):
     if len(long):
         more = [np.arange(first[i] + STEP, after[i] - STEP + 1, STEP) for i in long]
         first = np.sort(np.concatenate([first, *more]))
-    return starts, ends, first, line
+    return starts, ends, first, line, hashes
 
 
-def _units(raw: bytes, long_words: int):
-    """(at, start, end) of every unit's body in bytes, pieces first."""
-    starts, ends, first, _ = pieces_of(raw)
-    last = np.append(first[1:], len(starts))
-    yield from zip(range(len(first)), starts[first].tolist(), ends[last - 1].tolist() if len(first) else [])
+def units_of(raw: bytes, long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES):
+    """(start, end, key) arrays of every unit of a text: byte bounds and 64-bit names."""
+    starts, ends, first, line, hashes = pieces_of(raw)
+    n = len(starts)
+    bounds = np.append(first, n)
+    stop = np.searchsorted(bounds, first + RUN_WORDS)
+    a = first[stop < len(bounds)]
+    z = bounds[stop[stop < len(bounds)]]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * _powers(_ODD, n), out=sums[1:])
+    keys = _mix((sums[z] - sums[a]) * _powers(_BACK, n)[a]) if len(a) else np.zeros(0, dtype=np.uint64)
+    keys = (keys >> np.uint64(64 - 8 * key_bytes) if key_bytes else keys * np.uint64(0)).view(np.int64)
+    s, e = (starts[a], ends[z - 1]) if len(a) else (a, z)
+    words = np.bincount(line)
+    words = words[words > 0]
+    if (words[1:] + words[:-1] < RUN_WORDS).any() or long_words < RUN_WORDS:
+        more = list(_short_chunks(raw, long_words, key_bytes))
+        if more:
+            x, y, k = (np.array(c, dtype=np.int64) for c in zip(*more))
+            s, e, keys = np.concatenate([s, x]), np.concatenate([e, y]), np.concatenate([keys, k])
+    return s, e, keys
+
+
+def _short_chunks(raw: bytes, long_words: int, key_bytes: int):
     pos = 0
-    for i, c in enumerate(chunks_of(raw.decode("utf-8", "surrogatepass"), long_words)):
+    for c in chunks_of(raw.decode("utf-8", "surrogatepass"), long_words):
         z = c.encode("utf-8", "surrogatepass")
         if _counts(c, long_words) and len(z.split()) < RUN_WORDS:
             body = _body(c).encode("utf-8", "surrogatepass")
             lead = len(z) - len(z.lstrip(b"\r\n \t"))
-            yield CHUNK_AT + i, pos + lead, pos + lead + len(body)
+            yield pos + lead, pos + lead + len(body), _key(body, key_bytes)
         pos += len(z)
 
 
-def _with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
+def _unit_body(piece: bytes) -> bytes:
+    words = piece.split()
+    return b" ".join(words) if len(words) >= RUN_WORDS else piece
 
 
 def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
                key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key) of every piece and every removable short chunk; ``key`` is cut from SHA-256."""
-    def make():
-        def rows(doc, text):
-            raw = text.encode("utf-8", "surrogatepass")
-            for at, s, e in _units(raw, long_words):
-                yield doc, at, _key(raw[s:e], key_bytes)
-        return rows
-    return flat_map_rows(_with_ids(docs, id_col, text_col), ["doc", "text"], "doc long, at int, key long", make)
+    """(doc, row, at, end, key) of every unit; ``row`` is a hash of the whole text."""
+    src = (docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+           .select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")))
+    names = ["doc", "row", "at", "end", "key"]
+
+    def pack(held):
+        doc, row, size, s, e, k = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, size)), pa.array(np.repeat(row, size)),
+                                           pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(e).astype(np.int32)),
+                                           pa.array(np.concatenate(k))], names=names)
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for doc, row, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                s, e, k = units_of(text.encode("utf-8", "surrogatepass"), long_words, key_bytes)
+                if len(k):
+                    held.append((doc, row, len(k), s, e, k))
+                    n += len(k)
+                if n >= BATCH:
+                    yield pack(held)
+                    held, n = [], 0
+        if held:
+            yield pack(held)
+    return src.mapInArrow(run, "doc long, row long, at int, end int, key long")
 
 
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS,
                     key_bytes: int = KEY_BYTES) -> DataFrame:
-    """(doc, at, key, later) of every unit whose key occurs in several rows;
+    """(doc, row, at, end, key, later) of every unit whose key occurs several times;
     ``later`` is null in the first document, which tells by its own places."""
     slim = written(unit_table(docs, id_col, text_col, long_words, key_bytes), "line-units")
     again = (slim.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
              .where("n > 1").select("key", "first"))
     later = F.when(F.col("doc") > F.col("first"), F.lit(True))
-    return written(slim.join(again, "key").select("doc", "at", "key", later.alias("later")), "line-places")
+    return written(slim.join(again, "key").select("doc", "row", "at", "end", "key", later.alias("later")), "line-places")
 
 
-def _gone(places) -> set:
-    """(at, key) of a document's later places."""
+def _gone(places, row: int) -> list[tuple[int, int]]:
+    """Byte bounds that go from the text of hash ``row``."""
     first: dict = {}
     for p in places or ():
         if p["later"] is None:
-            first[p["key"]] = min(first.get(p["key"], p["at"]), p["at"])
-    return {(p["at"], p["key"]) for p in places or ()
-            if p["later"] or p["later"] is None and p["at"] > first[p["key"]]}
+            first[p["key"]] = min(first.get(p["key"], (p["row"], p["at"])), (p["row"], p["at"]))
+    return sorted((p["at"], p["end"]) for p in places or ()
+                  if p["row"] == row and (p["later"] or p["later"] is None and (row, p["at"]) > first[p["key"]]))
 
 
-def _cut_text(text: str, gone: set, long_words: int, key_bytes: int) -> str:
-    """``text`` without the runs of pieces and the chunks in ``gone``."""
+def _cut_text(text: str, gone: list[tuple[int, int]]) -> str:
+    """``text`` without the bytes of ``gone`` (sorted) and the blanks they leave."""
     raw = text.encode("utf-8", "surrogatepass")
-    starts, ends, first, line = pieces_of(raw)
-    last = np.append(first[1:], len(starts))
-    at_gone = {at for at, _ in gone}
-    # the key tells apart the units of rows that share a doc_id
-    held = [(at, s, e) for at, s, e in _units(raw, long_words)
-            if at in at_gone and (at, _key(raw[s:e], key_bytes)) in gone]
-    word_gone = np.zeros(len(starts) + 1, dtype=bool)
-    for at, s, e in held:
-        if at >= 0:
-            word_gone[first[at]:last[at]] = True
-    step = np.flatnonzero(np.diff(word_gone.astype(np.int8), prepend=0))
-    runs = [(int(a), int(b)) for a, b in zip(step[::2], step[1::2]) if b - a >= RUN_WORDS]
-    for at, s, e in held:
-        if at < 0:
-            runs.append((int(np.searchsorted(starts, s)), int(np.searchsorted(starts, e))))
-    if not runs:
-        return text
-    word_gone[:] = False
-    for a, b in runs:
-        word_gone[a:b] = True
-    step = np.flatnonzero(np.diff(word_gone.astype(np.int8), prepend=0))
-    out, pos, n = [], 0, len(starts)
-    for a, b in zip(step[::2].tolist(), step[1::2].tolist()):
-        begin, end = int(starts[a]), int(starts[b]) if b < n else len(raw)
-        if a and line[a] == line[a - 1] and (b == n or line[b] != line[b - 1]):
+    n, runs = len(raw), []
+    for s, e in gone:
+        while s < e and raw[s] in _BLANK:
+            s += 1
+        if s >= e:
+            continue
+        after = e
+        while after < n and raw[after] in _BLANK:
+            after += 1
+        if runs and s <= runs[-1][2]:
+            if e > runs[-1][1]:
+                runs[-1][1:] = [e, after]
+        else:
+            runs.append([s, e, after])
+    out, pos = [], 0
+    for s, e, after in runs:
+        before = s
+        while before and raw[before - 1] in _BLANK:
+            before -= 1
+        if before and b"\n" not in raw[before:s] and (after == n or b"\n" in raw[e:after]):
             # the line keeps its beginning, so also its end
-            begin, end = int(ends[a - 1]), int(ends[b - 1])
-        out.append(raw[pos:begin])
-        pos = end
+            s, after = before, e
+        out.append(raw[pos:s])
+        pos = after
     out.append(raw[pos:])
     left = b"".join(out).decode("utf-8", "surrogatepass")
     return left.rstrip("\r\n") if left.strip() else ""
 
 
 def _mark(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with the list of its places as ``__places``."""
-    lists = places.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("at", "key", "later")).alias("__places"))
-    return docs.join(lists, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
+    """``docs`` with the list of its places as ``places``."""
+    lists = places.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("row", "at", "end", "key", "later")).alias("places"))
+    return docs.join(lists, F.col(id_col).cast("long") == F.col("of"), "left").drop("of")
 
 
-def marked_bodies(marked: DataFrame, id_col: str, text_col: str, long_words: int, key_bytes: int) -> DataFrame:
-    """(doc, at, key, body) of the marked units; long bodies compressed."""
+def marked_bodies(marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, at, end, key, body) of the marked units; long bodies compressed."""
     def make():
         small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
-        def rows(doc, z, places):
-            keys = {(p["at"], p["key"]) for p in places}
-            at_keys = {at for at, _ in keys}
+        def rows(doc, z, row, places):
             raw = large.decompress(z)
-            for at, s, e in _units(raw, long_words):
-                if at in at_keys:
-                    body = raw[s:e]
-                    key = _key(body, key_bytes)
-                    if (at, key) in keys:
-                        yield doc, at, key, b"z" + small.compress(body) if e - s > PACK_BYTES else b"r" + body
+            for p in places:
+                if p["row"] == row:
+                    body = _unit_body(raw[p["at"]:p["end"]])
+                    yield doc, row, p["at"], p["end"], p["key"], b"z" + small.compress(body) if len(body) > PACK_BYTES else b"r" + body
         return rows
-    src = marked.where(F.col("__places").isNotNull() & F.col(text_col).isNotNull())
-    return flat_map_rows(src, [id_col, text_col, "__places"], "doc long, at int, key long, body binary", make, 5_000)
+    src = marked.where(F.col("places").isNotNull() & F.col(text_col).isNotNull())
+    return flat_map_rows(src.withColumn(id_col, F.col(id_col).cast("long")), [id_col, text_col, "row", "places"],
+                         "doc long, row long, at int, end int, key long, body binary", make, 5_000)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -254,9 +306,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated passages cut from the text, same columns, same rows."""
     names = docs.columns
     at_text = names.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    packed_schema = ", ".join(f"`{f.name}` {'binary' if i == at_text else f.dataType.simpleString()}"
-                              for i, f in enumerate(docs.schema.fields))
+    # plain names inside, whatever the columns are called
+    inner = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*inner)
+    the_id, the_text = inner[names.index(id_col)], inner[at_text]
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, docs.schema.fields))
+    packed_schema = ", ".join(f"{c} {'binary' if c == the_text else f.dataType.simpleString()}"
+                              for c, f in zip(inner, docs.schema.fields)) + ", row long"
 
     def pack():
         small = zstandard.ZstdCompressor(level=3)
@@ -272,24 +328,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         large = zstandard.ZstdDecompressor()
 
         def row(*v):
-            places, v = v[-1], list(v[:-1])
+            of_row, places, v = v[-2], v[-1], list(v[:-2])
             if v[at_text] is not None:
                 v[at_text] = large.decompress(v[at_text]).decode("utf-8", "surrogatepass")
-                gone = _gone(places)
+                gone = _gone(places, of_row)
                 if gone:
-                    v[at_text] = _cut_text(v[at_text], gone, long_words, key_bytes)
+                    v[at_text] = _cut_text(v[at_text], gone)
             return tuple(v)
         return row
-    places = repeated_places(docs, id_col, text_col, long_words, key_bytes)
+    places = repeated_places(plain, the_id, the_text, long_words, key_bytes)
     # the texts cross one shuffle, to meet their places; both later passes read the table written here
-    marked = written(_mark(map_rows(docs, names, packed_schema, pack), places, id_col), "line-marked")
-    bodies = marked_bodies(marked, id_col, text_col, long_words, key_bytes)
+    packed = map_rows(plain.withColumn("row", F.xxhash64(the_text)), [*inner, "row"], packed_schema, pack)
+    marked = written(_mark(packed, places, the_id), "line-marked")
+    bodies = marked_bodies(marked, the_id, the_text)
     # the byte comparison: one row per distinct body, then keys that name more than one
     mixed = written(bodies.select("key", "body").distinct().groupBy("key").count().where("count > 1").select("key"), "line-mixed")
     if not mixed.isEmpty():
         told = written(bodies.join(mixed, "key", "left_semi"), "line-told")
-        place = F.struct("doc", "at")
+        place = F.struct("doc", "row", "at")
         first = told.groupBy("key", "body").agg(F.min(place).alias("first"))
-        apart = told.join(first, ["key", "body"]).select("doc", "at", "key", (place > F.col("first")).alias("later")).distinct()
-        marked = _mark(marked.drop("__places"), places.join(mixed, "key", "left_anti").select(*apart.columns).union(apart), id_col)
-    return map_rows(marked, [*names, "__places"], schema, make)
+        apart = (told.join(first, ["key", "body"])
+                 .select("doc", "row", "at", "end", "key", (place > F.col("first")).alias("later")).distinct())
+        marked = _mark(marked.drop("places"), places.join(mixed, "key", "left_anti").select(*apart.columns).union(apart), the_id)
+    return map_rows(marked, [*inner, "row", "places"], schema, make).toDF(*names)

@@ -371,6 +371,46 @@ def test_line_dedup_words_repeated_with_a_period(spark):
     assert got[0].startswith("a first line\nFor ") and got[0].endswith("end") and got[1].startswith("b up and down")
 
 
+def test_line_dedup_leaves_lines_that_stand_apart_elsewhere(spark):
+    rng = random.Random(13)
+    lines = [" ".join(f"z{rng.randrange(10 ** 6)}" for _ in range(9)) for _ in range(12)]
+    others = [" ".join(f"o{rng.randrange(10 ** 6)}" for _ in range(30)) for _ in range(12)]
+    texts = [f"{o[:100]}\n{line}\n{o[100:]}" for o, line in zip(others, lines)] + ["\n".join(lines)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, `__doc` int, `a.b c` int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns and {r["doc_id"]: r["text"] for r in rows_of(out)} == dict(enumerate(texts))
+
+
+def test_line_dedup_cuts_only_what_stands_earlier(spark):
+    """No 50-word repeat stays, and every cut word lies in 16 words, or in a short chunk of lines, that an earlier place holds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = sorted(map(tuple, docs.collect()))
+    got = {r["doc_id"]: r["text"] for r in rows_of(line_dedup.dedup_lines(docs))}
+    size, seen, chunks, cut_wrong, kept_long = line_dedup.RUN_WORDS, set(), set(), 0, 0
+    repeats = repeated_windows([t for _, t in texts])
+    for doc, text in texts:
+        words, covered = WORD.findall(text), set()
+        for k in range(len(words) - size + 1):
+            key = tuple(words[k:k + size])
+            if key in seen:
+                covered.update(range(k, k + size))
+            seen.add(key)
+        at = 0
+        for c in line_dedup.chunks_of(text):
+            n, body = len(WORD.findall(c)), c.strip("\r\n \t")
+            if n < size and sum(bool(x.strip()) for x in body.split("\n")) >= 2:
+                if body in chunks:
+                    covered.update(range(at, at + n))
+                chunks.add(body)
+            at += n
+        # the words that no earlier place holds stay, in their order
+        left = iter(WORD.findall(got[doc]))
+        short = [w for j, w in enumerate(words) if j not in covered]
+        cut_wrong += not all(w in left for w in short)
+    kept_long = len(repeated_windows([got[d] for d, _ in texts]))
+    assert (cut_wrong, kept_long) == (0, 0) and repeats
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(9)
     words = [f"k{i}" for i in range(300)]
