@@ -60,6 +60,10 @@ BATCH = 100_000
 PACK_BYTES = 256
 _BLANK = b" \t\n\x0b\f\r"
 _ODD, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
+#: The lowest 0 to 8 bytes of eight.
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+KEPT_POWERS = 1 << 16
+_KEPT: dict[int, np.ndarray] = {}
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
 
@@ -109,10 +113,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; those of usual texts are kept."""
+    kept = _KEPT.get(base)
+    if kept is not None and n <= len(kept):
+        return kept[:n]
+    out = np.full(max(n, KEPT_POWERS), base, dtype=np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    _KEPT.setdefault(base, out[:KEPT_POWERS].copy())
+    return out[:n]
+
+
+def _word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of every word's bytes, eight at a time; words that have ended drop out."""
+    eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    size = ends - starts
+    h = _mix((size.astype(np.uint64) * np.uint64(_ODD)) ^ (eights[starts] & _MASKS[np.minimum(size, 8)]) * np.uint64(_ODD))
+    rest, done = np.flatnonzero(size > 8), 8
+    while len(rest):
+        at, left = starts[rest] + done, size[rest] - done
+        h[rest] = _mix((h[rest] ^ eights[at] & _MASKS[np.minimum(left, 8)]) * np.uint64(_ODD))
+        rest, done = rest[left > 8], done + 8
+    return h
 
 
 def pieces_of(raw: bytes):
@@ -127,9 +149,7 @@ def pieces_of(raw: bytes):
     n = len(starts)
     if not n:
         return starts, ends, starts, line, starts.astype(np.uint64)
-    # a word's hash: a polynomial of its bytes, moved to exponent 0
-    values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))[b] * _powers(_ODD, len(b)) * inside[1:-1].astype(np.uint64)
-    hashes = _mix(np.add.reduceat(values, starts) * _powers(_BACK, len(b))[starts])
+    hashes = _word_hashes(raw, starts, ends)
     h = (hashes >> np.uint64(32)) + np.uint64(1)
     new_line = np.concatenate(([True], line[1:] != line[:-1]))
     # a word's hash, from its last eight bytes
