@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,38 @@ def lower_ascii_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+#: The lowest 0 to 8 bytes of eight.
+EIGHT_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds (starts, ends) of the words ``[^\\x20\\x09-\\x0D]+``."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    inside = np.zeros(len(b) + 2, dtype=np.int8)
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word's bytes, eight at a time; words that have ended drop out."""
+    eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    size = ends - starts
+    h = mix64((size.astype(np.uint64) * _ODD) ^ (eights[starts] & EIGHT_MASKS[np.minimum(size, 8)]) * _ODD)
+    rest, done = np.flatnonzero(size > 8), 8
+    while len(rest):
+        at, left = starts[rest] + done, size[rest] - done
+        h[rest] = mix64((h[rest] ^ eights[at] & EIGHT_MASKS[np.minimum(left, 8)]) * _ODD)
+        rest, done = rest[left > 8], done + 8
+    return h
+
+
 def map_rows(df: DataFrame, cols: list[str], schema: str, make_row_fn) -> DataFrame:
     """Row-wise map in Arrow batches.  ``make_row_fn()`` runs once per task (it
     loads models or vocabularies) and returns ``f(*values) -> tuple`` in the

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import flat_map_rows, map_rows, written
+from cohortlab.llm.common import EIGHT_MASKS, flat_map_rows, map_rows, mix64, word_bounds, word_hashes, written
 
 ROLL = 2
 DIVISOR = 2
@@ -60,8 +60,6 @@ BATCH = 100_000
 PACK_BYTES = 256
 _BLANK = b" \t\n\x0b\f\r"
 _ODD, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
-#: The lowest 0 to 8 bytes of eight.
-_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
 KEPT_POWERS = 1 << 16
 _KEPT: dict[int, np.ndarray] = {}
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -107,11 +105,6 @@ def _key(body: bytes, key_bytes: int) -> int:
     return int.from_bytes(hashlib.sha256(body).digest()[:key_bytes], "big", signed=True)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64; those of usual texts are kept."""
     kept = _KEPT.get(base)
@@ -124,39 +117,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of every word's bytes, eight at a time; words that have ended drop out."""
-    eights = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
-    size = ends - starts
-    h = _mix((size.astype(np.uint64) * np.uint64(_ODD)) ^ (eights[starts] & _MASKS[np.minimum(size, 8)]) * np.uint64(_ODD))
-    rest, done = np.flatnonzero(size > 8), 8
-    while len(rest):
-        at, left = starts[rest] + done, size[rest] - done
-        h[rest] = _mix((h[rest] ^ eights[at] & _MASKS[np.minimum(left, 8)]) * np.uint64(_ODD))
-        rest, done = rest[left > 8], done + 8
-    return h
-
-
 def pieces_of(raw: bytes):
     """(starts, ends, first, line, hashes) of a text's words and pieces: byte bounds of
     each word, the first word of each piece, the line and the hash of each word."""
     b = np.frombuffer(raw, dtype=np.uint8)
-    inside = np.zeros(len(b) + 2, dtype=np.int8)
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    step = np.diff(inside)
-    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    starts, ends = word_bounds(raw)
     line = np.searchsorted(np.flatnonzero(b == 10), starts)
     n = len(starts)
     if not n:
         return starts, ends, starts, line, starts.astype(np.uint64)
-    hashes = _word_hashes(raw, starts, ends)
-    h = (hashes >> np.uint64(32)) + np.uint64(1)
+    hashes = word_hashes(raw, starts, ends)
     new_line = np.concatenate(([True], line[1:] != line[:-1]))
     # a word's hash, from its last eight bytes
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        at = ends - 1 - k
-        h |= np.where(at >= starts, b[np.maximum(at, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    h = np.ndarray((len(raw) + 1,), dtype=">u8", buffer=bytes(8) + raw, strides=(1,))[ends].astype(np.uint64)
+    h &= EIGHT_MASKS[np.minimum(ends - starts, 8)]
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -187,7 +161,7 @@ def units_of(raw: bytes, long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTE
     z = bounds[stop[stop < len(bounds)]]
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * _powers(_ODD, n), out=sums[1:])
-    keys = _mix((sums[z] - sums[a]) * _powers(_BACK, n)[a]) if len(a) else np.zeros(0, dtype=np.uint64)
+    keys = mix64((sums[z] - sums[a]) * _powers(_BACK, n)[a]) if len(a) else np.zeros(0, dtype=np.uint64)
     keys = (keys >> np.uint64(64 - 8 * key_bytes) if key_bytes else keys * np.uint64(0)).view(np.int64)
     s, e = (starts[a], ends[z - 1]) if len(a) else (a, z)
     words = np.bincount(line)
