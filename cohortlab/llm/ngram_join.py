@@ -5,25 +5,29 @@ fewer words one shingle of the whole sequence).  Two documents link when
 100 * shared >= ``percent`` * union.  Equal sets form one class first, by a
 128-bit digest, so exact copies are compared once.
 
-Prefix filter: under any fixed order of all shingles, linked sets share one
-of their first n - ceil(percent * n / 100) + 1 shingles.  The filter is
+Prefix filter: under any fixed order of all shingles, linked sets meet in
+their first n - ceil(percent * n / 100) + 1 shingles, and not only in one:
+they share o = ceil(percent * (n + m) / (100 + percent)) or more in all, at
+most n - o of a set lie outside the other, and of the prefix that ends first
+in the order whatever is shared lies in the other prefix too.  So the prefixes
+share o + 1 - ceil(percent * max(n, m) / 100) or more (``needed``).  The filter is
 applied under ``ORDERS`` different orders.  All put frequent shingles last
 (those seen twice in a sample of documents, ``COMMON`` at most, by their
 count there; an order may be any, so the sample decides cost only) and break
 ties by different mixes of the hash.  The first order drives the shuffle
-join; candidates must also share prefix shingles under the others before the
-exact check of the two whole sets.
+join, which counts what a pair shares; candidates must also share enough
+under the others before the exact check of the two whole sets.
 
 Large groups: documents that share their very first shingle under an order
-are compared with the smallest of them, then a prefix shingle's documents
-with the smallest of them unless they are in one component already.  Last, all pairs of
-its documents that are still in *different* components and whose sizes allow
-a link (bands of sizes are joined, not all of them) are compared, so every
-link that joins two components is found, while a group of near copies costs
-about its size, not its square.
+are compared with the smallest of them.  Then only documents that are in
+*different* components and whose sizes allow a link (bands of sizes are
+joined, not all of them) meet in a shingle, so every link that joins two
+components is found, while a group of near copies costs about its size, not
+its square.
 
 Null or empty texts have an empty set and link with nothing.  Rows that share
-a doc_id are one node.  Rows without doc_id keep a null component.
+a doc_id are one node.  Rows without doc_id keep a null component.  An empty
+table gives an empty table.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,41 +37,33 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import unused
 from cohortlab.functions.sizing import small_side
-from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, map_rows, min_label_components, written
+from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, min_label_components, word_bounds, word_hashes, written
 
 SHINGLE = 4
 PERCENT = 85
 ORDERS = 3
 SAMPLE = 0.02                 # share of documents that supplies the order
 COMMON = 200_000              # frequent shingles told apart
-WORD_CACHE = 300_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)   # odd multipliers, one an order
-
-
 class Shingler:
-    """Sorted distinct shingle hashes of a text; word hashes are cached, bounded."""
+    """Sorted distinct shingle hashes of a text."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self._hash = size, {}
+        self.size = size
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = lower_ascii_bytes(text).split()
-        if not words:
+        raw = lower_ascii_bytes(text)
+        starts, ends = word_bounds(raw)
+        if not len(starts):
             return np.empty(0, np.uint64)
-        if len(self._hash) > WORD_CACHE:
-            self._hash.clear()
-        for w in set(words):
-            if w not in self._hash:
-                self._hash[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(self._hash.__getitem__, words), np.uint64, len(words))
-        n = self.size if len(words) >= self.size else len(words)
-        total = np.full(len(words) - n + 1, n, np.uint64)
+        h = word_hashes(raw, starts, ends)
+        n = min(self.size, len(h))
+        total = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
             total = (total ^ h[k:len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(31)
@@ -78,30 +74,33 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(s: np.ndarray, common: tuple, order: int, percent: int) -> np.ndarray:
-    """First shingles of a set under global order number ``order``; ``common``: sorted frequent shingles, their counts."""
-    mixed = (s ^ (s >> np.uint64(33))) * np.uint64(MIX[order])
-    names, counts = common
-    often = np.zeros(len(s), np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-        often = np.where(names[at] == s, counts[at], 0)
-    return s[np.lexsort((mixed, often))[:prefix_size(len(s), percent)]]
+def needed(n: str, m: str, percent: int) -> str:
+    """SQL: shingles that the prefixes of two linked sets of ``n`` and ``m`` shingles share at least."""
+    whole = 100 + percent
+    return (f"greatest(1L, ({percent}L * ({n} + {m}) + {whole - 1}L) div {whole}L + 1L"
+            f" - ({percent}L * greatest({n}, {m}) + 99L) div 100L)")
 
 
-def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set (null if empty)."""
-    def make():
-        shingles = Shingler(size)
+def often_seen(s: np.ndarray, common: tuple) -> np.ndarray:
+    """How often a set's shingles stand in the sample; ``common``: sorted frequent shingles, their counts."""
+    names, counts = common
+    if not len(names):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+    return np.where(names[at] == s, counts[at], 0)
 
-        def row(doc_id, text):
-            s = shingles(text)
-            return doc_id, len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None
-        return row
-    return map_rows(docs, [id_col, text_col], "doc_id long, n_shingles long, digest binary", make)
+
+def prefix(s: np.ndarray, often: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """First shingles of a set under global order number ``order``."""
+    mixed = (s ^ (s >> np.uint64(33))) * np.uint64(MIX[order])
+    size = prefix_size(len(s), percent)
+    rare = np.flatnonzero(often == 0)
+    if len(rare) >= size > 0:
+        return s[rare[np.argsort(mixed[rare])[:size]]]
+    return s[np.lexsort((mixed, often))[:size]]
 
 
-def common_shingles(reps: DataFrame, size: int = SHINGLE, sample: float = SAMPLE, most: int = COMMON) -> tuple:
+def common_shingles(docs: DataFrame, text_col: str, size: int = SHINGLE, sample: float = SAMPLE, most: int = COMMON) -> tuple:
     """Shingles that stand in several documents of a sample, sorted, and their numbers of documents there."""
     def run(batches):
         shingles = Shingler(size)
@@ -111,51 +110,59 @@ def common_shingles(reps: DataFrame, size: int = SHINGLE, sample: float = SAMPLE
                 names, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["shingle", "n"])
     # at most ``most`` rows of two numbers reach the driver, whatever the corpus
-    got = (reps.sample(sample, 11).select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-           .where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow())
+    got = (docs.select(F.col(text_col).alias("text")).sample(sample, 11).mapInArrow(run, "shingle long, n long")
+           .groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow())
     names, counts = got.column("shingle").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(names)
     return names[order], counts[order]
 
 
-def _prefixes(reps: DataFrame, common: tuple, percent: int, size: int) -> DataFrame:
-    """(rep, n, first, others): the first order's prefix as 64-bit shingles, and
-    for each other order its prefix cut to 32 bits (a cut can only let more pass)."""
+def document_sets(docs: DataFrame, common: tuple, percent: int, id_col: str = "doc_id", text_col: str = "text",
+                  size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit digest of the set (null if empty), the first order's prefix as 64-bit shingles and
+    for each other order its prefix cut to 32 bits (null, which passes, where a cut makes two of them equal)."""
+    names = [f"order{o}" for o in range(1, ORDERS)]
+
     def run(batches):
         shingles = Shingler(size)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets = [shingles(t) for t in texts]
-            first = [prefix(s, common, 0, percent).view(np.int64) for s in sets]
-            cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-            for order in range(1, ORDERS):
-                cols.append(pa.array([prefix(s, common, order, percent).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
-            if ids:
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "first", *[f"order{o}" for o in range(1, ORDERS)]])
-    return reps.select("rep", "text").mapInArrow(
-        run, "rep long, n int, first array<long>" + "".join(f", order{o} array<int>" for o in range(1, ORDERS)))
-
-
-def _intersect_orders(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of near sizes whose prefixes meet under every other order too."""
-    names = ["n", *[f"order{o}" for o in range(1, ORDERS)]]
-    side = lambda end: marks.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names])
+            rows = []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text)
+                often = often_seen(s, common)
+                row = [len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None, prefix(s, often, 0, percent).view(np.int64)]
+                for order in range(1, ORDERS):
+                    cut = prefix(s, often, order, percent).astype(np.uint32)
+                    row.append(cut.view(np.int32) if len(np.unique(cut)) == len(cut) else None)
+                rows.append(row)
+            if rows:
+                n, digest, first, *others = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                     pa.array(first, pa.list_(pa.int64())), *[pa.array(o, pa.list_(pa.int32())) for o in others]],
+                    names=["doc_id", "n_shingles", "digest", "first", *names])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, n_shingles long, digest binary, first array<long>" + "".join(f", {c} array<int>" for c in names))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
+    """Candidates (a, b) whose prefixes share enough under every order and that link by their exact sets."""
+    names = ["n", "first", *[f"order{o}" for o in range(1, ORDERS)]]
+    ends = lambda p: small_side(p.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    near = marks.join(ends(pairs), "rep", "left_semi")
+    side = lambda end: near.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names])
     out = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_size("a_n", "b_n", percent))
     for c in names[1:]:
-        out = out.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-    return out.select("a", "b")
-
-
-def _verify(pairs: DataFrame, reps: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
-    """Candidates (a, b) that pass all orders and link by their exact sets."""
-    pairs = written(_intersect_orders(pairs, marks, percent), "ngram-candidates")
-    texts = reps.join(small_side(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+        enough = F.expr(f"size(array_intersect(a_{c}, b_{c})) >= {needed('a_n', 'b_n', percent)}")
+        out = out.where(enough | F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull())
+    pairs = written(out.select("a", "b").distinct(), "ngram-candidates")
+    texts = texts.join(ends(pairs), "rep", "left_semi")
 
     def make():
         shingles, last = Shingler(size), [None, None]
 
         def rows(a, b, text_a, text_b):
-            if last[0] != text_a:           # rows come sorted by a
+            if last[0] != text_a:           # rows of one a often come together
                 last[:] = [text_a, shingles(text_a)]
             x, y = last[1], shingles(text_b)
             both = len(np.intersect1d(x, y, True))
@@ -178,49 +185,39 @@ def _band(n: str, percent: int):
     return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100.0 / percent) * (1 + 1e-6))).cast("int")
 
 
+def _open_pairs(marks: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough of the first order's prefix."""
+    placed = (marks.select("rep", "n", "first").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+              .select(F.explode("first").alias("token"), "rep", F.col("n").cast("int").alias("n"), F.coalesce("component", "rep").alias("component")))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    rows = written(placed.join(mixed, "token").withColumn("band", _band("n", percent)), "ngram-shared")
+    # sizes of a link lie less than one band apart: equal bands meet once, a band and the next one once
+    other = rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"),
+                        F.col("band").alias("band2"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    met = (rows.join(other, ["token", "band"]).where("component <> component2 and (band2 < band or rep < rep2)")
+           .where(_near_size("n", "n2", percent)))
+    return (met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"),
+                       F.least("n", "n2").alias("n"), F.greatest("n", "n2").alias("m"))
+            .groupBy("a", "b", "n", "m").count().where(f"count >= {needed('n', 'm', percent)}").select("a", "b").distinct())
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    sets = written(document_sets(docs, id_col, text_col, size), "ngram-sets")
+    sets = written(document_sets(docs, common_shingles(docs, text_col, size), percent, id_col, text_col, size), "ngram-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-                   .join(classes.select("rep").distinct(), "rep", "left_semi"), "ngram-reps")
-    marks = written(_prefixes(reps, common_shingles(reps, size), percent, size), "ngram-prefixes")
+    marks = (sets.where("digest is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first",
+                                                     *[f"order{o}" for o in range(1, ORDERS)])
+             .join(small_side(classes.select("rep").distinct()), "rep", "left_semi"))
     # documents with the same first shingle under an order meet the smallest of them
     tops = marks.select("rep", F.posexplode(F.array(F.get("first", F.lit(0)), *[F.get(f"order{o}", F.lit(0)).cast("long") for o in range(1, ORDERS)]))
-                        .alias("order", "token"))
+                        .alias("order", "token")).where("token is not null")
     tops = tops.join(tops.groupBy("order", "token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), ["order", "token"])
-    links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), reps, marks, percent, size),
+    links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), texts, marks, percent, size),
                     "ngram-top-links")
     comp = written(min_label_components(links), "ngram-top-components")
-    # rows of shingles that only one class has end here, in one shuffle; sizes and components join what is left
-    by_rep = Window.partitionBy("token").orderBy("rep")
-    found = written(marks.select(F.explode("first").alias("token"), "rep")
-                    .select("token", "rep", F.first("rep").over(by_rep.rowsBetween(Window.unboundedPreceding, 0)).alias("lo"),
-                            F.lag("rep").over(by_rep).alias("before"), F.lead("rep").over(by_rep).alias("after"))
-                    .where("before is not null or after is not null").select("token", "rep", "lo"), "ngram-found")
-    known = marks.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
-    shared = written(found.join(known, "rep"), "ngram-shared")
-    pivots = known.select(F.col("rep").alias("lo"), F.col("component").alias("pivot_component"))
-    near = (shared.where("rep <> lo").select("rep", "component", "lo").distinct().join(pivots, "lo")
-            .where("component <> pivot_component").withColumnRenamed("lo", "pivot"))
-    pairs = written(near.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "ngram-pivot-pairs")
-    more_links = written(_verify(pairs, reps, marks, percent, size), "ngram-pivot-links")
-    tree = comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    comp = written(min_label_components(tree.union(more_links)), "ngram-pivot-components")
-    placed = (shared.select("token", "rep", "n", F.col("component").alias("before"))
-              .join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "before"))
-              .withColumn("band", _band("n", percent)))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    open_rows = placed.join(mixed, "token").select("token", "rep", "n", "component", "band")
-    # sizes of a link lie less than one band apart, so equal and neighbouring bands meet
-    other = open_rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"),
-                             F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    rest = (open_rows.join(other, ["token", "band"]).where("component <> component2 and rep < rep2").where(_near_size("n", "n2", percent))
-            .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    more = _verify(rest, reps, marks, percent, size)
+    more = _verify(written(_open_pairs(marks, comp, percent), "ngram-open-pairs"), texts, marks, percent, size)
     # copies hang on their class representative
     copies = (sets.where("doc_id is not null").join(classes, "digest").where("doc_id <> rep")
               .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

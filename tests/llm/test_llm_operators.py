@@ -449,3 +449,34 @@ def test_pipeline_stages(spark):
         src = out.cache()
     final = P.STAGES[-1][1](spark, src, d)
     assert final.count() == src.count() and final.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_prefixes_of_linked_sets_share_what_is_needed(spark):
+    rng = random.Random(9)
+    shingles = ngram_join.Shingler(4)
+    for percent in (80, 85, 100):
+        cases = []
+        for _ in range(150):
+            a = {rng.getrandbits(64) for _ in range(rng.randint(1, 60))}
+            b = {x for x in a if rng.random() < 0.95} | {rng.getrandbits(64) for _ in range(rng.randint(0, 4))}
+            both = len(a & b)
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            known = np.array(sorted(rng.sample(sorted(a | b), len(a | b) // 2)), np.uint64)
+            common = (known, np.array([rng.randint(2, 5) for _ in known], np.int64))
+            for order in range(ngram_join.ORDERS):
+                first = [set(ngram_join.prefix(s, ngram_join.often_seen(s, common), order, percent).tolist())
+                         for s in (np.array(sorted(x), np.uint64) for x in (a, b))]
+                cases.append((len(a), len(b), len(first[0] & first[1])))
+        got = spark.createDataFrame(cases, "n long, m long, shared long")
+        assert cases and got.where(f"shared < {ngram_join.needed('n', 'm', percent)}").count() == 0
+    assert len(shingles("A b\tc  D a B c d")) == 4 and len(shingles("one two")) == 1 and len(shingles(" \n")) == 0
+
+
+def test_ngram_join_empty_table_and_clashing_columns(docs, spark):
+    assert ngram_join.link_components(docs.limit(0)).count() == 0
+    odd = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("rep", "n", "first", "token", "a.b", "gone")])
+    kept = ngram_join.one_per_group(odd, 85, 4)
+    assert kept.columns == odd.columns
+    want = {r["component_id"] for r in rows_of(ngram_join.link_components(docs)) if r["component_id"] is not None}
+    assert {r["doc_id"] for r in rows_of(kept)} == want | {None}
