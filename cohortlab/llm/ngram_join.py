@@ -18,8 +18,11 @@ ties by different mixes of the hash.  The first order drives the shuffle
 join, which counts what a pair shares; candidates must also share enough
 under the others before the exact check of the two whole sets.
 
-Large groups: documents that share their very first shingle under an order
-are compared with the smallest of them.  Then only documents that are in
+Large groups: the orders put what an edit made of a shingle first, so near
+copies are gathered without them.  Documents that share the smallest mix of
+all their shingles, under one of several mixes, are compared with one of them:
+by turns that with the smallest id and that with the fewest shingles unseen in
+the sample (the least edited one).  Then only documents that are in
 *different* components and whose sizes allow a link (bands of sizes are
 joined, not all of them) meet in a shingle, so every link that joins two
 components is found, while a group of near copies costs about its size, not
@@ -50,6 +53,7 @@ ORDERS = 3
 SAMPLE = 0.02                 # share of documents that supplies the order
 COMMON = 200_000              # frequent shingles told apart
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)   # odd multipliers, one an order
+GATHER = (0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)   # and one a smallest mix
 class Shingler:
     """Sorted distinct shingle hashes of a text."""
 
@@ -100,6 +104,12 @@ def prefix(s: np.ndarray, often: np.ndarray, order: int, percent: int) -> np.nda
     return s[np.lexsort((mixed, often))[:size]]
 
 
+def smallest_mixes(s: np.ndarray) -> list[int]:
+    """The smallest mix of a set's shingles for each multiplier of ``GATHER``."""
+    folded = s ^ (s >> np.uint64(31))
+    return [int((folded * np.uint64(m)).min().astype(np.int64)) for m in GATHER] if len(s) else []
+
+
 def common_shingles(docs: DataFrame, text_col: str, size: int = SHINGLE, sample: float = SAMPLE, most: int = COMMON) -> tuple:
     """Shingles that stand in several documents of a sample, sorted, and their numbers of documents there."""
     def run(batches):
@@ -120,7 +130,8 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = SHINGLE, sample:
 def document_sets(docs: DataFrame, common: tuple, percent: int, id_col: str = "doc_id", text_col: str = "text",
                   size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (null if empty), the first order's prefix as 64-bit shingles and
-    for each other order its prefix cut to 32 bits (null, which passes, where a cut makes two of them equal)."""
+    for each other order its prefix cut to 32 bits (null, which passes, where a cut makes two of them equal);
+    n_rare: shingles unseen in the sample, mixes: the smallest mixes."""
     names = [f"order{o}" for o in range(1, ORDERS)]
 
     def run(batches):
@@ -130,19 +141,19 @@ def document_sets(docs: DataFrame, common: tuple, percent: int, id_col: str = "d
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 often = often_seen(s, common)
-                row = [len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None, prefix(s, often, 0, percent).view(np.int64)]
+                row = [int((often == 0).sum()), smallest_mixes(s), len(s), hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None, prefix(s, often, 0, percent).view(np.int64)]
                 for order in range(1, ORDERS):
                     cut = prefix(s, often, order, percent).astype(np.uint32)
                     row.append(cut.view(np.int32) if len(np.unique(cut)) == len(cut) else None)
                 rows.append(row)
             if rows:
-                n, digest, first, *others = zip(*rows)
+                rare, mixes, n, digest, first, *others = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                    [batch.column(0).cast(pa.int64()), pa.array(rare, pa.int64()), pa.array(mixes, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                      pa.array(first, pa.list_(pa.int64())), *[pa.array(o, pa.list_(pa.int32())) for o in others]],
-                    names=["doc_id", "n_shingles", "digest", "first", *names])
+                    names=["doc_id", "n_rare", "mixes", "n_shingles", "digest", "first", *names])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, first array<long>" + "".join(f", {c} array<int>" for c in names))
+        run, "doc_id long, n_rare long, mixes array<long>, n_shingles long, digest binary, first array<long>" + "".join(f", {c} array<int>" for c in names))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int, size: int) -> DataFrame:
@@ -207,15 +218,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(document_sets(docs, common_shingles(docs, text_col, size), percent, id_col, text_col, size), "ngram-sets")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     classes = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    marks = (sets.where("digest is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "first",
+    marks = (sets.where("digest is not null").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "n_rare", "mixes", "first",
                                                      *[f"order{o}" for o in range(1, ORDERS)])
              .join(small_side(classes.select("rep").distinct()), "rep", "left_semi"))
-    # documents with the same first shingle under an order meet the smallest of them
-    tops = marks.select("rep", F.posexplode(F.array(F.get("first", F.lit(0)), *[F.get(f"order{o}", F.lit(0)).cast("long") for o in range(1, ORDERS)]))
-                        .alias("order", "token")).where("token is not null")
-    tops = tops.join(tops.groupBy("order", "token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi"), ["order", "token"])
-    links = written(_verify(tops.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct(), texts, marks, percent, size),
-                    "ngram-top-links")
+    # documents with the same smallest mix meet one of them
+    tops = marks.select("rep", "n_rare", F.posexplode("mixes").alias("order", "token"))
+    heads = (tops.groupBy("order", "token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"),
+                                                F.min(F.struct("n_rare", "rep")).alias("plain")).where("lo <> hi")
+             .select("order", "token", F.when(F.col("order") % 2 == 0, F.col("lo")).otherwise(F.col("plain.rep")).alias("head")))
+    met = (tops.join(heads, ["order", "token"]).where("rep <> head")
+           .select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
+    links = written(_verify(met, texts, marks, percent, size), "ngram-top-links")
     comp = written(min_label_components(links), "ngram-top-components")
     more = _verify(written(_open_pairs(marks, comp, percent), "ngram-open-pairs"), texts, marks, percent, size)
     # copies hang on their class representative
