@@ -23,8 +23,9 @@ copies are gathered without them.  Documents that share the smallest mix of
 all their shingles, under one of several mixes, are compared with one of them:
 by turns that with the smallest id and that with the fewest shingles unseen in
 the sample (the least edited one).  Then only documents that are in
-*different* components and whose sizes allow a link (bands of sizes are
-joined, not all of them) meet in a shingle, so every link that joins two
+*different* components, whose sizes allow a link (bands of sizes are joined,
+not all of them) and that each have as many shared prefix shingles as a link
+of their sizes needs meet in a shingle, so every link that joins two
 components is found, while a group of near copies costs about its size, not
 its square.
 
@@ -40,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import unused
@@ -201,12 +202,14 @@ def _open_pairs(marks: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     placed = (marks.select("rep", "n", "first").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
               .select(F.explode("first").alias("token"), "rep", F.col("n").cast("int").alias("n"), F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = written(placed.join(mixed, "token").withColumn("band", _band("n", percent)), "ngram-shared")
+    # a document with fewer such shingles than a link needs cannot link, however many documents have them
+    rows = written(placed.join(mixed, "token").withColumn("band", _band("n", percent))
+                   .withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("rep", "n"))), "ngram-shared")
     # sizes of a link lie less than one band apart: equal bands meet once, a band and the next one once
     other = rows.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"),
-                        F.col("band").alias("band2"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+                        F.col("band").alias("band2"), F.col("most").alias("most2"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     met = (rows.join(other, ["token", "band"]).where("component <> component2 and (band2 < band or rep < rep2)")
-           .where(_near_size("n", "n2", percent)))
+           .where(_near_size("n", "n2", percent)).where(f"least(most, most2) >= {needed('n', 'n2', percent)}"))
     return (met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"),
                        F.least("n", "n2").alias("n"), F.greatest("n", "n2").alias("m"))
             .groupBy("a", "b", "n", "m").count().where(f"count >= {needed('n', 'm', percent)}").select("a", "b").distinct())
