@@ -51,6 +51,13 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most ``rows`` rows, so that a worker's Python objects are those of one piece."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_rows(df: DataFrame, cols: list[str], schema: str, make_row_fn) -> DataFrame:
     """Row-wise map in Arrow batches.  ``make_row_fn()`` runs once per task (it
     loads models or vocabularies) and returns ``f(*values) -> tuple`` in the
@@ -62,7 +69,7 @@ def map_rows(df: DataFrame, cols: list[str], schema: str, make_row_fn) -> DataFr
 
     def run(batches):
         fn = make_row_fn()
-        for b in batches:
+        for b in slices(batches):
             columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
             rows = [fn(*v) for v in zip(*columns)]
             if rows:
@@ -85,7 +92,7 @@ def flat_map_rows(df: DataFrame, cols: list[str], schema: str, make_rows_fn, chu
 
     def run(batches):
         fn, rows = make_rows_fn(), []
-        for b in batches:
+        for b in slices(batches):
             columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
             for v in zip(*columns):
                 for r in fn(*v):

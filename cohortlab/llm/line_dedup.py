@@ -40,11 +40,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import EIGHT_MASKS, flat_map_rows, map_rows, mix64, word_bounds, word_hashes, written
+from cohortlab.llm.common import EIGHT_MASKS, mix64, slices, word_bounds, word_hashes, written
 
 ROLL = 2
 DIVISOR = 2
@@ -54,13 +55,13 @@ RADIUS = 4
 RUN_WORDS = 16
 #: A piece of more than two steps is cut on every STEP words; words repeated with a period up to RADIUS fall into phase.
 STEP = 12
-#: Rows of one Arrow batch of units.
-BATCH = 100_000
+#: Texts are cut into units together, about this many bytes at a time, so that short texts cost their bytes.
+GROUP_BYTES = 1 << 18
 #: Bodies longer than this cross shuffles compressed.
 PACK_BYTES = 256
 _BLANK = b" \t\n\x0b\f\r"
 _ODD, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
-KEPT_POWERS = 1 << 16
+KEPT_POWERS = 1 << 17
 _KEPT: dict[int, np.ndarray] = {}
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
@@ -153,32 +154,43 @@ def pieces_of(raw: bytes):
 
 def units_of(raw: bytes, long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES):
     """(start, end, key) arrays of every unit of a text: byte bounds and 64-bit names."""
+    return units_of_texts(raw + b"\n", np.array([0, len(raw) + 1]), long_words, key_bytes)[1:]
+
+
+def units_of_texts(raw: bytes, bounds: np.ndarray, long_words: int = LONG_WORDS, key_bytes: int = KEY_BYTES):
+    """(text, start, end, key) arrays of the units of several texts; text i is ``raw[bounds[i]:bounds[i + 1] - 1]`` and
+    a line end follows it.  No unit crosses texts, start and end count from the text's first byte."""
     starts, ends, first, line, hashes = pieces_of(raw)
     n = len(starts)
-    bounds = np.append(first, n)
-    stop = np.searchsorted(bounds, first + RUN_WORDS)
-    a = first[stop < len(bounds)]
-    z = bounds[stop[stop < len(bounds)]]
+    words = np.searchsorted(starts, bounds)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(words))
+    stops = np.append(first, n)
+    stop = np.searchsorted(stops, first + RUN_WORDS)
+    z = stops[np.minimum(stop, len(first))]
+    whole = (stop < len(stops)) & (z <= words[of[first] + 1])
+    a, z = first[whole], z[whole]
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * _powers(_ODD, n), out=sums[1:])
     keys = mix64((sums[z] - sums[a]) * _powers(_BACK, n)[a]) if len(a) else np.zeros(0, dtype=np.uint64)
     keys = (keys >> np.uint64(64 - 8 * key_bytes) if key_bytes else keys * np.uint64(0)).view(np.int64)
-    s, e = (starts[a], ends[z - 1]) if len(a) else (a, z)
-    words = np.bincount(line)
-    words = words[words > 0]
-    if (words[1:] + words[:-1] < RUN_WORDS).any() or long_words < RUN_WORDS:
-        more = list(_short_chunks(raw, long_words, key_bytes))
-        if more:
-            x, y, k = (np.array(c, dtype=np.int64) for c in zip(*more))
-            s, e, keys = np.concatenate([s, x]), np.concatenate([e, y]), np.concatenate([keys, k])
-    return s, e, keys
+    text = of[a]
+    s, e = (starts[a] - bounds[text], ends[z - 1] - bounds[text]) if len(a) else (a, z)
+    size = np.bincount(line)
+    size = size[size > 0]
+    at = of[np.cumsum(size) - size]           # the text of each line with words
+    low = (size[1:] + size[:-1] < RUN_WORDS) & (at[1:] == at[:-1])
+    short = range(len(bounds) - 1) if long_words < RUN_WORDS else np.unique(at[1:][low]).tolist()
+    more = [(i, *u) for i in short for u in _short_chunks(raw[bounds[i]:bounds[i + 1] - 1], long_words, key_bytes)]
+    if more:
+        text, s, e, keys = (np.concatenate([c, np.array(m, dtype=np.int64)]) for c, m in zip((text, s, e, keys), zip(*more)))
+    return text, s, e, keys
 
 
 def _short_chunks(raw: bytes, long_words: int, key_bytes: int):
     pos = 0
     for c in chunks_of(raw.decode("utf-8", "surrogatepass"), long_words):
         z = c.encode("utf-8", "surrogatepass")
-        if _counts(c, long_words) and len(z.split()) < RUN_WORDS:
+        if len(z.split()) < RUN_WORDS and _counts(c, long_words):
             body = _body(c).encode("utf-8", "surrogatepass")
             lead = len(z) - len(z.lstrip(b"\r\n \t"))
             yield pos + lead, pos + lead + len(body), _key(body, key_bytes)
@@ -197,25 +209,19 @@ def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")))
     names = ["doc", "row", "at", "end", "key"]
 
-    def pack(held):
-        doc, row, size, s, e, k = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, size)), pa.array(np.repeat(row, size)),
-                                           pa.array(np.concatenate(s).astype(np.int32)), pa.array(np.concatenate(e).astype(np.int32)),
-                                           pa.array(np.concatenate(k))], names=names)
-
     def run(batches):
-        held, n = [], 0
         for b in batches:
-            for doc, row, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                s, e, k = units_of(text.encode("utf-8", "surrogatepass"), long_words, key_bytes)
+            doc, row = b.column(0).to_numpy(), b.column(1).to_numpy()
+            size = pc.binary_length(b.column(2)).to_numpy().astype(np.int64) + 1
+            # texts that have GROUP_BYTES together are one step
+            group = (np.cumsum(size) - size) // GROUP_BYTES
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(size)])) if len(size) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                raw = b"\n".join([*b.column(2).slice(i, j - i).cast(pa.binary()).to_pylist(), b""])
+                text, s, e, k = units_of_texts(raw, np.concatenate(([0], np.cumsum(size[i:j]))), long_words, key_bytes)
                 if len(k):
-                    held.append((doc, row, len(k), s, e, k))
-                    n += len(k)
-                if n >= BATCH:
-                    yield pack(held)
-                    held, n = [], 0
-        if held:
-            yield pack(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[i:j][text]), pa.array(row[i:j][text]), pa.array(s.astype(np.int32)),
+                                                      pa.array(e.astype(np.int32)), pa.array(k)], names=names)
     return src.mapInArrow(run, "doc long, row long, at int, end int, key long")
 
 
@@ -230,19 +236,28 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return written(slim.join(again, "key").select("doc", "row", "at", "end", "key", later.alias("later")), "line-places")
 
 
-def _gone(places, row: int) -> list[tuple[int, int]]:
-    """Byte bounds that go from the text of hash ``row``."""
+def _places(batch, at: int):
+    """Per row of a batch its places, of the list column ``at``, as tuples (row, at, end, key, later)."""
+    lists = batch.column(at)
+    bounds = lists.offsets.to_numpy()
+    flat = lists.flatten()
+    rows = list(zip(*[flat.field(c).to_numpy().tolist() for c in ("row", "at", "end", "key")], flat.field("later").to_pylist()))
+    bounds = (bounds - bounds[0]).tolist()
+    return [rows[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def _gone(places, of_row: int) -> list[tuple[int, int]]:
+    """Byte bounds that go from the text of hash ``of_row``."""
     first: dict = {}
-    for p in places or ():
-        if p["later"] is None:
-            first[p["key"]] = min(first.get(p["key"], (p["row"], p["at"])), (p["row"], p["at"]))
-    return sorted((p["at"], p["end"]) for p in places or ()
-                  if p["row"] == row and (p["later"] or p["later"] is None and (row, p["at"]) > first[p["key"]]))
+    for row, at, _, key, later in places:
+        if later is None:
+            first[key] = min(first.get(key, (row, at)), (row, at))
+    return sorted((at, end) for row, at, end, key, later in places
+                  if row == of_row and (later or later is None and (row, at) > first[key]))
 
 
-def _cut_text(text: str, gone: list[tuple[int, int]]) -> str:
-    """``text`` without the bytes of ``gone`` (sorted) and the blanks they leave."""
-    raw = text.encode("utf-8", "surrogatepass")
+def _cut_text(raw: bytes, gone: list[tuple[int, int]]) -> str:
+    """The text ``raw`` without the bytes of ``gone`` (sorted) and the blanks they leave."""
     n, runs = len(raw), []
     for s, e in gone:
         while s < e and raw[s] in _BLANK:
@@ -280,19 +295,22 @@ def _mark(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
 
 def marked_bodies(marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, row, at, end, key, body) of the marked units; long bodies compressed."""
-    def make():
+    def run(batches):
         small, large = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-
-        def rows(doc, z, row, places):
-            raw = large.decompress(z)
-            for p in places:
-                if p["row"] == row:
-                    body = _unit_body(raw[p["at"]:p["end"]])
-                    yield doc, row, p["at"], p["end"], p["key"], b"z" + small.compress(body) if len(body) > PACK_BYTES else b"r" + body
-        return rows
+        for b in slices(batches):
+            docs, packed, of = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            out = []
+            for doc, z, of_row, places in zip(docs, packed, of, _places(b, 3)):
+                raw = large.decompress(z)
+                for row, at, end, key, _ in places:
+                    if row == of_row:
+                        body = _unit_body(raw[at:end])
+                        out.append((doc, row, at, end, key, b"z" + small.compress(body) if len(body) > PACK_BYTES else b"r" + body))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc", "row", "at", "end", "key", "body"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     src = marked.where(F.col("places").isNotNull() & F.col(text_col).isNotNull())
-    return flat_map_rows(src.withColumn(id_col, F.col(id_col).cast("long")), [id_col, text_col, "row", "places"],
-                         "doc long, row long, at int, end int, key long, body binary", make, 5_000)
+    return src.select(F.col(id_col).cast("long"), text_col, "row", "places").mapInArrow(run, "doc long, row long, at int, end int, key long, body binary")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -308,31 +326,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed_schema = ", ".join(f"{c} {'binary' if c == the_text else f.dataType.simpleString()}"
                               for c, f in zip(inner, docs.schema.fields)) + ", row long"
 
-    def pack():
+    # only the text is touched: the other columns pass as they are
+    def pack(batches):
         small = zstandard.ZstdCompressor(level=3)
+        for b in slices(batches):
+            texts = [None if t is None else small.compress(t) for t in b.column(at_text).cast(pa.binary()).to_pylist()]
+            columns = [pa.array(texts, pa.binary()) if i == at_text else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*inner, "row"])
 
-        def row(*v):
-            v = list(v)
-            if v[at_text] is not None:
-                v[at_text] = small.compress(v[at_text].encode("utf-8", "surrogatepass"))
-            return tuple(v)
-        return row
-
-    def make():
+    def cut(batches):
         large = zstandard.ZstdDecompressor()
-
-        def row(*v):
-            of_row, places, v = v[-2], v[-1], list(v[:-2])
-            if v[at_text] is not None:
-                v[at_text] = large.decompress(v[at_text]).decode("utf-8", "surrogatepass")
-                gone = _gone(places, of_row)
-                if gone:
-                    v[at_text] = _cut_text(v[at_text], gone)
-            return tuple(v)
-        return row
+        for b in slices(batches):
+            texts = []
+            for z, of_row, places in zip(b.column(at_text).to_pylist(), b.column(len(inner)).to_pylist(), _places(b, len(inner) + 1)):
+                raw = None if z is None else large.decompress(z)
+                gone = _gone(places, of_row) if places and raw is not None else None
+                texts.append(_cut_text(raw, gone) if gone else raw)
+            columns = [pa.array(texts, pa.string()) if i == at_text else c for i, c in enumerate(b.columns[:len(inner)])]
+            yield pa.RecordBatch.from_arrays(columns, names=inner)
     places = repeated_places(plain, the_id, the_text, long_words, key_bytes)
     # the texts cross one shuffle, to meet their places; both later passes read the table written here
-    packed = map_rows(plain.withColumn("row", F.xxhash64(the_text)), [*inner, "row"], packed_schema, pack)
+    packed = plain.select(*inner, F.xxhash64(the_text).alias("row")).mapInArrow(pack, packed_schema)
     marked = written(_mark(packed, places, the_id), "line-marked")
     bodies = marked_bodies(marked, the_id, the_text)
     # the byte comparison: one row per distinct body, then keys that name more than one
@@ -344,4 +358,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = (told.join(first, ["key", "body"])
                  .select("doc", "row", "at", "end", "key", (place > F.col("first")).alias("later")).distinct())
         marked = _mark(marked.drop("places"), places.join(mixed, "key", "left_anti").select(*apart.columns).union(apart), the_id)
-    return map_rows(marked, [*inner, "row", "places"], schema, make).toDF(*names)
+    return marked.select(*inner, "row", "places").mapInArrow(cut, schema).toDF(*names)

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.columns import unused
 from cohortlab.functions.sizing import small_side
-from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, min_label_components, word_bounds, word_hashes, written
+from cohortlab.llm.common import flat_map_rows, lower_ascii_bytes, min_label_components, slices, word_bounds, word_hashes, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -115,7 +115,7 @@ def common_shingles(docs: DataFrame, text_col: str, size: int = SHINGLE, sample:
     """Shingles that stand in several documents of a sample, sorted, and their numbers of documents there."""
     def run(batches):
         shingles = Shingler(size)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t) for t in b.column(0).to_pylist()]
             if sets:
                 names, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -137,7 +137,7 @@ def document_sets(docs: DataFrame, common: tuple, percent: int, id_col: str = "d
 
     def run(batches):
         shingles = Shingler(size)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
