@@ -51,6 +51,20 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Most rows and bytes of an Arrow batch between Spark and Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand rows to Python in batches of at most ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes: what an
+    executor and its Python workers hold outside the heap grows with the batch.  Lower settings stay as they are."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches in pieces of at most ``rows`` rows, so that a worker's Python objects are those of one piece."""
     for b in batches:
